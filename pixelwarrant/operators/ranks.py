@@ -202,18 +202,39 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
     return df.withColumn(name, F.row_number().over(spec)).where(F.col(name) <= k)
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "position", buckets: int = BUCKETS) -> DataFrame:
-    """1-based position in the total order of `order` (a unique key), without one global sort task.
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, tuple[str, Column]], buckets: int = BUCKETS
+) -> DataFrame:
+    """Running totals (inclusive) in the order of `order`, for keys that may hold most of the table.
 
-    The first ordering column must be numeric; it is cut at approximate quantiles.
+    `totals` maps a new column to ("sum" | "max", expression). The first ordering column must
+    be numeric. Each key is cut into order buckets; only bucket totals are chained.
     """
-    cut = with_bucket(df, order[0], buckets)
-    sizes = cut.groupBy(_B).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(_B, F.coalesce(F.sum("_n").over(_before([], _B)), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy(_B).orderBy(*order))
-    return (
-        cut.withColumn("_r", inside)
-        .join(offsets, _B)
-        .withColumn(name, F.col("_r") + F.col("_offset"))
-        .drop("_r", "_offset", _B)
+    keys = list(keys)
+    agg = {"sum": F.sum, "max": F.max}
+    staged = with_bucket(df, order[0], buckets).withColumns({f"_x_{n}": e for n, (_, e) in totals.items()})
+    upto = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = staged.withColumns({n: agg[how](f"_x_{n}").over(upto) for n, (how, _) in totals.items()})
+    sizes = staged.groupBy(*keys, _B).agg(*[agg[how](f"_x_{n}").alias(f"_x_{n}") for n, (how, _) in totals.items()])
+    offsets = sizes.select(
+        *keys, _B, *[agg[how](f"_x_{n}").over(_before(keys, _B)).alias(f"_o_{n}") for n, (how, _) in totals.items()]
     )
+    joined = inside.join(offsets, [*keys, _B])
+    for n, (how, _) in totals.items():
+        if how == "sum":
+            joined = joined.withColumn(n, F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
+        else:
+            joined = joined.withColumn(n, F.greatest(F.col(n), F.col(f"_o_{n}")))
+    return joined.drop(_B, *[f"_x_{n}" for n in totals], *[f"_o_{n}" for n in totals])
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """1-based position of every row within its key, in the (unique) order given."""
+    return running(df, keys, order, {name: ("sum", F.lit(1))})
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "position") -> DataFrame:
+    """First `n` rows per key for any `n`: the group-limited window when `n` is small, else positions."""
+    if n <= 1000:
+        return top_k(df, keys, [F.col(c) for c in order], n, name)
+    return positions(df, keys, order, name).where(F.col(name) <= n)
