@@ -5,11 +5,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column; other columns pass through."""
+def rounded(df: DataFrame, digits: int = 6, finer: tuple[str, ...] = ()) -> DataFrame:
+    """Round every double column (those in `finer` to 9 digits); other columns pass through."""
     return df.select(
         *[
-            F.round(F.col(f"`{n}`"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
+            F.round(F.col(f"`{n}`"), 9 if n in finer else digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
             for n, t in df.dtypes
         ]
     )
