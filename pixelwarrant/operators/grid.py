@@ -17,6 +17,11 @@ from pixelwarrant.functions.scalar import clip, reflected
 KEYS = ("image_id",)
 
 
+def by_image(df: DataFrame) -> DataFrame:
+    """Hash-partition once on the image; the per-image windows and sums that follow need no shuffle."""
+    return df.repartition("image_id")
+
+
 def _row(keys: Sequence[str]):
     return Window.partitionBy(*keys, "y").orderBy("x")
 
@@ -37,10 +42,6 @@ def _both_axes(df: DataFrame, keys: Sequence[str], exprs: dict[str, Column], agg
 PREFIX_FROM = 16  # radius above which running totals are cheaper than moving frames
 
 
-def _moving_sum(c: Column | str, window, radius: int, axis: str) -> Column:
-    return F.sum(c).over(window.rangeBetween(-radius, radius))
-
-
 def box_sum(df: DataFrame, exprs: dict[str, Column], radius: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Sum over the (2r+1)^2 neighbourhood, clipped at the frame."""
     if radius <= PREFIX_FROM:

@@ -70,19 +70,35 @@ def ranked_components(
     )
 
 
-def region_grid(regions: DataFrame, region_cells: DataFrame, halo: int, ring: int) -> DataFrame:
+def region_grid(regions: DataFrame, cells: DataFrame, halo: int, ring: int, extra: str | None = None) -> DataFrame:
     """A dense grid over each region's padded box, with its inside, rim, halo and ring cells.
 
-    Only the cells near a region are expanded, and all range aggregates of an axis share one
-    sort.
+    Only the cells near a region are expanded. One join brings every cell column (with the
+    cell's component); one exchange on the region then serves both axes and the sums after.
+    `extra` names a nullable box column whose cells are added to the region (a face box).
     """
     pad = max(halo, ring, 1)
     span = lambda lo, hi, side: F.sequence(F.greatest(F.lit(0), F.col(lo) - pad), F.least(F.col(side), F.col(hi) + pad) - 1)
-    rows = regions.select(*REGION, "bbox", "frame_w", "frame_h", F.explode(span("bbox.y0", "bbox.y1", "frame_h")).alias("y"))
-    dense = rows.select(*REGION, "y", F.explode(span("bbox.x0", "bbox.x1", "frame_w")).alias("x"))
-    flagged = dense.join(
-        region_cells.select(*REGION, "y", "x", F.lit(1).alias("_in")), [*REGION, "y", "x"], "left"
-    ).withColumn("_in", F.coalesce("_in", F.lit(0)))
+    box = F.col("bbox")
+    if extra:
+        other = F.col(extra)
+        box = F.struct(
+            *[F.least(box[n], F.coalesce(F.greatest(F.lit(0), other[n]), box[n])).alias(n) for n in ("x0", "y0")],
+            F.greatest(box["x1"], F.coalesce(F.least(F.col("frame_w"), other["x1"]), box["x1"])).alias("x1"),
+            F.greatest(box["y1"], F.coalesce(F.least(F.col("frame_h"), other["y1"]), box["y1"])).alias("y1"),
+        )
+    keep = [*REGION, "_own"] + ([extra] if extra else [])
+    base = regions.withColumns({"_own": F.col("component"), "_box": box})
+    rows = base.select(*keep, "_box", "frame_w", F.explode(span("_box.y0", "_box.y1", "frame_h")).alias("y"))
+    dense = rows.select(*keep, "y", F.explode(span("_box.x0", "_box.x1", "frame_w")).alias("x"))
+    joined = dense.join(cells.drop("frame_w", "frame_h", "grown", "per_scale"), ["image_id", "y", "x"])
+    own = F.coalesce(F.col("component") == F.col("_own"), F.lit(False))
+    if extra:
+        f = F.col(extra)
+        boxed = (F.col("x") >= f["x0"]) & (F.col("x") < f["x1"]) & (F.col("y") >= f["y0"]) & (F.col("y") < f["y1"])
+        own = own | F.coalesce(boxed, F.lit(False))
+    flagged = joined.withColumn("_in", own.cast("int"))
+    flagged = flagged.repartition(*REGION)
     row, col = Window.partitionBy(*REGION, "y").orderBy("x"), Window.partitionBy(*REGION, "x").orderBy("y")
     one_axis = flagged.withColumns(
         {
@@ -104,25 +120,19 @@ def region_grid(regions: DataFrame, region_cells: DataFrame, halo: int, ring: in
     )
     inside = F.col("_in") == 1
     return two_axes.select(
-        *REGION,
-        "y",
-        "x",
+        "*",
         inside.alias("inside"),
         (inside & (F.col("_near") == 0)).alias("rim"),
         (~inside & (F.col("_halo") == 1)).alias("halo"),
         (~inside & (F.col("_ring") == 1)).alias("ring"),
         F.when(inside, 4 - F.col("_side")).otherwise(0).alias("exposed"),
-    )
+    ).drop("_own", "_in", "_near", "_halo", "_ring", "_side", "component")
 
 
-def rim_descriptors(local: DataFrame, cells: DataFrame) -> DataFrame:
-    """Boundary sharpness, perimeter and halo uncertainty of each region.
-
-    `cells` carries `label` and `gradient` (of the map).
-    """
-    joined = local.join(cells.select("image_id", "y", "x", "label", "gradient"), ["image_id", "y", "x"])
+def rim_descriptors(local: DataFrame) -> DataFrame:
+    """Boundary sharpness, perimeter and halo uncertainty of each region."""
     perimeter = F.sum("exposed")
-    return joined.groupBy(*REGION).agg(
+    return local.groupBy(*REGION).agg(
         F.coalesce(F.avg(F.when(F.col("rim"), F.col("gradient"))), F.lit(0.0)).alias("boundary_sharpness"),
         perimeter.alias("perimeter"),
         F.coalesce(
@@ -155,14 +165,14 @@ def extract_regions(
     halo: int = 6,
     ring: int = 8,
     max_regions: int = 8,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Regions with all descriptors, their cells, and the local grid around each.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Regions with all descriptors, their cells, the local grid around each, and all cells.
 
     `cells` holds `image_id, y, x, heat, label, support, disagreement, per_scale`. The cells
     with their component, and the few regions per image, are read by several later stages,
     so both are checkpointed instead of being computed again for each of them.
     """
-    grown = grown_mask(with_frame(map_gradient(cells)), grow, close_radius)
+    grown = grown_mask(with_frame(map_gradient(grid.by_image(cells))), grow, close_radius)
     components = label_components(grown, "grown")
     framed = durable(grown.join(components, ["image_id", "y", "x"], "left"))
     members = framed.where(F.col("component").isNotNull())
@@ -170,9 +180,9 @@ def extract_regions(
     region_cells = members.select("image_id", "y", "x", "component").join(
         kept.select("image_id", "component", "region_id"), ["image_id", "component"]
     ).drop("component")
-    local = region_grid(kept, region_cells, halo, ring)
-    described = kept.join(rim_descriptors(local, framed), list(REGION)).drop("component")
-    return described, region_cells, local
+    local = region_grid(kept, framed, halo, ring)
+    described = kept.join(rim_descriptors(local), list(REGION))
+    return described, region_cells, local, framed
 
 
 # --- masks --------------------------------------------------------------------------------

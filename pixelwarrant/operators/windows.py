@@ -49,11 +49,12 @@ def window_cells(windows: DataFrame) -> DataFrame:
 
 
 def integral_image(cells: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Running 2-D totals of each expression, at every cell."""
+    """Running 2-D totals of each expression, at every cell; one exchange serves both axes."""
     keys = list(keys)
+    cells = cells.select(*keys, "y", "x", *[c.alias(n) for n, c in sums.items()]).repartition(*keys)
     along_x = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     along_y = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    rows = cells.select(*keys, "y", "x", *[F.sum(c).over(along_x).alias(n) for n, c in sums.items()])
+    rows = cells.select(*keys, "y", "x", *[F.sum(n).over(along_x).alias(n) for n in sums])
     return rows.select(*keys, "y", "x", *[F.sum(n).over(along_y).alias(n) for n in sums])
 
 

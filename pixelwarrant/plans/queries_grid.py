@@ -13,6 +13,10 @@ from pixelwarrant.plans.rounding import rounded
 SCALES = (2, 4)
 
 
+def tiles_by_image(spark, sf):
+    return grid.by_image(fx.tiles(spark, sf))
+
+
 def tile_images(spark, sf):
     return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"))
 
@@ -29,7 +33,7 @@ def tile_scores(spark, sf):
 
 
 def tile_blend(spark, sf):
-    return heatmap.with_support(heatmap.blend_windows(tile_scores(spark, sf)))
+    return heatmap.with_support(heatmap.blend_windows(grid.by_image(tile_scores(spark, sf))))
 
 
 def tile_map(spark, sf):
@@ -124,7 +128,7 @@ def tile_label():
 
 cte(
     "tile_labelled",
-    f"select *, {LABEL} as label from (select * replace (round(heat,9) as heat, round(support,9) as support) from tile_map)",
+    "select *, " + LABEL.replace("heat", "h9").replace("support", "s9") + " as label from (select *, round(heat,9) as h9, round(support,9) as s9 from tile_map)",
     ("tile_map",),
 )
 
@@ -178,7 +182,7 @@ def cells_under_windows(spark, sf):
 @query(
     "join09_cascade",
     ("tile_windows", "tile_labelled"),
-    """select image_id, scale, x0, y0, x1, y1 from tile_windows w where scale=4 or exists (select 1 from tile_labelled m where m.image_id=w.image_id and m.x>=w.x0 and m.x<w.x1 and m.y>=w.y0 and m.y<w.y1 and m.heat>=6e-1)""",
+    """select image_id, scale, x0, y0, x1, y1 from tile_windows w where scale=4 or exists (select 1 from tile_labelled m where m.image_id=w.image_id and m.x>=w.x0 and m.x<w.x1 and m.y>=w.y0 and m.y<w.y1 and m.h9>=6e-1)""",
 )
 def cascade(spark, sf):
     plan = tile_windows(spark, sf)
@@ -188,7 +192,7 @@ def cascade(spark, sf):
 
 @query("agg14_hann_blend", ("tile_blend",), "select image_id, scale, y, x, round(heat,6) as heat, round(weight,6) as weight from tile_blend")
 def hann_blend(spark, sf):
-    return rounded(heatmap.blend_windows(tile_scores(spark, sf)))
+    return rounded(heatmap.blend_windows(grid.by_image(tile_scores(spark, sf))))
 
 
 @query("agg15_support", ("tile_blend",), "select image_id, scale, y, x, round(support,6) as support from tile_blend")
@@ -221,7 +225,8 @@ def scale_disagreement(spark, sf):
   from tile_labelled group by image_id""",
 )
 def map_summary(spark, sf):
-    return rounded(heatmap.map_summary(tile_map(spark, sf).withColumn("label", tile_label())), finer=("mean_support",))
+    cells = tile_map(spark, sf).withColumn("label", tile_label())
+    return rounded(heatmap.map_summary(cells), finer=("mean_support",))
 
 
 @query(
@@ -241,7 +246,7 @@ def smoothness_scorer(spark, sf):
     """select t.image_id, t.y, t.x, round(sum(s.v),6) as total from tiles t join tiles s on s.image_id=t.image_id and s.y between t.y-2 and t.y+2 and s.x between t.x-2 and t.x+2 group by 1,2,3""",
 )
 def box_sums(spark, sf):
-    return rounded(grid.box_sum(fx.tiles(spark, sf), {"total": F.col("v")}, 2).select("image_id", "y", "x", "total"))
+    return rounded(grid.box_sum(tiles_by_image(spark, sf), {"total": F.col("v")}, 2).select("image_id", "y", "x", "total"))
 
 
 # --- filters ------------------------------------------------------------------------------
@@ -275,12 +280,12 @@ def hann_kernel(spark, sf):
 
 @query("grid02_box_mean", ("tiles",), f"select image_id, y, x, round(m,6) as mean from {box_mean_sql('tiles', {'m': 's.v'}, 1)}")
 def box_mean(spark, sf):
-    return rounded(grid.box_mean(fx.tiles(spark, sf), {"mean": F.col("v")}, 1).select("image_id", "y", "x", "mean"))
+    return rounded(grid.box_mean(tiles_by_image(spark, sf), {"mean": F.col("v")}, 1).select("image_id", "y", "x", "mean"))
 
 
 @query("grid03_gaussian_blur", ("tiles",), f"select image_id, y, x, round(g,6) as blur from {gauss_sql('tiles', 'v', 1.0)}")
 def gaussian_blur(spark, sf):
-    return rounded(grid.gaussian_blur(fx.tiles(spark, sf), {"blur": "v"}, 1.0).select("image_id", "y", "x", "blur"))
+    return rounded(grid.gaussian_blur(tiles_by_image(spark, sf), {"blur": "v"}, 1.0).select("image_id", "y", "x", "blur"))
 
 
 def guided_sql(src: str, p: str, g: str, r: int) -> str:
@@ -291,7 +296,7 @@ def guided_sql(src: str, p: str, g: str, r: int) -> str:
 
 @query("grid04_guided_filter", ("tiles",), f"select image_id, y, x, round(s,6) as smooth from {guided_sql('tiles', 'heat', 'v', 1)}")
 def guided_filter(spark, sf):
-    return rounded(grid.guided_filter(fx.tiles(spark, sf), "heat", "v", 1).select("image_id", "y", "x", "smooth"))
+    return rounded(grid.guided_filter(tiles_by_image(spark, sf), "heat", "v", 1).select("image_id", "y", "x", "smooth"))
 
 
 cte(
@@ -311,7 +316,7 @@ cte(
 )
 def smooth_with_gaps(spark, sf):
     gap = (F.col("image_id") + F.col("y") * 3 + F.col("x")) % 11 == 0
-    cells = fx.tiles(spark, sf).withColumn("h", F.when(~gap, F.col("heat")))
+    cells = tiles_by_image(spark, sf).withColumn("h", F.when(~gap, F.col("heat")))
     for method in ("box", "guided", "gaussian"):
         cells = grid.smooth_heatmap(cells, "h", "v", method, 2, out=method)
     cells = grid.smooth_heatmap(cells, "h", None, "none", out="plain")
@@ -334,7 +339,7 @@ cte(
 
 
 def tile_mask(spark, sf):
-    return fx.tiles(spark, sf).withColumn("on", F.col("heat") >= 0.6)
+    return tiles_by_image(spark, sf).withColumn("on", F.col("heat") >= 0.6)
 
 
 def tile_morph(spark, sf):
@@ -355,7 +360,7 @@ GRAD = """(select *, sqrt(gx*gx+gy*gy) as g from (select *, case when lx is null
 
 @query("grid07_gradient_magnitude", ("tiles",), f"select image_id, y, x, round(g,6) as gradient from {GRAD}")
 def gradient(spark, sf):
-    return rounded(grid.gradient(fx.tiles(spark, sf), "heat").select("image_id", "y", "x", "gradient"))
+    return rounded(grid.gradient(tiles_by_image(spark, sf), "heat").select("image_id", "y", "x", "gradient"))
 
 
 @query("win16_central_differences", ("tiles",), f"select image_id, y, x, round(abs(gx),6) as gx_size, round(abs(gy),6) as gy_size from {GRAD}")
@@ -367,7 +372,7 @@ def central_differences(spark, sf):
         a, b, h = F.lag("heat").over(w), F.lead("heat").over(w), F.col("heat")
         return F.abs(F.when(a.isNull(), b - h).when(b.isNull(), h - a).otherwise((b - a) / 2))
 
-    return rounded(fx.tiles(spark, sf).select("image_id", "y", "x", slope("y", "x").alias("gx_size"), slope("x", "y").alias("gy_size")))
+    return rounded(tiles_by_image(spark, sf).select("image_id", "y", "x", slope("y", "x").alias("gx_size"), slope("x", "y").alias("gy_size")))
 
 
 cte("tile_grow_label", "select image_id, y, x, heat, case when heat>=6e-1 then 2 when heat<=45e-2 then 0 else 1 end as label from tiles", ("tiles",))
@@ -383,18 +388,18 @@ cte(
 def grow_into_uncertain(spark, sf):
     from pixelwarrant.operators import regions
 
-    labelled = fx.tiles(spark, sf).withColumn("label", heatmap.three_way_label(F.col("heat"), F.lit(1.0), 0.45, 0.6))
+    labelled = tiles_by_image(spark, sf).withColumn("label", heatmap.three_way_label(F.col("heat"), F.lit(1.0), 0.45, 0.6))
     return regions.grown_mask(labelled, 1, 1).select("image_id", "y", "x", "grown")
 
 
 @query("grid10_residual", ("tiles",), f"select t.image_id, t.y, t.x, round(t.v-g.g,6) as res from tiles t join {gauss_sql('tiles', 'v', 1.0)} g on g.image_id=t.image_id and g.y=t.y and g.x=t.x")
 def residual(spark, sf):
-    return rounded(grid.residual(fx.tiles(spark, sf), "v", "res", 1.0).select("image_id", "y", "x", "res"))
+    return rounded(grid.residual(tiles_by_image(spark, sf), "v", "res", 1.0).select("image_id", "y", "x", "res"))
 
 
 @query("grid11_local_variance", ("tiles",), f"select image_id, y, x, round(greatest(0,mm-m*m),6) as local_var from {box_mean_sql('tiles', {'m': 's.v', 'mm': 's.v*s.v'}, 2)}")
 def local_variance(spark, sf):
-    return rounded(grid.local_variance(fx.tiles(spark, sf), "v", 2).select("image_id", "y", "x", "local_var"))
+    return rounded(grid.local_variance(tiles_by_image(spark, sf), "v", 2).select("image_id", "y", "x", "local_var"))
 
 
 @query(
@@ -434,7 +439,7 @@ def bilinear_resample(spark, sf):
 
 @query("grid25_channel_normalise", ("tiles",), f"select image_id, y, x, round((g-485e-3)/229e-3,6) as v from {bilinear_sql('tiles', 'v', 4)}")
 def channel_normalise(spark, sf):
-    small = grid.resample_bilinear(fx.tiles(spark, sf), ["v"], F.lit(4), F.lit(4))
+    small = grid.resample_bilinear(tiles_by_image(spark, sf), ["v"], F.lit(4), F.lit(4))
     return rounded(grid.normalise_channels(small, {"v": (0.485, 0.229)}).select("image_id", "y", "x", "v"))
 
 

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 from pixelwarrant import fixtures as fx
 from pixelwarrant.operators import components as cc
 from pixelwarrant.operators import heatmap, ranks, regions
-from pixelwarrant.plans.queries_grid import GRAD, SCALES, tile_map
+from pixelwarrant.plans.queries_grid import GRAD, SCALES, tile_map, tiles_by_image
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
 
 SETTINGS = dict(min_area_frac=0.03, grow=1, close_radius=1, halo=2, ring=2, max_regions=3)
 
 
-def tile_cells(spark, sf):
+def tile_cells(spark, sf, tiles=None):
     """The raw tile heat as the map, with support and per-scale heat from the blended windows."""
     blended = tile_map(spark, sf).select(
         "image_id", "y", "x", F.round("support", 9).alias("support"), F.round("disagreement", 9).alias("disagreement"), "per_scale"
     )
-    cells = fx.tiles(spark, sf).join(blended, ["image_id", "y", "x"])
+    cells = (fx.tiles(spark, sf) if tiles is None else tiles).join(blended, ["image_id", "y", "x"])
     return cells.withColumn("label", heatmap.three_way_label(F.col("heat"), F.lit(1.0), 0.45, 0.6))
 
 
@@ -81,7 +81,7 @@ def connected_components(spark, sf):
 
 
 def tile_labels(spark, sf):
-    return fx.tiles(spark, sf).withColumn("label", heatmap.three_way_label(F.col("heat"), F.lit(1.0), 0.45, 0.6))
+    return tiles_by_image(spark, sf).withColumn("label", heatmap.three_way_label(F.col("heat"), F.lit(1.0), 0.45, 0.6))
 
 
 @query(
@@ -92,7 +92,7 @@ def tile_labels(spark, sf):
   round(uncertain_halo_frac,6) as uncertain_halo_frac, round(compactness,6) as compactness from region_rows""",
 )
 def region_descriptors(spark, sf):
-    found, _, _ = tile_regions(spark, sf)
+    found, *_ = tile_regions(spark, sf)
     return rounded(
         found.select(
             "image_id",
@@ -122,16 +122,14 @@ def region_descriptors(spark, sf):
 
 @query("agg20_boundary_sharpness", ("region_rows",), "select image_id, region_id, round(boundary_sharpness,6) as boundary_sharpness, perimeter from region_rows")
 def boundary_sharpness(spark, sf):
-    found, _, _ = tile_regions(spark, sf)
+    found, *_ = tile_regions(spark, sf)
     return rounded(found.select("image_id", "region_id", "boundary_sharpness", "perimeter"))
 
 
 @query("win10_region_rank", ("region_base",), "select image_id, region_id, round(area_frac*mean_score,6) as mass from region_base where region_id<=3")
 def region_rank(spark, sf):
-    cells = regions.with_frame(tile_cells(spark, sf))
-    parts = cc.label_components(regions.grown_mask(cells, 1, 1), "grown")
-    kept = regions.ranked_components(cells.join(parts, ["image_id", "y", "x"]), SCALES, 0.03, 3)
-    return rounded(kept.select("image_id", "region_id", (F.col("area_frac") * F.col("mean_score")).alias("mass")))
+    found, *_ = tile_regions(spark, sf)
+    return rounded(found.select("image_id", "region_id", (F.col("area_frac") * F.col("mean_score")).alias("mass")))
 
 
 @query(
@@ -140,7 +138,7 @@ def region_rank(spark, sf):
     "select r.image_id, r.region_id, round(avg(t.v),6) as mean_v, round(min(t.heat),6) as min_heat, count(*) as n from region_cells r join tiles t on t.image_id=r.image_id and t.y=r.y and t.x=r.x group by 1,2",
 )
 def region_measurements(spark, sf):
-    _, members, _ = tile_regions(spark, sf)
+    _, members, *_ = tile_regions(spark, sf)
     joined = members.join(fx.tiles(spark, sf), ["image_id", "y", "x"])
     return rounded(joined.groupBy("image_id", "region_id").agg(F.avg("v").alias("mean_v"), F.min("heat").alias("min_heat"), F.count(F.lit(1)).alias("n")))
 
@@ -152,7 +150,7 @@ def region_measurements(spark, sf):
   where c.y=floor((yy+5e-1)*8/12)::int and c.x=floor((xx+5e-1)*8/20)::int""",
 )
 def union_mask(spark, sf):
-    _, members, _ = tile_regions(spark, sf)
+    _, members, *_ = tile_regions(spark, sf)
     return regions.predicted_mask(members, F.lit(8), F.lit(8), F.lit(20), F.lit(12)).select("image_id", "y", "x")
 
 
@@ -182,7 +180,7 @@ cte(
 
 @query("join05_region_face_overlap", ("region_faces",), "select image_id, region_id, x0, y0, x1, y1, round(face_overlap,6) as face_overlap from region_faces")
 def region_face_overlap(spark, sf):
-    found, members, _ = tile_regions(spark, sf)
+    found, members, *_ = tile_regions(spark, sf)
     matched = regions.match_faces(found, members, faces(spark, sf))
     return rounded(matched.select("image_id", "region_id", "face.*", "face_overlap"))
 
