@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+    bounded = F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), bounded)
 
 
 def logit(p: Column) -> Column:
@@ -34,18 +35,21 @@ def interpolate(value: Column, knots: Column) -> Column:
 
 def blend(*terms: tuple[Column, Column | float]) -> Column:
     """Weighted mean of (value, weight) pairs in [0, 1]; 0.5 without any weight."""
-    pairs = F.array(
-        *[
-            F.struct(v.cast("double").alias("v"), (w if isinstance(w, Column) else F.lit(w)).cast("double").alias("w"))
-            for v, w in terms
-        ]
-    )
-    kept = F.filter(pairs, lambda t: t["w"].isNotNull() & (t["w"] > 0) & t["v"].isNotNull())
-    top = F.aggregate(kept, F.lit(0.0), lambda a, t: a + t["v"] * t["w"])
-    total = F.aggregate(kept, F.lit(0.0), lambda a, t: a + t["w"])
+    top, total = F.lit(0.0), F.lit(0.0)
+    for value, weight in terms:
+        w = weight if isinstance(weight, Column) else F.lit(float(weight))
+        used = F.when(value.isNotNull() & (w > 0), w).otherwise(0.0)
+        top = top + F.coalesce(value, F.lit(0.0)) * used
+        total = total + used
     return F.when(total > 0, clip(F.try_divide(top, total))).otherwise(F.lit(0.5))
 
 
+def present(*texts: Column) -> Column:
+    """The non-NULL texts in order (no text holds a line break)."""
+    joined = F.concat_ws("\n", *texts)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\n"))
+
+
 def squash(value: Column, scale: float) -> Column:
     """A signed contrast mapped to [0, 1], 0 landing on 0.5."""
     return 0.5 * (1.0 + F.tanh(value / max(scale, 1e-6)))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelwarrant.functions.scalar import blend, clip, squash
+from pixelwarrant.functions.scalar import blend, clip, present, squash
 from pixelwarrant.operators.routing import percent
 
 # Confidence ceilings of the two limited scorers.
@@ -19,10 +19,6 @@ FACE_MAX_CONFIDENCE = 0.55
 FALLBACK_MAX_CONFIDENCE = 0.35
 
 
-def _texts(*parts: Column) -> Column:
-    return F.filter(F.array(*parts), lambda t: t.isNotNull())
-
-
 def _result(probability: Column, confidence: Column, evidence: Column, kind: Column | None = None) -> Column:
     return F.struct(
         clip(probability).alias("probability"),
@@ -36,17 +32,46 @@ def _unmeasured() -> Column:
     return _result(F.col("mean_score"), F.lit(0.15), F.array(F.lit("too few cells for a forensic comparison")))
 
 
-def compression_weight() -> Column:
-    """How much block structure the surroundings show at all."""
-    strongest = F.greatest("jpeg_grid_inside", "jpeg_grid_outside") - 1.0
-    return clip(strongest / 0.15)
+def _traces(nothing: str, *pairs: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Texts of the conditions that hold (or `nothing`), and whether none holds."""
+    some = pairs[0][0]
+    for cond, _ in pairs[1:]:
+        some = some | cond
+    return present(*[F.when(c, t) for c, t in pairs], F.when(~some, F.lit(nothing))), ~some
+
+
+def prepared(regions: DataFrame) -> DataFrame:
+    """Add the quantities that several scorers or texts read, each as one column."""
+    noise, detail = F.col("noise_contrast"), F.col("high_freq_contrast")
+    zero = F.lit(0.0)
+    first = regions.withColumns(
+        {
+            # How much block structure the surroundings show at all.
+            "_weight": clip((F.greatest("jpeg_grid_inside", "jpeg_grid_outside") - 1.0) / 0.15),
+            "_smooth_vote": squash(-noise, 0.25),
+            "_detail_vote": squash(-detail, 0.30),
+            "_coverage": clip(F.col("area_frac") / 0.55),
+            "_agreement": clip(1.0 - F.col("scale_disagreement") / 0.15),
+            "_uniformity": clip(1.0 - F.col("heat_std") / 0.20),
+        }
+    )
+    # Does the discontinuity point at a generator, or at a conventional edit?
+    history = F.col("_weight") * (F.abs(F.col("jpeg_grid_contrast")) + F.greatest(zero, F.col("ela_contrast")))
+    second = first.withColumns(
+        {
+            "_ai_lean": F.greatest(zero, -noise) + F.greatest(zero, -detail),
+            "_plain_lean": F.greatest(zero, noise) + history,
+            "_lean": F.abs(noise) + F.greatest(zero, -detail) + history,
+        }
+    )
+    both = F.col("_ai_lean") + F.col("_plain_lean")
+    return second.withColumn("_ai_share", F.when(both > 1e-6, F.try_divide(F.col("_ai_lean"), both)).otherwise(0.5))
 
 
 def inpainting() -> Column:
     noise, detail, lattice = F.col("noise_contrast"), F.col("high_freq_contrast"), F.col("jpeg_grid_contrast")
-    weight = compression_weight()
-    smooth_vote, detail_vote = squash(-noise, 0.25), squash(-detail, 0.30)
-    sharpness = F.col("boundary_sharpness")
+    weight, sharpness = F.col("_weight"), F.col("boundary_sharpness")
+    smooth_vote, detail_vote = F.col("_smooth_vote"), F.col("_detail_vote")
     probability = blend(
         (smooth_vote, 1.0),
         (detail_vote, 0.8),
@@ -55,51 +80,32 @@ def inpainting() -> Column:
         (F.col("mean_score"), 1.2),
         (F.col("crop_score"), 0.8),
     )
-    active = F.filter(F.array(smooth_vote, detail_vote), lambda v: F.abs(v - 0.5) > 0.02)
-    signs = F.aggregate(active, F.lit(0.0), lambda a, v: a + F.signum(v - 0.5))
-    agreement = F.when(F.size(active) >= 2, F.abs(signs / F.size(active))).otherwise(0.0)
+    both_vote = (F.abs(smooth_vote - 0.5) > 0.02) & (F.abs(detail_vote - 0.5) > 0.02)
+    same_side = F.abs(F.signum(smooth_vote - 0.5) + F.signum(detail_vote - 0.5)) / 2
     confidence = F.least(
-        F.lit(0.9), 0.25 + 0.35 * agreement + 0.20 * weight + 0.20 * F.least(F.lit(1.0), F.col("area_frac") / 0.05)
-    )
-    found = _texts(
-        F.when(noise < -0.08, F.concat(F.lit("noise floor lower than around by "), percent(-noise))),
-        F.when(noise > 0.08, F.concat(F.lit("noise floor higher than around by "), percent(noise))),
-        F.when(detail < -0.08, F.concat(F.lit("fine detail below the ring by "), percent(-detail))),
-        F.when((weight > 0.2) & (F.abs(lattice) > 0.08), F.lit("block lattice breaks at the rim")),
-        F.when(sharpness > 0.04, F.lit("map falls off sharply at the rim")),
-    )
-    none = F.size(found) == 0
-    measured = _result(
-        probability,
-        F.when(none, F.least(confidence, F.lit(0.3))).otherwise(confidence),
-        F.when(none, F.array(F.lit("no break found at the rim"))).otherwise(found),
+        F.lit(0.9),
+        0.25 + 0.35 * F.when(both_vote, same_side).otherwise(0.0) + 0.20 * weight + 0.20 * F.least(F.lit(1.0), F.col("area_frac") / 0.05),
     )
-    return F.when(F.col("valid"), measured).otherwise(_unmeasured())
-
-
-def ai_share() -> Column:
-    """Share of the discontinuity that points at a generator rather than a conventional edit."""
-    noise, detail = F.col("noise_contrast"), F.col("high_freq_contrast")
-    zero = F.lit(0.0)
-    ai = F.greatest(zero, -noise) + F.greatest(zero, -detail)
-    plain = F.greatest(zero, noise) + compression_weight() * (
-        F.abs(F.col("jpeg_grid_contrast")) + F.greatest(zero, F.col("ela_contrast"))
+    found, none = _traces(
+        "no break found at the rim",
+        (noise < -0.08, F.concat(F.lit("noise floor lower than around by "), percent(-noise))),
+        (noise > 0.08, F.concat(F.lit("noise floor higher than around by "), percent(noise))),
+        (detail < -0.08, F.concat(F.lit("fine detail below the ring by "), percent(-detail))),
+        ((weight > 0.2) & (F.abs(lattice) > 0.08), F.lit("block lattice breaks at the rim")),
+        (sharpness > 0.04, F.lit("map falls off sharply at the rim")),
     )
-    return F.when(ai + plain > 1e-6, F.try_divide(ai, ai + plain)).otherwise(0.5)
+    return _measured(probability, confidence, found, none, 0.3)
 
 
-def _total_lean() -> Column:
-    zero = F.lit(0.0)
-    return (
-        F.abs(F.col("noise_contrast"))
-        + F.greatest(zero, -F.col("high_freq_contrast"))
-        + compression_weight() * (F.abs(F.col("jpeg_grid_contrast")) + F.greatest(zero, F.col("ela_contrast")))
-    )
+def _measured(probability: Column, confidence: Column, found: Column, none: Column, bare: float, kind: Column | None = None) -> Column:
+    """The result where the report is valid; with no trace found, confidence is held at `bare`."""
+    held = F.least(confidence, F.when(none, bare).otherwise(1.0))
+    return F.when(F.col("valid"), _result(probability, held, found, kind)).otherwise(_unmeasured())
 
 
 def compositing() -> Column:
     noise, lattice, ela, corr = (F.col(f"{n}_contrast") for n in ("noise", "jpeg_grid", "ela", "channel_corr"))
-    weight, straight = compression_weight(), F.col("edge_straightness")
+    weight, straight, share, lean = F.col("_weight"), F.col("edge_straightness"), F.col("_ai_share"), F.col("_lean")
     probability = blend(
         (squash(F.abs(noise), 0.25), 1.0),
         (squash(F.abs(lattice), 0.20), weight * 1.2),
@@ -111,35 +117,26 @@ def compositing() -> Column:
     confidence = F.least(
         F.lit(0.85), 0.20 + 0.30 * weight + 0.25 * F.least(F.lit(1.0), F.abs(noise) / 0.25) + 0.15 * straight
     )
-    share, lean = ai_share(), _total_lean()
-    found = _texts(
-        F.when(F.abs(noise) > 0.10, F.concat(F.lit("noise floor differs by "), percent(F.abs(noise)))),
-        F.when((weight > 0.2) & (F.abs(lattice) > 0.08), F.lit("block lattice differs across the rim")),
-        F.when((weight > 0.2) & (ela > 0.10), F.concat(F.lit("error level higher inside by "), percent(ela))),
-        F.when(straight > 0.35, F.concat(F.lit("straight rim share "), percent(straight))),
-        F.when(F.abs(corr) > 0.15, F.concat(F.lit("channel correlation differs by "), percent(F.abs(corr)))),
-        F.when((lean > 0.15) & (share < 0.35), F.lit("reads as a conventional edit")),
-        F.when((lean > 0.15) & (share > 0.65), F.lit("reads as a generative edit")),
-    )
-    none = F.size(found) == 0
-    kind = F.when(share > 0.65, "generative").when(share < 0.35, "conventional").otherwise("ambiguous")
-    measured = _result(
-        probability,
-        F.when(none, F.least(confidence, F.lit(0.25))).otherwise(confidence),
-        F.when(none, F.array(F.lit("no trace of compositing at the rim"))).otherwise(found),
-        kind,
+    found, none = _traces(
+        "no trace of compositing at the rim",
+        (F.abs(noise) > 0.10, F.concat(F.lit("noise floor differs by "), percent(F.abs(noise)))),
+        ((weight > 0.2) & (F.abs(lattice) > 0.08), F.lit("block lattice differs across the rim")),
+        ((weight > 0.2) & (ela > 0.10), F.concat(F.lit("error level higher inside by "), percent(ela))),
+        (straight > 0.35, F.concat(F.lit("straight rim share "), percent(straight))),
+        (F.abs(corr) > 0.15, F.concat(F.lit("channel correlation differs by "), percent(F.abs(corr)))),
+        ((lean > 0.15) & (share < 0.35), F.lit("reads as a conventional edit")),
+        ((lean > 0.15) & (share > 0.65), F.lit("reads as a generative edit")),
     )
-    return F.when(F.col("valid"), measured).otherwise(_unmeasured())
+    kind = F.when(share > 0.65, "generative").when(share < 0.35, "conventional").otherwise("ambiguous")
+    return _measured(probability, confidence, found, none, 0.25, kind)
 
 
 def synthesis() -> Column:
     whole, mean = F.col("whole_image_score"), F.col("mean_score")
-    coverage = clip(F.col("area_frac") / 0.55)
-    agreement = clip(1.0 - F.col("scale_disagreement") / 0.15)
-    uniformity = clip(1.0 - F.col("heat_std") / 0.20)
+    coverage, agreement, uniformity = F.col("_coverage"), F.col("_agreement"), F.col("_uniformity")
     probability = blend((whole, 2.0), (mean, 1.0), (whole, coverage), (0.5 + agreement * (mean - 0.5), 0.6))
     confidence = F.least(F.lit(0.95), 0.30 + 0.30 * coverage + 0.25 * agreement + 0.15 * uniformity)
-    found = _texts(
+    found = present(
         F.when(F.col("area_frac") > 0.4, F.concat(F.lit("covers "), percent(F.col("area_frac")))),
         F.when(agreement > 0.6, F.lit("holds at every window scale")),
         F.when(uniformity > 0.6, F.lit("flat likelihood across the region")),
@@ -164,7 +161,7 @@ def face_edit() -> Column:
         F.lit(FACE_MAX_CONFIDENCE),
         0.20 + F.when(valid, 0.25).otherwise(0.0) + 0.15 * F.least(F.lit(1.0), F.col("area_frac") / 0.03),
     )
-    found = _texts(
+    found = present(
         F.lit("general check of a face region, not a face-swap model"),
         F.when(valid & (F.abs(noise) > 0.10), F.concat(F.lit("noise floor differs from the surround by "), percent(F.abs(noise)))),
         F.when(valid & (detail < -0.10), F.concat(F.lit("less fine detail than the surround by "), percent(-detail))),
@@ -181,7 +178,7 @@ def fallback() -> Column:
     confidence = F.least(
         F.lit(FALLBACK_MAX_CONFIDENCE), 0.10 + 0.10 * F.least(F.lit(1.0), size / 0.05) + 0.10 * clip(1.0 - spread / 0.2)
     )
-    found = _texts(
+    found = present(
         F.concat(F.lit("flagged by the map, mean "), percent(F.col("mean_score")), F.lit(", peak "), percent(F.col("max_score"))),
         F.concat(F.lit("crop score "), percent(F.col("crop_score"))),
         F.when(spread > 0.15, F.concat(F.lit("window scales disagree by "), percent(spread))),
@@ -211,19 +208,16 @@ def unknown_scorers(names: list[str]) -> list[str]:
 def run_scorers(regions: DataFrame, names: str = "scorers") -> DataFrame:
     """One row per (region, scorer to run) with its result; an unregistered name raises when met.
 
-    All results of a region are built in one array and unpacked, so each scorer's expression
-    is evaluated once per region and only where it is asked for.
+    Each scorer's result is its own column, evaluated once per region and only where asked
+    for; the results are then unpacked into rows.
     """
     asked = lambda name: F.array_contains(F.col(names), name)
-    results = F.array(
-        *[
-            F.when(asked(name), F.struct(F.lit(name).alias("specialist"), scorer().alias("result")))
-            for name, scorer in SCORERS.items()
-        ]
-    )
-    known = F.array(*[F.lit(n) for n in SCORERS])
-    strange = F.array_except(names, known)
-    checked = F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown scorer "), strange[0]))).otherwise(
-        F.filter(results, lambda r: r.isNotNull())
-    )
-    return regions.select("*", F.explode(checked).alias("_r")).select(*regions.columns, "_r.specialist", "_r.result")
+    strange = F.array_except(names, F.array(*[F.lit(n) for n in SCORERS]))
+    checked = regions.withColumn(
+        names,
+        F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown scorer "), F.array_join(strange, ", ")))).otherwise(F.col(names)),
+    )
+    scored = prepared(checked).withColumns({f"_r_{n}": F.when(asked(n), scorer()) for n, scorer in SCORERS.items()})
+    packed = F.array(*[F.struct(F.lit(n).alias("specialist"), F.col(f"_r_{n}").alias("result")) for n in SCORERS])
+    rows = scored.select(*regions.columns, F.explode(packed).alias("_r")).where(F.col("_r.result").isNotNull())
+    return rows.select(*regions.columns, "_r.specialist", "_r.result")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelwarrant.functions.scalar import fine_minus_coarse
+from pixelwarrant.functions.scalar import fine_minus_coarse, present
 
 
 @dataclass(frozen=True)
@@ -33,13 +33,20 @@ def with_lead(regions: DataFrame) -> DataFrame:
     return regions.withColumn("fine_lead", fine_minus_coarse(F.col("scale_profile")))
 
 
+def with_route(regions: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Add `fine_lead`, `weak` and `route`."""
+    rules = rules or Rules()
+    staged = with_lead(regions).withColumn("weak", weak_reasons(rules))
+    return staged.withColumn("route", route(rules))
+
+
 def weak_reasons(rules: Rules = Rules()) -> Column:
     """Why a region's evidence is too weak or unstable; an empty array when it is not.
 
     Scale disagreement that the fine scale's lead explains is not held against a region.
     """
     unexplained = F.col("scale_disagreement") - F.greatest(F.lit(0.0), F.col("fine_lead"))
-    reasons = F.array(
+    return present(
         F.when(F.col("mean_score") < rules.weak_score, F.concat(F.lit("mean score only "), percent(F.col("mean_score")))),
         F.when(F.col("support") < rules.min_support, F.concat(F.lit("window support only "), percent(F.col("support")))),
         F.when(F.col("area_frac") < rules.min_area_frac, F.concat(F.lit("area only "), percent(F.col("area_frac")))),
@@ -48,16 +55,15 @@ def weak_reasons(rules: Rules = Rules()) -> Column:
             F.concat(F.lit("unexplained scale spread "), percent(unexplained)),
         ),
     )
-    return F.filter(reasons, lambda r: r.isNotNull())
 
 
 def route(rules: Rules = Rules()) -> Column:
     """Primary scorer, alternates and reason, by the first rule that holds.
 
-    Reads the region descriptors, `fine_lead`, and `face_overlap` (NULL without a face).
+    Reads the region descriptors, `fine_lead`, `weak`, and `face_overlap` (NULL without a face).
     """
     sharp = F.col("boundary_sharpness") >= rules.sharp_boundary
-    weak = weak_reasons(rules)
+    weak = F.col("weak")
 
     def decision(primary: str, alternates: list[str], reason: Column) -> Column:
         return F.struct(

@@ -9,6 +9,7 @@ from pixelwarrant.operators import dataset as ds
 from pixelwarrant.operators import evidence, forensics, fusion, grid, heatmap, routing, severities, spectral
 from pixelwarrant.plans import analyze
 from pixelwarrant.plans import queries_regions as qr
+from pixelwarrant.plans.queries_dataset import REQUESTS, paths
 from pixelwarrant.plans.queries_grid import gauss_sql, tiles_by_image
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
@@ -120,7 +121,7 @@ def _scorer_query(name: str, number: int):
         f"select image_id, region_id, round(probability,6) as probability, round(confidence,6) as confidence, kind, n_evidence from ev_{name}",
     )
     def build(spark, sf):
-        out = region_facts(spark, sf).withColumn("r", evidence.SCORERS[name]())
+        out = evidence.prepared(region_facts(spark, sf)).withColumn("r", evidence.SCORERS[name]())
         return rounded(
             out.select("image_id", "region_id", "r.probability", "r.confidence", "r.kind", F.size("r.evidence").alias("n_evidence"))
         )
@@ -168,8 +169,7 @@ cte(
 
 
 def routed(spark, sf):
-    facts = routing.with_lead(region_facts(spark, sf))
-    return facts.withColumn("route", routing.route())
+    return routing.with_route(region_facts(spark, sf))
 
 
 @query("prj24_router", ("routed",), "select image_id, region_id, prim as primary_route, alternates, reason from routed")
@@ -676,8 +676,6 @@ def traceable_names(spark, sf):
     "select severity, regexp_extract(severity,'^([a-z_]+?)_?[sq]?[0-9]',1) as op, try_cast(regexp_extract(severity,'([0-9]+[.]?[0-9]*)',1) as double) as param, count(*) as n from requests group by 1,2,3",
 )
 def severity_names(spark, sf):
-    from pixelwarrant.plans.queries_dataset import REQUESTS
-
     names = F.array(*[F.lit(n) for n in REQUESTS])
     rows = fx.patches(spark, sf).select(
         F.element_at(names, ((F.col("image_id") + F.col("patch_no")) % 6 + 1).cast("int")).alias("severity")
@@ -692,8 +690,6 @@ def severity_names(spark, sf):
     "select path, regexp_replace(split_part(path,'/',5),'[.][^.]*$','') as stem, lower(regexp_extract(split_part(path,'/',5),'([.][^.]*)$',1)) as suffix, split_part(path,'/',4) as parent from paths",
 )
 def path_parts(spark, sf):
-    from pixelwarrant.plans.queries_dataset import paths
-
     p = F.col("path")
     return paths(spark, sf).select("path", scalar.stem(p).alias("stem"), scalar.suffix(p).alias("suffix"), scalar.parent(p).alias("parent"))
 
