@@ -2,7 +2,7 @@
 
 Each scorer is a function of Column expressions returning one struct `(probability,
 confidence, evidence, kind)`; it reads region descriptors and the region report. A new
-scorer is registered by name and gets no special treatment.
+scorer is one more entry of the mapping that `run_scorers` takes.
 """
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ FACE_MAX_CONFIDENCE = 0.55
 FALLBACK_MAX_CONFIDENCE = 0.35
 
 
-def _result(probability: Column, confidence: Column, evidence: Column, kind: Column | None = None) -> Column:
+def result(probability: Column, confidence: Column, evidence: Column, kind: Column | None = None) -> Column:
     return F.struct(
         clip(probability).alias("probability"),
         clip(confidence).alias("confidence"),
@@ -29,7 +29,7 @@ def _result(probability: Column, confidence: Column, evidence: Column, kind: Col
 
 
 def _unmeasured() -> Column:
-    return _result(F.col("mean_score"), F.lit(0.15), F.array(F.lit("too few cells for a forensic comparison")))
+    return result(F.col("mean_score"), F.lit(0.15), F.array(F.lit("too few cells for a forensic comparison")))
 
 
 def _traces(nothing: str, *pairs: tuple[Column, Column]) -> tuple[Column, Column]:
@@ -100,7 +100,7 @@ def inpainting() -> Column:
 def _measured(probability: Column, confidence: Column, found: Column, none: Column, bare: float, kind: Column | None = None) -> Column:
     """The result where the report is valid; with no trace found, confidence is held at `bare`."""
     held = F.least(confidence, F.when(none, bare).otherwise(1.0))
-    return F.when(F.col("valid"), _result(probability, held, found, kind)).otherwise(_unmeasured())
+    return F.when(F.col("valid"), result(probability, held, found, kind)).otherwise(_unmeasured())
 
 
 def compositing() -> Column:
@@ -142,7 +142,7 @@ def synthesis() -> Column:
         F.when(uniformity > 0.6, F.lit("flat likelihood across the region")),
         F.concat(F.lit("whole-image score "), percent(whole)),
     )
-    return _result(probability, confidence, found)
+    return result(probability, confidence, found)
 
 
 def face_edit() -> Column:
@@ -169,7 +169,7 @@ def face_edit() -> Column:
         F.when(asymmetry > 0.12, F.concat(F.lit("halves differ in noise by "), percent(asymmetry))),
         F.concat(F.lit("face crop score "), percent(F.col("face_crop_score"))),
     )
-    return _result(probability, confidence, found)
+    return result(probability, confidence, found)
 
 
 def fallback() -> Column:
@@ -185,7 +185,7 @@ def fallback() -> Column:
         F.when(support < 0.4, F.concat(F.lit("thin window support "), percent(support))),
         F.when(size < 0.01, F.lit("too small for reliable contrasts")),
     )
-    return _result(probability, confidence, found)
+    return result(probability, confidence, found)
 
 
 SCORERS: dict[str, Callable[[], Column]] = {
@@ -197,27 +197,24 @@ SCORERS: dict[str, Callable[[], Column]] = {
 }
 
 
-def register_scorer(name: str, scorer: Callable[[], Column]) -> None:
-    SCORERS[name] = scorer
-
-
 def unknown_scorers(names: list[str]) -> list[str]:
     return sorted(set(names) - set(SCORERS))
 
 
-def run_scorers(regions: DataFrame, names: str = "scorers") -> DataFrame:
+def run_scorers(regions: DataFrame, names: str = "scorers", scorers: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """One row per (region, scorer to run) with its result; an unregistered name raises when met.
 
     Each scorer's result is its own column, evaluated once per region and only where asked
     for; the results are then unpacked into rows.
     """
+    scorers = scorers or SCORERS
     asked = lambda name: F.array_contains(F.col(names), name)
-    strange = F.array_except(names, F.array(*[F.lit(n) for n in SCORERS]))
+    strange = F.array_except(names, F.array(*[F.lit(n) for n in scorers]))
     checked = regions.withColumn(
         names,
         F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown scorer "), F.array_join(strange, ", ")))).otherwise(F.col(names)),
     )
-    scored = prepared(checked).withColumns({f"_r_{n}": F.when(asked(n), scorer()) for n, scorer in SCORERS.items()})
-    packed = F.array(*[F.struct(F.lit(n).alias("specialist"), F.col(f"_r_{n}").alias("result")) for n in SCORERS])
+    scored = prepared(checked).withColumns({f"_r_{n}": F.when(asked(n), scorer()) for n, scorer in scorers.items()})
+    packed = F.array(*[F.struct(F.lit(n).alias("specialist"), F.col(f"_r_{n}").alias("result")) for n in scorers])
     rows = scored.select(*regions.columns, F.explode(packed).alias("_r")).where(F.col("_r.result").isNotNull())
     return rows.select(*regions.columns, "_r.specialist", "_r.result")

@@ -114,6 +114,24 @@ def payload_scan(spark, sf):
     return rows.select(F.md5("payload").alias("digest"), F.octet_length("payload").alias("n_bytes"))
 
 
+@query(
+    "src06_shard_offset",
+    (),
+    "select doc_id, case when doc_id%4>=2 then 'second' else 'first' end as family from documents",
+)
+def shard_offset(spark, sf):
+    """Two families read disjoint ranges of one corpus' sorted shard files."""
+    path = tables.scratch_dir(spark, "shards")
+    docs = fx.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("shard"))
+    docs.repartition("shard").write.partitionBy("shard").parquet(path)
+    files = spark.read.parquet(path).inputFiles()
+    second = set(tables.shard_slice(files, len(files) // 2))
+    read = lambda names: spark.read.parquet(*sorted(names)).select("doc_id")
+    first, later = read(set(files) - second), read(second)
+    assert tables.shared_files(first, later).isEmpty()
+    return first.withColumn("family", F.lit("first")).unionByName(later.withColumn("family", F.lit("second")))
+
+
 @query(
     "src07_three_class_scan",
     ("patches",),

@@ -802,3 +802,19 @@ def tile_verdicts(spark, sf):
     """The full path from cells to verdicts, on every tile."""
     out = tile_analysis(spark, sf).verdicts
     return rounded(out.select("image_id", "verdict", "score", "confidence", "n_findings", "coverage", "explanation"))
+
+
+def _border_scorer():
+    return evidence.result(F.col("edge_straightness"), F.lit(0.4), F.array(F.lit("straight rim")))
+
+
+@query(
+    "udf04_registered_scorer",
+    ("facts",),
+    "select image_id, region_id, 'border' as specialist, round(edge_straightness,6) as probability, 4e-1 as confidence from facts",
+)
+def registered_scorer(spark, sf):
+    """A scorer of the user's own, run by name beside the given ones."""
+    named = region_facts(spark, sf).withColumn("scorers", F.array(F.lit("border")))
+    out = evidence.run_scorers(named, scorers={**evidence.SCORERS, "border": _border_scorer})
+    return rounded(out.select("image_id", "region_id", "specialist", "result.probability", "result.confidence"))

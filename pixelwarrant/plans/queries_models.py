@@ -295,6 +295,22 @@ def pluggable_extractor(spark, sf):
     return rounded(out.select("sample_id", F.size("features").alias("dim"), F.col("features")[0].cast("double").alias("first")))
 
 
+def _linear_predictor():
+    weights = np.linspace(-1.0, 1.0, 64)
+    return lambda batch: 1.0 / (1.0 + np.exp(-np.stack(batch["features"].to_numpy()).astype(float) @ weights))
+
+
+@query(
+    "udf03_foreign_predictor",
+    ("feat",),
+    "select sample_id, round(1/(1+exp(-z)),5) as score from (select sample_id, sum(v*(-1+2*(i-1)/63e0)) as z from (select sample_id, generate_subscripts(features,1) as i, unnest(features)::double as v from feat) group by 1)",
+)
+def foreign_predictor(spark, sf):
+    """A model that is not a Spark model, loaded once per worker."""
+    rows = fx.feat(spark, sf).select("sample_id", "features")
+    return rounded(udfs.score_patches(rows, _linear_predictor, ["sample_id"]), 5)
+
+
 @query("udf06_knots_per_scale", ("scale_y",), "select scale, count(distinct score) as n_scores, round(min(score),6) as lowest, round(max(score),6) as highest from scale_y group by scale")
 def knots_per_scale(spark, sf):
     """The staircase thinned per scale; with few distinct scores every one stays a knot."""
