@@ -92,15 +92,19 @@ def _along(df: DataFrame, keys: Sequence[str], line: str, pos: str, make) -> Dat
     return packed.select(*keys, line, F.explode(make(F.col("_line"))).alias("_cell")).select(*keys, line, "_cell.*")
 
 
+Taps = Sequence[tuple[int, float]]
+
+
 def convolve(
-    df: DataFrame,
-    columns: dict[str, str],
-    taps: Sequence[tuple[int, float]],
-    keys: Sequence[str] = KEYS,
-    repeat_edge: bool = False,
+    df: DataFrame, outputs: dict[str, tuple[str, Taps]], keys: Sequence[str] = KEYS, repeat_edge: bool = False
 ) -> DataFrame:
-    """Separable convolution with mirrored edges; `columns` maps output to input columns."""
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in taps])
+    """Separable convolutions with mirrored edges: `outputs` maps a new column to (input, taps).
+
+    All outputs share one pass along x and one along y.
+    """
+    kernels = {
+        out: F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in taps]) for out, (_, taps) in outputs.items()
+    }
 
     def one_axis(source: dict[str, str]):
         def make(line: Column) -> Column:
@@ -109,7 +113,7 @@ def convolve(
             def cell(s: Column, i: Column) -> Column:
                 for out, src in source.items():
                     total = F.aggregate(
-                        kernel,
+                        kernels[out],
                         F.lit(0.0),
                         lambda acc, t: acc + t["w"] * F.get(line, reflected(i + t["k"], n, repeat_edge))[src],
                     )
@@ -120,8 +124,8 @@ def convolve(
 
         return make
 
-    rows = _along(df, keys, "y", "x", one_axis(columns))
-    return _along(rows, keys, "x", "y", one_axis({o: o for o in columns}))
+    rows = _along(df, keys, "y", "x", one_axis({out: src for out, (src, _) in outputs.items()}))
+    return _along(rows, keys, "x", "y", one_axis({out: out for out in outputs}))
 
 
 def gaussian_blur(df: DataFrame, columns: dict[str, str], sigma: float, keys: Sequence[str] = KEYS, **how) -> DataFrame:
@@ -132,7 +136,8 @@ def gaussian_blur(df: DataFrame, columns: dict[str, str], sigma: float, keys: Se
     repeat_edge = how.pop("repeat_edge", False)
     if sigma <= 0:
         return df.withColumns({o: F.col(s) for o, s in columns.items()})
-    return convolve(df, columns, gaussian_taps(sigma, **how), keys, repeat_edge)
+    taps = gaussian_taps(sigma, **how)
+    return convolve(df, {out: (src, taps) for out, src in columns.items()}, keys, repeat_edge)
 
 
 def residual(df: DataFrame, column: str, out: str, sigma: float = 1.0, keys: Sequence[str] = KEYS, **how) -> DataFrame:

@@ -181,7 +181,7 @@ def extract_regions(
         kept.select("image_id", "component", "region_id"), ["image_id", "component"]
     ).drop("component")
     local = region_grid(kept, framed, halo, ring)
-    described = kept.join(rim_descriptors(local), list(REGION))
+    described = durable(kept.join(rim_descriptors(local), list(REGION)))
     return described, region_cells, local, framed
 
 
