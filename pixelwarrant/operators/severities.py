@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelwarrant.session import small
+
 # Severity name -> transform steps in order.
 SEVERITIES: dict[str, list[tuple[str, float]]] = {
     "clean": [],
@@ -68,11 +70,11 @@ def severity_table(spark: SparkSession, levels: dict[str, list[tuple[str, float]
 def lookup(requests: DataFrame, table: DataFrame, name: str = "severity") -> DataFrame:
     """Ordered steps per request; an unknown name keeps its row with `known = false`."""
     known = table.withColumn("known", F.lit(True))
-    return requests.join(F.broadcast(known), name, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return requests.join(small(known), name, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def require_known(requests: DataFrame, table: DataFrame, name: str = "severity") -> None:
-    unknown = requests.select(name).distinct().join(F.broadcast(table), name, "left_anti").limit(20).collect()
+    unknown = requests.select(name).distinct().join(small(table), name, "left_anti").limit(20).collect()
     if unknown:
         raise ValueError(f"unknown severities: {sorted(r[0] for r in unknown)}")
 

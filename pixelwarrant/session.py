@@ -5,6 +5,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 10_000
 
 
 def local_session(cpus: int = 8, app: str = "pixelwarrant") -> SparkSession:
@@ -39,3 +42,8 @@ def durable(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it is seen to hold at most `rows` rows; unhinted beyond that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
