@@ -150,6 +150,40 @@ def three_class_scan(spark, sf):
     )
 
 
+def _zip_chunk(frame):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as archive:
+        for name, payload in zip(frame["name"], frame["payload"]):
+            archive.writestr(name, payload)
+    return pd.DataFrame({"path": [str(frame["chunk"].iloc[0])], "content": [body.getvalue()]})
+
+
+@query(
+    "src08_archive_scan",
+    (),
+    """select doc_id//50 as archive, lang as category, lang||'/'||case when n_chars%2=0 then '1_fake' else '0_real' end||'/'||doc_id||'.PNG' as member, (n_chars%2=0)::int as label, md5(text) as payload
+  from documents where doc_id%7<>0""",
+)
+def archive_scan(spark, sf):
+    """Fifty documents to an archive; every seventh one sits in a folder of neither class."""
+    side = F.when(F.col("doc_id") % 7 == 0, "notes").when(F.col("n_chars") % 2 == 0, "1_fake").otherwise("0_real")
+    docs = fx.table(spark, sf, "documents").select(
+        F.expr("doc_id div 50").alias("chunk"),
+        F.concat_ws("/", "lang", side, F.concat(F.col("doc_id").cast("string"), F.lit(".PNG"))).alias("name"),
+        F.md5("text").alias("payload"),
+    )
+    archives = docs.groupBy("chunk").applyInPandas(_zip_chunk, "path string, content binary")
+    members = images.unpack_archives(archives)
+    return members.select(
+        F.col("archive").cast("long").alias("archive"), "category", "member", "label", F.col("content").cast("string").alias("payload")
+    )
+
+
 @query(
     "src09_relabel_layout",
     ("paths",),

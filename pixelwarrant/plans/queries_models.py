@@ -337,6 +337,16 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+@query("str01_score_on_arrival", ("feat",), "select sample_id, round(list_avg(list_transform(features, lambda v: v::double))+5e-1,4) as score from feat")
+def score_on_arrival(spark, sf):
+    """Vectors replayed as a stream, scored batch by batch by a pluggable model."""
+    rows = _stream(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("features"))
+    out = tables.scratch_dir(spark, "arrivals")
+    scorer = lambda batch: udfs.score_patches(batch, _mean_scorer, ["sample_id"])
+    jobs.score_arriving(rows, scorer, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return rounded(spark.read.schema("sample_id bigint, score double").parquet(f"{out}/rows"), 4)
+
+
 @query(
     "str02_running_evaluation",
     (),

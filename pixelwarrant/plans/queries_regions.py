@@ -185,7 +185,26 @@ def region_face_overlap(spark, sf):
     return rounded(matched.select("image_id", "region_id", "face.*", "face_overlap"))
 
 
-@query("agg36_region_evidence")
+for _cut in (60, 70):
+    cte(
+        f"components_hot{_cut}",
+        f"""select image_id, y, x, y*8+x as root from tiles where heat>={_cut}e-2 union
+  select m.image_id, m.y, m.x, r.root from components_hot{_cut} r join (select * from tiles where heat>={_cut}e-2) m on m.image_id=r.image_id and abs(m.y-r.y)<=1 and abs(m.x-r.x)<=1""",
+        ("tiles",),
+    )
+    cte(
+        f"best_hot{_cut}",
+        f"""select image_id, max(m) as best from (select c.image_id, c.root, avg(t.heat) as m from (select image_id, y, x, min(root) as root from components_hot{_cut} group by 1,2,3) c join tiles t on t.image_id=c.image_id and t.y=c.y and t.x=c.x
+  group by 1,2 having count(*)/64e0>=4e-2) group by 1""",
+        (f"components_hot{_cut}", "tiles"),
+    )
+
+
+@query(
+    "agg36_region_evidence",
+    ("best_hot60", "best_hot70"),
+    "select i.image_id, round(coalesce(a.best,0),6) as hi60, round(coalesce(b.best,0),6) as hi70 from (select distinct image_id from tiles) i left join best_hot60 a on a.image_id=i.image_id left join best_hot70 b on b.image_id=i.image_id",
+)
 def region_evidence(spark, sf):
     cells = fx.tiles(spark, sf)
     return rounded(

@@ -131,8 +131,8 @@ def luma(r: str = "r", g: str = "g", b: str = "b") -> Column:
     return (F.col(r) * 0.299 + F.col(g) * 0.587 + F.col(b) * 0.114) / 255.0
 
 
-def archive_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of zip archives as `(archive, member, label, content)`, labelled by `0_real` / `1_fake`."""
+def unpack_archives(archives: DataFrame) -> DataFrame:
+    """Image members of zip archives given as `(path, content)`, labelled by `0_real` / `1_fake`."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,9 +153,14 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
                             }
                         )
 
+    return archives.select("path", "content").mapInPandas(
+        unpack, "archive string, category string, member string, label int, content binary"
+    )
+
+
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of all zip archives below a folder."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder)
     )
-    return files.select("path", "content").mapInPandas(
-        unpack, "archive string, category string, member string, label int, content binary"
-    )
+    return unpack_archives(files)

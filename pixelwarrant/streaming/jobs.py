@@ -15,15 +15,19 @@ from pixelwarrant.sources.tables import LOG_SCHEMA
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def score_arriving_images(spark: SparkSession, folder: str, scorer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Score every image file that appears below `folder`, each once; stops when none is left."""
-    files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").load(folder)
-    scored = scorer(files.where(is_image(F.col("path"))).select("path", "content"))
+def score_arriving(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Score every arriving row once into an append sink; stops when nothing is left."""
     return (
-        scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        scorer(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def score_arriving_images(spark: SparkSession, folder: str, scorer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Score every image file that appears below `folder`, each once."""
+    files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").load(folder)
+    return score_arriving(files.where(is_image(F.col("path"))).select("path", "content"), scorer, out, checkpoint)
+
+
 def running_counts(scores: DataFrame, buckets: int = 1000) -> DataFrame:
     """Rows, and real images with a region, by (class, score bucket): the whole stream state."""
     bucket = F.least(F.lit(buckets - 1), F.floor(F.col("score") * buckets).cast("int"))
