@@ -220,12 +220,17 @@ def predicted_mask(region_cells: DataFrame, from_w: Column, from_h: Column, to_w
 def match_faces(regions: DataFrame, region_cells: DataFrame, faces: DataFrame, min_overlap: float = 0.35) -> DataFrame:
     """The face box that covers the largest share of each region, if it covers enough.
 
-    An image has few boxes and few regions, so the pairs of one image stay few; cells are
-    counted per (region, box) and never paired with each other.
+    Boxes meet regions on the image, and only a box that overlaps a region's own box goes on
+    to that region's cells.
     """
-    boxes = faces.select(
-        "image_id", F.struct("x0", "y0", "x1", "y1").alias("face")
+    boxes = faces.select("image_id", F.struct("x0", "y0", "x1", "y1").alias("face"))
+    near = (
+        (F.col("face.x0") < F.col("bbox.x1"))
+        & (F.col("face.x1") > F.col("bbox.x0"))
+        & (F.col("face.y0") < F.col("bbox.y1"))
+        & (F.col("face.y1") > F.col("bbox.y0"))
     )
+    pairs = regions.select(*REGION, "bbox", "area_px").join(boxes, "image_id").where(near).drop("bbox")
     hit = (
         (F.col("x") >= F.col("face.x0"))
         & (F.col("x") < F.col("face.x1"))
@@ -233,11 +238,10 @@ def match_faces(regions: DataFrame, region_cells: DataFrame, faces: DataFrame, m
         & (F.col("y") < F.col("face.y1"))
     )
     covered = (
-        region_cells.join(boxes, "image_id")
+        region_cells.join(pairs, list(REGION))
         .where(hit)
-        .groupBy(*REGION, "face")
+        .groupBy(*REGION, "face", "area_px")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .join(regions.select(*REGION, "area_px"), list(REGION))
         .withColumn("face_overlap", F.col("_c") / F.col("area_px"))
     )
     best = covered.groupBy(*REGION).agg(F.max(F.struct("face_overlap", "face")).alias("_b"))

@@ -157,7 +157,9 @@ def test_unknown_scorer_is_an_error(spark):
 
 def test_face_must_cover_enough(spark):
     cells = spark.createDataFrame([(1, 1, y, x) for y in range(4) for x in range(4)], "image_id long, region_id int, y int, x int")
-    found = spark.createDataFrame([(1, 1, 16)], "image_id long, region_id int, area_px int")
+    found = spark.createDataFrame(
+        [(1, 1, (0, 0, 4, 4), 16)], "image_id long, region_id int, bbox struct<x0:int,y0:int,x1:int,y1:int>, area_px int"
+    )
     faces = spark.createDataFrame([(1, 0, 0, 1, 4), (1, 0, 0, 3, 4)], "image_id long, x0 int, y0 int, x1 int, y1 int")
     got = regions.match_faces(found, cells, faces).first()
     assert got["face_overlap"] == 0.75 and got["face"]["x1"] == 3
