@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pixelwarrant import fixtures as fx
 from pixelwarrant.functions import scalar
 from pixelwarrant.operators import dataset as ds
-from pixelwarrant.operators import evidence, forensics, fusion, grid, heatmap, routing, severities, spectral
+from pixelwarrant.operators import evidence, forensics, fusion, grid, routing, severities, spectral
 from pixelwarrant.plans import analyze
 from pixelwarrant.plans import queries_regions as qr
 from pixelwarrant.plans.queries_dataset import REQUESTS, paths

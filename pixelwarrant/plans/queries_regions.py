@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pixelwarrant import fixtures as fx
 from pixelwarrant.operators import components as cc
-from pixelwarrant.operators import heatmap, ranks, regions
+from pixelwarrant.operators import heatmap, regions
 from pixelwarrant.plans.queries_grid import GRAD, SCALES, tile_map, tiles_by_image
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
