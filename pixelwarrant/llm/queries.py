@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelwarrant.llm import bpe, simhash
+from pixelwarrant.llm import bpe, decontam, simhash
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -33,3 +34,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, words=3, bits=3).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every document and benchmark item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.scan(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
