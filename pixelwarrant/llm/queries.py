@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import bpe, decontam, simhash
+from pixelwarrant.llm import bpe, decontam, line_dedup, simhash
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +41,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for every document and benchmark item that it holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.scan(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, the positions of those that go, and a digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")))
+    done = line_dedup.dedup_lines(docs, similarity=0.8, removed="removed")
+    return done.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.sha2("text", 256).alias("kept_sha256"))
