@@ -53,7 +53,7 @@ class PerfectHash:
         for i, key in enumerate(keys):
             buckets[digest(key) % len(buckets)].append(i)
         self.steer = [0] * len(buckets)
-        self.ids = [-1] * n
+        self.slots = [-1] * n
         for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
             own = buckets[b]
             if len(own) < 2:
@@ -61,31 +61,32 @@ class PerfectHash:
             seed = 1
             while True:
                 slots = {digest(keys[i], seed) % n for i in own}
-                if len(slots) == len(own) and all(self.ids[s] < 0 for s in slots):
+                if len(slots) == len(own) and all(self.slots[s] < 0 for s in slots):
                     break
                 seed += 1
             self.steer[b] = seed
             for i in own:
-                self.ids[digest(keys[i], seed) % n] = i
-        free = (s for s in range(n) if self.ids[s] < 0)
+                self.slots[digest(keys[i], seed) % n] = i
+        free = (s for s in range(n) if self.slots[s] < 0)
         for b, own in enumerate(buckets):
             if len(own) == 1:
                 slot = next(free)
                 self.steer[b] = -slot - 1
-                self.ids[slot] = own[0]
+                self.slots[slot] = own[0]
 
-    def finder(self, keys: list[bytes]) -> Callable[[bytes], int]:
-        """A function from bytes to the id, or -1 for bytes that are no key."""
-        from xxhash import xxh64_intdigest as digest
 
-        steer, ids, n, width = self.steer, self.ids, len(keys), len(self.steer)
+def finder(keys: list[bytes], steer: list[int], slots: list[int]) -> Callable[[bytes], int]:
+    """A function from bytes to the id that a PerfectHash of `keys` gives them, or -1 for bytes that are no key."""
+    from xxhash import xxh64_intdigest as digest
+
+    n, width = len(keys), len(steer)
 
-        def find(key: bytes) -> int:
-            seed = steer[digest(key) % width]
-            i = ids[-seed - 1 if seed < 0 else digest(key, seed) % n] if n else -1
-            return i if i >= 0 and keys[i] == key else -1
+    def find(key: bytes) -> int:
+        seed = steer[digest(key) % width]
+        i = slots[-seed - 1 if seed < 0 else digest(key, seed) % n] if n else -1
+        return i if i >= 0 and keys[i] == key else -1
 
-        return find
+    return find
 
 
 def merge_table(tokens: list[bytes]) -> dict[int, int]:
@@ -161,11 +162,11 @@ class Memo:
         return ids
 
 
-def encoder(tokens: list[bytes], hashed: PerfectHash, pattern: str) -> Callable[[str], list[int]]:
-    """A function from a text to its ids."""
+def encoder(tokens: list[bytes], steer: list[int], slots: list[int], pattern: str) -> Callable[[str], list[int]]:
+    """A function from a text to its ids; `steer` and `slots` are those of the tokens' PerfectHash."""
     import regex
 
-    find, matches = hashed.finder(tokens), regex.compile(pattern).findall
+    find, matches = finder(tokens, steer, slots), regex.compile(pattern).findall
     single = [find(bytes([b])) for b in range(256)]
     joined = merge_table(tokens)
     pairs = byte_pairs(single, joined)
@@ -210,16 +211,11 @@ def encoder(tokens: list[bytes], hashed: PerfectHash, pattern: str) -> Callable[
     return encode
 
 
-class Codec:
-    """A vocabulary, shipped to tasks as plain lists and made ready once in each of them."""
-
-    def __init__(self, path: str, pattern: str):
-        self.tokens = read_ranks(path)
-        self.pattern = pattern
-        self.hashed = PerfectHash(self.tokens)
-
-    def encode(self) -> Callable[[str], list[int]]:
-        return encoder(self.tokens, self.hashed, self.pattern)
+def codec(path: str, pattern: str) -> tuple[list[bytes], list[int], list[int], str]:
+    """What `encoder` takes, as plain values, so that tasks can read it where this package isn't installed."""
+    tokens = read_ranks(path)
+    hashed = PerfectHash(tokens)
+    return tokens, hashed.steer, hashed.slots, pattern
 
 
 def _with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -234,10 +230,10 @@ def _schema(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the ids of `text` as an array of int."""
-    shared = df.sparkSession.sparkContext.broadcast(Codec(path, pattern))
+    shared = df.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = shared.value.encode()
+        one = encoder(*shared.value)
         for batch in batches:
             for part in _slices(batch):
                 found = [one(x or "") for x in part.column(text).to_pylist()]
@@ -262,12 +258,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Encode, decode, and add `n_tokens`, `ids_sha256` and `decoded_sha256`; the ids themselves don't leave the task."""
-    shared = df.sparkSession.sparkContext.broadcast(Codec(path, pattern))
+    shared = df.sparkSession.sparkContext.broadcast(codec(path, pattern))
     new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value
-        one, word, name = codec.encode(), codec.tokens.__getitem__, [str(i) for i in range(len(codec.tokens))].__getitem__
+        tokens = shared.value[0]
+        one, word, name = encoder(*shared.value), tokens.__getitem__, [str(i) for i in range(len(tokens))].__getitem__
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
             for value in batch.column(text):
