@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import bpe, decontam, line_dedup, simhash
+from pixelwarrant.llm import bpe, decontam, line_dedup, simhash, toxicity
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +49,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")))
     done = line_dedup.dedup_lines(docs, similarity=0.8, removed="removed")
     return done.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out))
+    scored = toxicity.score(docs, model, drop_text=True)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
