@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import bpe, decontam, line_dedup, simhash, toxicity
+from pixelwarrant.llm import ann_tree, bpe, decontam, licences, line_dedup, quality, simhash, toxicity
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -58,3 +58,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out))
     scored = toxicity.score(docs, model, drop_text=True)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~out))
+    scored = quality.score(docs, model, drop_text=True)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_tree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and licence: how many of its units (whole text, paragraphs, lines) are that licence's text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs).groupBy("doc_id", "licence").agg(F.count("*").alias("units"), F.max("whole").alias("whole_text"))
+
+
+ORACLES["op2_licences"] = licences.oracle()
