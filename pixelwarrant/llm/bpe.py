@@ -228,15 +228,18 @@ def _schema(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([*kept, *(T.StructField(n, t) for n, t in new.items())])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of `text` as an array of int."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", verify: bool = False) -> DataFrame:
+    """Add the ids of `text` as an array of int; with `verify`, ids that don't decode to the text are an error."""
     shared = df.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(*shared.value)
+        one, tokens = encoder(*shared.value), shared.value[0]
         for batch in batches:
             for part in _slices(batch):
-                found = [one(x or "") for x in part.column(text).to_pylist()]
+                texts = part.column(text).to_pylist()
+                found = [one(x or "") for x in texts]
+                if verify and any(b"".join([tokens[i] for i in own]) != (x or "").encode() for own, x in zip(found, texts)):
+                    raise ValueError("ids that don't decode to their text")
                 yield _with_columns(part, {ids: pa.array(found, pa.list_(pa.int32()))})
 
     return df.mapInArrow(run, _schema(df, {ids: T.ArrayType(T.IntegerType())}))
