@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import ann_tree, bpe, decontam, licences, line_dedup, quality, simhash, toxicity
+from pixelwarrant.llm import ann_tree, bpe, decontam, html_layout, licences, line_dedup, quality, simhash, toxicity
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,11 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_licences"] = licences.oracle()
 
 
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
