@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import ann_tree, bpe, decontam, html_layout, licences, line_dedup, quality, simhash, toxicity
+from pixelwarrant.llm import ann_tree, bpe, decontam, html_layout, licences, line_dedup, quality, simhash, token_store, toxicity
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,14 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids to files of the shared folder, and reports what is read back from them."""
+    folder = token_store.new_folder(spark)
+    token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
