@@ -2,18 +2,19 @@
 
 Rows are first reduced to one row per (keys, score), so ties, however heavy, collapse on
 the map side. The distinct scores are then cut into buckets at approximate quantiles of
-the whole table: no bucket holds more than about 1/`BUCKETS` of the distinct scores, so a
-window inside a bucket stays small, and only the bucket totals (at most `BUCKETS` rows per
-key) are scanned in order.
+the whole table, several for every shuffle partition, so a window inside a bucket stays
+small, and only the bucket totals (one row per key and bucket) are scanned in order. Keys
+and ordering columns may be null: null is a key like any other, and comes first in order.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKETS = 128
 _B = "_bucket"
 
 
@@ -35,17 +36,54 @@ def score_counts(
     )
 
 
-def with_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add a bucket number that rises with `value`; the cuts are quantiles of the table itself.
+def order_number(df: DataFrame, value: str) -> Column:
+    """A number that never falls as `value` rises, for any type that can be ordered.
+
+    Numbers, booleans, dates and times count as they are. Of a string it is the first seven bytes after those that all
+    values share; strings alike that far share a bucket and are ordered inside it.
+    """
+    kind = df.schema[value].dataType
+    column = F.col(value)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
+        return column.cast("double")
+    raw = F.hex(column.cast("binary"))
+    ends = df.agg(F.min(raw).alias("low"), F.max(raw).alias("high"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
+    apart = F.get(F.filter(places, lambda i: F.left(F.col("low"), i) != F.left(F.col("high"), i)), 0)
+    shared = ends.select(F.coalesce(apart - 1, F.length("low"), F.lit(0)).alias("n")).scalar()
+    return F.conv(F.rpad(F.substring(raw, shared + 1, F.lit(14)), 14, "0"), 16, 10).cast("double")
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Four buckets per shuffle partition, so that they shrink as a cluster's parallelism is raised."""
+    return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_bucket(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """Add a bucket number that rises with `value` (0: null); the cuts are quantiles of the table itself.
 
     The cuts are a scalar subquery (an array of `buckets - 1` numbers), and the bucket is
     the place `value` would take among them.
     """
-    number = F.col(value).cast("double")
-    cuts = df.agg(
+    buckets = buckets or bucket_count(df)
+    numbered = df.withColumn("_number", order_number(df, value))
+    number = F.col("_number")
+    cuts = numbered.agg(
         F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts")
     ).scalar()
-    return df.withColumn(_B, F.array_position(F.sort_array(F.array_append(cuts, number)), number))
+    place = F.array_position(F.sort_array(F.array_append(F.coalesce(cuts, F.array().cast("array<double>")), number)), number)
+    return numbered.withColumn(_B, F.when(number.isNull(), F.lit(0)).otherwise(place).cast("long")).drop("_number")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null; the right side's copies of the keys are dropped."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(other, same).drop(*[f"_right_{c}" for c in on])
 
 
 def _before(keys: Sequence[str], order: str):
@@ -72,7 +110,7 @@ def prefix_totals(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequ
         *[F.coalesce(F.sum(s).over(_before(keys, _B)), F.lit(0.0)).alias(f"_{s}_offset") for s in sums],
         *[F.sum(s).over(_whole(keys)).alias(f"{s}_all") for s in sums],
     )
-    joined = inside.join(offsets, [*keys, _B])
+    joined = join_null_safe(inside, offsets, [*keys, _B])
     for s in sums:
         joined = joined.withColumn(f"{s}_below", F.col(f"{s}_below") + F.col(f"_{s}_offset"))
     return joined.drop(_B, *[f"_{s}_offset" for s in sums])
@@ -203,12 +241,13 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, tuple[str, Column]], buckets: int = BUCKETS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, tuple[str, Column]], buckets: int | None = None
 ) -> DataFrame:
     """Running totals (inclusive) in the order of `order`, for keys that may hold most of the table.
 
-    `totals` maps a new column to ("sum" | "max", expression). The first ordering column must
-    be numeric. Each key is cut into order buckets; only bucket totals are chained.
+    `totals` maps a new column to ("sum" | "max", expression). The ordering columns may be of
+    any type and null (nulls first), and so may the keys. Each key is cut into order buckets;
+    only bucket totals are chained.
     """
     keys = list(keys)
     agg = {"sum": F.sum, "max": F.max}
@@ -219,7 +258,7 @@ def running(
     offsets = sizes.select(
         *keys, _B, *[agg[how](f"_x_{n}").over(_before(keys, _B)).alias(f"_o_{n}") for n, (how, _) in totals.items()]
     )
-    joined = inside.join(offsets, [*keys, _B])
+    joined = join_null_safe(inside, offsets, [*keys, _B])
     for n, (how, _) in totals.items():
         if how == "sum":
             joined = joined.withColumn(n, F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
@@ -234,7 +273,5 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str = "position") -> DataFrame:
-    """First `n` rows per key for any `n`: the group-limited window when `n` is small, else positions."""
-    if n <= 1000:
-        return top_k(df, keys, [F.col(c) for c in order], n, name)
+    """First `n` rows per key, for any `n`."""
     return positions(df, keys, order, name).where(F.col(name) <= n)

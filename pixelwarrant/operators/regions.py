@@ -27,7 +27,7 @@ def grown_mask(cells: DataFrame, grow: int = 3, close_radius: int = 2) -> DataFr
 
 
 def ranked_components(
-    members: DataFrame, scales: Sequence[int], min_area_frac: float = 0.004, max_regions: int = 8
+    members: DataFrame, scales: Sequence[int], min_area_frac: float = 0.004, max_regions: int | None = None
 ) -> DataFrame:
     """Map statistics per component; those above the area floor ranked by area x strength.
 
@@ -61,7 +61,7 @@ def ranked_components(
     box = F.col("bbox")
     return (
         kept.withColumn("region_id", rank)
-        .where(F.col("region_id") <= max_regions)
+        .where(F.lit(True) if max_regions is None else F.col("region_id") <= max_regions)
         .withColumn("fill_ratio", F.col("area_px") / ((box["x1"] - box["x0"]) * (box["y1"] - box["y0"])))
         .withColumn(
             "touches_border",
@@ -164,7 +164,7 @@ def extract_regions(
     close_radius: int = 2,
     halo: int = 6,
     ring: int = 8,
-    max_regions: int = 8,
+    max_regions: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Regions with all descriptors, their cells, the local grid around each, and all cells.
 

@@ -10,10 +10,13 @@ from pixelwarrant.operators import ranks
 
 
 def best_so_far(log: DataFrame, run: str, order: Sequence[str], metric: str) -> DataFrame:
-    """Running best of a metric, and epochs since it last improved (a strict rise)."""
+    """Running best of a metric, and epochs since it last improved (a strict rise).
+
+    Before the first metric that isn't null the best is null, and the first epoch counts as the best one.
+    """
     staged = ranks.running(log, [run], order, {"epoch": ("sum", F.lit(1)), "best": ("max", F.col(metric))})
     firsts = staged.groupBy(run, "best").agg(F.min("epoch").alias("best_epoch"))
-    return staged.join(firsts, [run, "best"]).withColumn("stale", F.col("epoch") - F.col("best_epoch"))
+    return ranks.join_null_safe(staged, firsts, [run, "best"]).withColumn("stale", F.col("epoch") - F.col("best_epoch"))
 
 
 def stop_epochs(log: DataFrame, run: str, order: Sequence[str], metric: str, patience: int) -> DataFrame:

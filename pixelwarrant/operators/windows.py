@@ -58,9 +58,20 @@ def integral_image(cells: DataFrame, keys: Sequence[str], sums: dict[str, Column
     return rows.select(*keys, "y", "x", *[F.sum(n).over(along_y).alias(n) for n in sums])
 
 
-def box_sums(boxes: DataFrame, cells: DataFrame, sums: dict[str, Column], image: str = "image_id") -> DataFrame:
-    """Sum of each expression over each box (`x1`, `y1` exclusive), from four corner look-ups."""
-    table = integral_image(cells, [image], sums)
+def box_sums(boxes: DataFrame, cells: DataFrame, sums: dict[str, Column], image: str = "image_id", missing: float = 0.0) -> DataFrame:
+    """Sum of each expression over each box (`x1`, `y1` exclusive), from four corner look-ups.
+
+    Cells that are not in the table, or whose expression is null, count as `missing`; an image is filled up to the
+    furthest cell or box. A box is never lost.
+    """
+    reach = cells.select(image, "y", "x").unionByName(boxes.select(image, (F.col("y1") - 1).alias("y"), (F.col("x1") - 1).alias("x")))
+    frame = reach.groupBy(image).agg(F.max("y").alias("_h"), F.max("x").alias("_w")).where("_h >= 0 and _w >= 0")
+    lines = frame.select(image, "_w", F.explode(F.sequence(F.lit(0), F.col("_h").cast("int"))).alias("y"))
+    blank = lines.select(image, "y", F.explode(F.sequence(F.lit(0), F.col("_w").cast("int"))).alias("x"))
+    own = cells.select(image, "y", "x", *[c.cast("double").alias(n) for n, c in sums.items()])
+    both = own.unionByName(blank.select("*", *[F.lit(None).cast("double").alias(n) for n in sums])).repartition(image)
+    filled = both.groupBy(image, "y", "x").agg(*[F.coalesce(F.sum(n), F.lit(missing)).alias(n) for n in sums])
+    table = integral_image(filled, [image], {n: F.col(n) for n in sums})
     corner = lambda y, x, sign: F.struct((F.col(y) - 1).alias("y"), (F.col(x) - 1).alias("x"), F.lit(sign).alias("sign"))
     corners = boxes.select(
         "*",
@@ -68,9 +79,8 @@ def box_sums(boxes: DataFrame, cells: DataFrame, sums: dict[str, Column], image:
             F.array(corner("y1", "x1", 1.0), corner("y0", "x1", -1.0), corner("y1", "x0", -1.0), corner("y0", "x0", 1.0))
         ).alias("_c"),
     ).select(*boxes.columns, F.col("_c.y").alias("y"), F.col("_c.x").alias("x"), F.col("_c.sign").alias("_sign"))
-    inside = corners.where((F.col("y") >= 0) & (F.col("x") >= 0))
-    joined = inside.join(table, [image, "y", "x"])
-    return joined.groupBy(*boxes.columns).agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in sums])
+    joined = corners.join(table, [image, "y", "x"], "left")
+    return joined.groupBy(*boxes.columns).agg(*[F.sum(F.col("_sign") * F.coalesce(n, F.lit(0.0))).alias(n) for n in sums])
 
 
 def area() -> Column:
@@ -137,8 +147,8 @@ def label_by_coverage(covered: DataFrame, positive: float = 0.70, negative: floa
 
 
 def gated_windows(boxes: DataFrame, cells: DataFrame, gate: Column) -> DataFrame:
-    """Windows that touch at least one gated cell."""
-    hit = box_sums(boxes, cells, {"_hit": gate.cast("double")})
+    """Windows that touch at least one gated cell; a cell that isn't in the map is gated."""
+    hit = box_sums(boxes, cells, {"_hit": gate.cast("double")}, missing=1.0)
     return hit.where(F.col("_hit") > 0.5).select(*boxes.columns)
 
 

@@ -228,12 +228,12 @@ def feature_cache_write(spark, sf):
 @query(
     "src12_feature_cache_read",
     ("feat",),
-    "select sample_id, group_id, y, is_aug, round(features[1]::double,6) as first, round(features[64]::double,6) as last from feat where family=1",
+    "select sample_id, group_id, y, is_aug, round(features[1]::double,6) as first, round(features[64]::double,6) as last, family from feat",
 )
 def feature_cache_read(spark, sf):
     path = tables.scratch_dir(spark, "features")
     tables.write_features(fx.feat(spark, sf), path, FEATURE_BLOCKS, "v1")
-    rows = tables.read_features(spark, path).where(F.col("family") == 1)
+    rows = tables.read_features(spark, path)
     return rounded(
         rows.select(
             "sample_id",
@@ -242,6 +242,7 @@ def feature_cache_read(spark, sf):
             "is_aug",
             F.col("features")[0].cast("double").alias("first"),
             F.col("features")[63].cast("double").alias("last"),
+            "family",
         )
     )
 
@@ -354,11 +355,11 @@ def epoch_log(spark, sf):
 @query(
     "src20_resume_log",
     (),
-    "select doc_id from documents where not (doc_id%3=0 and doc_id<500)",
+    "select doc_id from documents where doc_id not in (select doc_id from labels)",
 )
 def resume_log(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id")
-    return ds.not_recorded(docs, docs.where((F.col("doc_id") % 3 == 0) & (F.col("doc_id") < 500)), "doc_id")
+    return ds.not_recorded(docs, fx.table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
 # --- gates and crops ----------------------------------------------------------------------
@@ -623,11 +624,11 @@ def leave_one_out(spark, sf):
 @query(
     "join13_leakage_guard",
     (),
-    "select l.doc_id from labels l where l.doc_id%5=0 and exists (select 1 from documents d where d.doc_id=l.doc_id and d.n_chars%3=0)",
+    "select l.doc_id from labels l where exists (select 1 from documents d where d.doc_id=l.doc_id)",
 )
 def leakage_guard(spark, sf):
-    held_out = fx.table(spark, sf, "labels").select("doc_id").where(F.col("doc_id") % 5 == 0)
-    training = fx.table(spark, sf, "documents").select("doc_id", "n_chars").where(F.col("n_chars") % 3 == 0)
+    held_out = fx.table(spark, sf, "labels").select("doc_id")
+    training = fx.table(spark, sf, "documents").select("doc_id")
     return ds.leaked(held_out, training, "doc_id")
 
 

@@ -22,7 +22,7 @@ FACTS_SQL = """select image_id, patch_no as region_id, w*31+h*17 as k, ((w%100)/
   ((h*29)%201-100)/1e2 as ela_contrast, ((w*37)%201-100)/1e2 as channel_corr_contrast, 1e0+((h*13)%40)/1e2 as jpeg_grid_inside, 1e0+((w*19)%40)/1e2 as jpeg_grid_outside, ((h*5)%100)/1e2 as edge_straightness,
   ((w*23)%100)/1e2 as crop_score, ((image_id*37)%100)/1e2 as whole_image_score, case when (w*31+h*17)%4<>0 then ((w*29)%100)/1e2 end as eye_line_asymmetry, (w*31+h*17)%3<>0 as face_valid,
   ((h*31)%201-100)/1e2 as face_noise_contrast, ((w*41)%201-100)/1e2 as face_high_freq_contrast, ((h*43)%100)/1e2 as face_crop_score, (w%50)::int as x0, (h%50)::int as y0, (w%50+1+w%30)::int as x1, (h%50+1+h%30)::int as y1
-  from patches where (w*31+h*17)%5<>0"""
+  from patches"""
 cte("facts", FACTS_SQL, ("patches",))
 
 
@@ -31,7 +31,7 @@ def region_facts(spark, sf):
     k = w * 31 + h * 17
     pct = lambda e, n: e % n / F.lit(100.0)
     signed = lambda e: (e % 201 - 100) / F.lit(100.0)
-    p = fx.patches(spark, sf).where(k % 5 != 0)
+    p = fx.patches(spark, sf)
     return p.select(
         "image_id",
         F.col("patch_no").alias("region_id"),

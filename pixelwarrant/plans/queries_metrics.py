@@ -364,7 +364,7 @@ def prediction_diagnostics(spark, sf):
     return rounded(metrics.prediction_diagnostics(fx.arms(spark, sf), ["family"], "p_with", "y"))
 
 
-PROBE_DIMS = range(8)
+PROBE_DIMS = range(64)
 cte(
     "scalars",
     " union all ".join(f"select family, y, {d} as scalar, features[{d + 1}]::double as score from feat" for d in PROBE_DIMS),

@@ -34,16 +34,22 @@ def local_session(cpus: int = 8, app: str = "pixelwarrant") -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a session
-    that names none (a test) gets a scratch folder.
+    The folder is the one the cluster names in `spark.checkpoint.dir`.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`, which all executors see. A machine's own folder would not do, so none is made up."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named.rstrip("/")
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it is seen to hold at most `rows` rows; unhinted beyond that."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

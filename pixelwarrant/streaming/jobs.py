@@ -69,8 +69,8 @@ def read_log_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(LOG_SCHEMA).json(folder)
 
 
-ALARM_SCHEMA = "run string, alarm_epoch int, streak int"
-ALARM_STATE = "streak int, last_epoch int, alarmed boolean"
+ALARM_SCHEMA = "run string, alarm_epoch long, streak int"
+ALARM_STATE = "streak int, last_epoch long, alarmed boolean"
 
 
 def collapse_alarms(log: DataFrame, patience: int = 2, grace: int = 2, std_below: float = 0.02, auc_below: float = 0.55) -> DataFrame:
