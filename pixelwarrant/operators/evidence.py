@@ -68,6 +68,9 @@ def prepared(regions: DataFrame) -> DataFrame:
     return second.withColumn("_ai_share", F.when(both > 1e-6, F.try_divide(F.col("_ai_lean"), both)).otherwise(0.5))
 
 
+# The weights and scales inside the five scorers below.
+
+
 def inpainting() -> Column:
     noise, detail, lattice = F.col("noise_contrast"), F.col("high_freq_contrast"), F.col("jpeg_grid_contrast")
     weight, sharpness = F.col("_weight"), F.col("boundary_sharpness")

@@ -12,6 +12,9 @@ from pixelwarrant.operators.routing import percent
 UNCALIBRATED_CAP = 0.60
 
 
+# The shares and scales inside `map_confidence`, the shrinkage and the verdict confidence below.
+
+
 def map_confidence(high: float = 0.75) -> Column:
     """How far the map itself backs a region: strength, window support, scale stability."""
     strength = clip((F.col("mean_score") - high) / max(1e-6, 1.0 - high))

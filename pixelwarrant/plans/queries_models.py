@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pixelwarrant import fixtures as fx
-from pixelwarrant.functions import udfs
+from pixelwarrant.functions import scalar, udfs
 from pixelwarrant.operators import bootstrap, calibration, features, labels, models
 from pixelwarrant.operators.dataset import split_by_group
 from pixelwarrant.plans.queries_dataset import FEATURE_BLOCKS
@@ -58,13 +58,39 @@ def calibration_error(spark, sf):
     return rounded(calibration.calibration_error(_scaled(spark, sf), ["scale"], "score", "y"))
 
 
-@query("agg11_platt_fit")
+@query(
+    "agg11_platt_fit",
+    ("arms",),
+    """select count(*) as n, sum(y)::bigint as positives, round(avg(y),6) as mean_fitted, round(avg(y*z),5) as mean_fitted_logit from
+  (select y, ln(p/(1-p)) as z from (select y, greatest(1e-6,least(1-1e-6,p_with)) as p from arms))""",
+)
 def platt_fit(spark, sf):
-    a, b = calibration.fit_platt(fx.arms(spark, sf), "p_with", "y")
-    return rounded(fx.arms(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives")).withColumns({"a": F.lit(a), "b": F.lit(b)}))
+    """At the most likely curve the fitted probabilities have the labels' mean, and the labels' mean product with the logit."""
+    arms = fx.arms(spark, sf)
+    a, b = calibration.fit_platt(arms, "p_with", "y")
+    p = scalar.sigmoid(F.lit(a) * scalar.logit(F.col("p_with")) + F.lit(b))
+    return arms.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("y").alias("positives"),
+        F.round(F.avg(p), 6).alias("mean_fitted"),
+        F.round(F.avg(p * scalar.logit(F.col("p_with"))), 5).alias("mean_fitted_logit"),
+    )
 
 
-@query("agg12_isotonic_fit")
+cte(
+    "ranked",
+    """select x, s, n, row_number() over (order by x) as i, sum(s) over (order by x) as cs, sum(n) over (order by x) as cn from
+  (select p_with as x, sum(y)::double as s, count(*)::double as n from arms group by 1)""",
+    ("arms",),
+)
+
+
+@query(
+    "agg12_isotonic_fit",
+    ("ranked",),
+    """select round(unnest(list_distinct([x0,x1])),6) as x, y from (select round(y,6) as y, min(x) as x0, max(x) as x1 from
+  (select x, max(low) as y from (select i.x, j.i as j, min((k.cs-j.cs+j.s)/(k.cn-j.cn+j.n)) as low from ranked i join ranked j on j.i<=i.i join ranked k on k.i>=i.i group by 1,2) group by x) group by 1)""",
+)
 def isotonic_fit(spark, sf):
     knots = calibration.fit_isotonic(fx.arms(spark, sf), "p_with", "y")
     return rounded(knots.select(F.explode("knots").alias("k")).select("k.x", "k.y"))
