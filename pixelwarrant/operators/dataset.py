@@ -257,7 +257,7 @@ def stack_caches(caches: DataFrame, cache: str = "cache", group: str = "group_id
 def union_caches(frames: Sequence[DataFrame], blocks: Sequence[list[tuple[str, int]]]) -> DataFrame:
     """Stack feature tables whose block layouts are equal."""
     if len({tuple(map(tuple, b)) for b in blocks}) > 1:
-        raise ValueError(f"feature tables with unlike blocks can't be stacked: {blocks}")
+        raise ValueError(f"feature tables with unlike block layouts can't be stacked: {blocks}")
     out = None
     for i, frame in enumerate(frames):
         tagged = frame.withColumn("cache", F.lit(i))
