@@ -233,7 +233,7 @@ def separable(spark, sf):
 
 
 def train_val(spark, sf):
-    rows = split_by_group(separable(spark, sf), "group_id", 0.25)
+    rows = split_by_group(separable(spark, sf), "group_id", 0.25, (F.col("group_id") * 7919 + 17) % 10007)
     train, val = rows.where(~F.col("is_val")), rows.where("is_val")
     scaler = features.fit_scaler(train)
     return models.prepare(train, scaler), models.prepare(val, scaler), scaler
@@ -257,7 +257,12 @@ def top_features(spark, sf):
     return rounded(models.top_features(models.fit_boosted_trees(train, 20, 6), spark))
 
 
-@query("ml03_bundle_round_trip")
+@query(
+    "ml03_bundle_round_trip",
+    ("feat",),
+    """select count(*) as n, 0e0 as largest_difference, 'boosted_trees' as classifier from feat f join (select group_id, row_number() over (order by (group_id*7919+17)%10007, group_id) as r, count(*) over () as n
+  from (select distinct group_id from feat)) g on g.group_id=f.group_id where r<=floor(n*25e-2)""",
+)
 def bundle_round_trip(spark, sf):
     train, val, scaler = train_val(spark, sf)
     model = models.fit_boosted_trees(train, 20, 6)
