@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import ann_tree, bpe, decontam, html_layout, licences, line_dedup, quality, simhash, token_store, toxicity
+from pixelwarrant.llm import ann_tree, bpe, decontam, html_layout, licences, line_dedup, periodic, quality, simhash, token_store, toxicity
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.find(docs, plant=periodic.planted).drop("runs", "collapsed")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
