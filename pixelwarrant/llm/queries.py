@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelwarrant.llm import ann_tree, bpe, decontam, html_layout, licences, line_dedup, periodic, quality, simhash, token_store, toxicity
+from pixelwarrant.llm import ann_tree, bpe, collocations, decontam, html_layout, licences, line_dedup, periodic, quality, simhash, substring_dedup, token_store, toxicity
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,19 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find(docs, plant=periodic.planted).drop("runs", "collapsed")
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35).drop("spans")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op12_collocations"] = collocations.oracle()
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
