@@ -2,16 +2,20 @@
 
 A window is `window` consecutive words. It recurs if the same words start at another place too.
 
-1. Anchors. Of the grams of half a window (and a word) in a window, the one of least hash is its anchor, so equal windows have equal
-   anchors. Only each text's different anchors, about a tenth of its words, are counted over all texts.
+1. Anchors. Of the grams of a third of a window (and a word) in a window, the one of least hash is its anchor, so equal windows have
+   equal anchors. Only the grams that are anchors, about one at every twelfth word, are counted over all texts.
 2. Confirm. Windows whose anchor is met twice are counted by 128-bit digests; what is counted twice recurs. Counting sums in the
    tasks first, so a passage that most texts share is one row for each task. Each recurring window is laid to one text that holds it,
    and its windows there, joined where they touch, are the recurring passages.
-3. Compile. Passages are dealt to shards of about `SHARD` windows, which grow in number with the text and not in size. The windows of
-   a shard's passages become an Aho-Corasick automaton in which each word is a letter.
-4. Locate. Every text is streamed through the automata of the shards that hold one of its anchors (no other shard can match), and
-   the places of all occurrences are put together. A shard that many texts go to is split: the texts are dealt over several tasks,
-   and the shard's passages go to each.
+3. Compile. Passages are dealt to shards of about `SHARD` words, which grow in number with the text and not in size; those of one text
+   stay together. Each passage is cut into blocks of half a window (and a word), and any window inside it holds a whole block. A
+   shard's blocks become an Aho-Corasick automaton in which each word is a letter.
+4. Locate. Every text is streamed through the automata of the shards that hold one of its anchors (no other shard can match). Where a
+   block is met, text and passage are compared to both sides, and what is equal for a window or more is an occurrence; the places
+   of all are put together. A shard that many texts go to is split: the texts are dealt over several tasks, and the shard's
+   passages go to each.
+
+Two Bloom filters of bounded size (`bloom`) keep anchors and texts that can't matter from being shuffled; joins decide after them.
 
 Texts with equal words are one class throughout; where a class has two texts or more, all its windows recur. Defined cases: a null
 text has no words; fewer words than a window: nothing goes; repeated rows and keys, null ones too, each get their result; an
@@ -24,16 +28,18 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelwarrant.llm import bloom
 from pixelwarrant.llm.shared import stored
 from pixelwarrant.llm.words import SEED, Words, chunks, words
 
-SHARD = 20_000  # windows of one automaton
-LONG = 5_000  # windows of a passage; longer ones are cut, with overlap
-TASK_BYTES = 4_000_000  # of text that goes through one automaton in one task
+SHARD = 200_000  # words of one automaton's passages, about
+LONG = 20_000  # windows of one text that stay together; more are cut, with overlap
+TASK_BYTES = 16_000_000  # of text that goes through one automaton in one task
 FIRST_LETTER = 0xE000  # letters of an automaton, after the surrogates
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = sha256(b"").hexdigest()
@@ -81,7 +87,7 @@ class Windows:
         doc = found.doc
         n = max(0, len(doc) - window + 1)
         self.inside = doc[:n] == doc[window - 1 :] if n else np.zeros(0, bool)
-        self.gram = window // 2 + 1
+        self.gram = window // 3 + 1
         self.hashes = grams(self.one, self.gram) | np.uint64(1)
         least = spread(self.hashes, window - self.gram + 1, lambda x, y, _: np.minimum(x, y)) if n else np.zeros(0, np.uint64)
         self.anchors = np.where(self.inside, least, np.uint64(0))
@@ -142,17 +148,34 @@ def signatures(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """t1, t2 and the words (`plain`, one space between) of the classes of `wanted`, whose other columns stay."""
+    """t1, t2 and the words (`plain`, one space between) of the classes whose t1 is in `wanted`, with its other columns."""
+    known = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, ["t1"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 0):
                 plain = [normal(x) for x in part.column(0).cast(pa.large_binary()).to_pylist()]
-                t = [digest(p) for p in plain]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in t], pa.int64()), pa.array([x[1] for x in t], pa.int64()), pa.array(plain, pa.binary())], ["t1", "t2", "plain"])
+                t1, t2 = np.array([digest(p) for p in plain], np.int64).T
+                at = np.flatnonzero(bloom.passes(known.value, [np.ascontiguousarray(t1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(t1[at]), pa.array(t2[at]), pa.array([plain[i] for i in at.tolist()], pa.binary())], ["t1", "t2", "plain"])
 
     named = docs.select(text).mapInArrow(run, "t1 long, t2 long, plain binary")
-    return named.join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    return named.join(wanted, "t1").dropDuplicates(["t1", "t2"])
+
+
+def met_anchors(classes: DataFrame) -> DataFrame:
+    """t1 and a: the anchors of each class that occur twice or more, in one text or several."""
+    each = classes.select(F.explode("anchors").alias("a"))
+    often = stored(each.groupBy("a").count().where("count > 1").select("a"))
+    known = classes.sparkSession.sparkContext.broadcast(bloom.build(often, ["a"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column(1).flatten().to_numpy()
+            at = np.flatnonzero(bloom.passes(known.value, [a]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pc.list_parent_indices(batch.column(1)).take(pa.array(at))), pa.array(a[at])], ["t1", "a"])
+
+    return classes.select("t1", "anchors").mapInArrow(run, "t1 long, a long").distinct().join(often, "a", "left_semi")
 
 
 # ---- recurring windows and passages
@@ -174,17 +197,17 @@ def recurring(texts: DataFrame, window: int) -> DataFrame:
 
 
 def passages(texts: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """passage (words, one space between), n (its windows) and anchors: each recurring window is in one passage."""
+    """passage (words, one space between), n (words), anchors, and `part`, alike for those of one text: each recurring window is in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 part = batch.slice(row, 1)
-                w = Windows(words(part.column(0)), window)
-                own = set(zip(part.column(1)[0].values.to_pylist(), part.column(2)[0].values.to_pylist()))
+                w = Windows(words(part.column(1)), window)
+                own = set(zip(part.column(2)[0].values.to_pylist(), part.column(3)[0].values.to_pylist()))
                 d1, d2 = w.digests()
                 at = []
-                for i in np.flatnonzero(np.isin(d1, part.column(1)[0].values.to_numpy())).tolist():
+                for i in np.flatnonzero(np.isin(d1, part.column(2)[0].values.to_numpy())).tolist():
                     pair = (int(d1[i]), int(d2[i]))
                     if pair in own:
                         own.remove(pair)  # its first place alone
@@ -192,69 +215,102 @@ def passages(texts: DataFrame, windows: DataFrame, window: int) -> DataFrame:
                 if not at:
                     continue
                 at = np.array(at)
-                plain = part.column(0)[0].as_py().split(b" ")
-                out = []
-                for piece in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    for i in range(0, len(piece), LONG):
-                        first, last = int(piece[i]), int(piece[min(i + LONG, len(piece)) - 1])
-                        anchors = np.unique(w.anchors[first : last + 1]).view(np.int64)
-                        out.append((b" ".join(plain[first : last + window]), last - first + 1, anchors))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["passage", "n", "anchors"])
+                plain = part.column(1)[0].as_py().split(b" ")
+                out, turns = [], (np.diff(at) > 1) | (np.diff(np.arange(len(at)) // LONG) > 0)
+                for piece in np.split(np.arange(len(at)), np.flatnonzero(turns) + 1):
+                    first, last = int(at[piece[0]]), int(at[piece[-1]])
+                    anchors = np.unique(w.anchors[first : last + 1]).view(np.int64)
+                    out.append((b" ".join(plain[first : last + window]), last - first + window, anchors, f"{part.column(0)[0]} {piece[0] // LONG}"))
+                kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["passage", "n", "anchors", "part"])
 
     lists = windows.groupBy("rep").agg(F.collect_list("d1").alias("d1"), F.collect_list("d2").alias("d2"))
-    joined = texts.select("t1", "plain").join(lists, F.col("t1") == F.col("rep")).select("plain", "d1", "d2")
-    return joined.mapInArrow(run, "passage binary, n long, anchors array<long>")
+    joined = texts.select("t1", "plain").join(lists, F.col("t1") == F.col("rep")).select("t1", "plain", "d1", "d2")
+    return joined.mapInArrow(run, "passage binary, n long, anchors array<long>, part string")
 
 
 # ---- automata
 
 
-def automaton(passages: list[bytes], window: int):
-    """The automaton of all windows of the passages, and the letter of each word."""
-    from ahocorasick import STORE_LENGTH, Automaton
-
-    letters: dict[bytes, str] = {}
-    made = Automaton(STORE_LENGTH)
-    for passage in passages:
-        spelled = "".join([letters.setdefault(w, chr(FIRST_LETTER + len(letters))) for w in passage.split(b" ")])
-        for i in range(len(spelled) - window + 1):
-            made.add_word(spelled[i : i + window])
-    made.make_automaton()
-    return made, letters
-
-
-def spans(made, letters: dict[bytes, str], plain: bytes, window: int) -> tuple[list[int], list[int]]:
-    """First words, and words after the last, of the stretches that occurrences cover."""
-    starts, ends = [], []
-    for last, _ in made.iter("".join([letters.get(w, " ") for w in plain.split(b" ")])):
-        if ends and last + 1 - window <= ends[-1]:
-            ends[-1] = last + 1
+def shared_length(a: str, i: int, b: str, j: int) -> int:
+    """How many letters of `a` from i and of `b` from j are equal."""
+    n, done, step = min(len(a) - i, len(b) - j), 0, 32
+    while done < n and step:
+        k = min(step, n - done)
+        if a[i + done : i + done + k] == b[j + done : j + done + k]:
+            done, step = done + k, 2 * k
         else:
-            starts.append(last + 1 - window)
-            ends.append(last + 1)
-    return starts, ends
+            step = k // 2
+    return done
+
+
+class Passages:
+    """The automaton of the blocks of some passages, and what it takes to tell whole occurrences."""
+
+    def __init__(self, passages: list[bytes], window: int):
+        from ahocorasick import STORE_ANY, Automaton
+
+        self.window, self.block = window, window // 2 + 1
+        if 2 * self.block - 1 > window:
+            self.block -= 1
+        self.letters: dict[bytes, str] = {}
+        self.spelled = ["".join([self.letters.setdefault(w, chr(FIRST_LETTER + len(self.letters))) for w in p.split(b" ")]) for p in passages]
+        self.backward = [s[::-1] for s in self.spelled]
+        self.automaton = Automaton(STORE_ANY)
+        for k, s in enumerate(self.spelled):
+            for at in range(0, len(s) - self.block + 1, self.block):
+                block = s[at : at + self.block]
+                self.automaton.get(block, None) or self.automaton.add_word(block, [])
+                self.automaton.get(block).append((k, at))
+        self.automaton.make_automaton()
+
+    def spans(self, plain: bytes) -> tuple[list[int], list[int]]:
+        """First words, and words after the last, of the stretches of a text that occurrences cover."""
+        text = "".join([self.letters.get(w, " ") for w in plain.split(b" ")])
+        back, n = text[::-1], len(text)
+        reached: dict[tuple[int, int], int] = {}  # for a passage laid at a place: the last word compared
+        found = []
+        for last, places in self.automaton.iter(text):
+            start = last + 1 - self.block
+            for k, at in places:
+                if reached.get((k, start - at), -1) >= last:
+                    continue
+                right = shared_length(text, last + 1, self.spelled[k], at + self.block)
+                left = shared_length(back, n - start, self.backward[k], len(self.spelled[k]) - at)
+                reached[k, start - at] = last + right
+                if left + self.block + right >= self.window:
+                    found.append((start - left, last + 1 + right))
+        starts, ends = [], []
+        for a, b in sorted(found):
+            if ends and a <= ends[-1]:
+                ends[-1] = max(b, ends[-1])
+            else:
+                starts.append(a)
+                ends.append(b)
+        return starts, ends
 
 
 def located(texts: DataFrame, met: DataFrame, shards: DataFrame, window: int) -> DataFrame:
-    """t1, t2, starts and ends of the covered stretches, for each text and shard."""
+    """t1, t2, starts and ends of the covered stretches, for each text and shard. `met`: t1, t2 and a."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"t1": [], "t2": [], "starts": [], "ends": []}
         if left.num_rows and right.num_rows:
-            made, letters = automaton(right["passage"].to_pylist(), window)
+            made = Passages(right["passage"].to_pylist(), window)
             for t1, t2, plain in zip(left["t1"].to_pylist(), left["t2"].to_pylist(), left["plain"].to_pylist()):
-                starts, ends = spans(made, letters, plain, window)
+                starts, ends = made.spans(plain)
                 if starts:
                     for name, value in zip(out, (t1, t2, starts, ends)):
                         out[name].append(value)
         return pa.table(out, pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
 
     holders = shards.select("shard", F.explode("anchors").alias("a")).distinct()
-    routes = stored(met.join(holders, "a").select("t1", "t2", "shard").distinct())
-    sent = routes.join(texts.select("t1", "t2", "plain"), ["t1", "t2"])
-    loads = routes.join(texts.select("t1", "t2", F.length("plain").alias("size")), ["t1", "t2"]).groupBy("shard").agg(F.sum("size").alias("size"))
-    salts = loads.select("shard", F.ceil(F.col("size") / TASK_BYTES).cast("int").alias("salts"))
-    left = sent.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("t2"), F.col("salts")).cast("int")).drop("salts")
+    routes = met.join(holders, "a").select("t1", "t2", "shard").distinct()
+    routes = stored(routes.join(texts.select("t1", "t2", F.length("plain").alias("size")), ["t1", "t2"]))
+    # How many tasks share a shard's texts: a row for each shard.
+    salts = stored(routes.groupBy("shard").agg(F.ceil(F.sum("size") / TASK_BYTES).cast("int").alias("salts")))
+    salt = F.pmod(F.xxhash64("t2"), F.col("salts")).cast("int").alias("salt")
+    left = routes.join(salts, "shard").select("t1", "t2", "shard", salt).join(texts.select("t1", "t2", "plain"), ["t1", "t2"])
     right = shards.select("shard", "passage").join(salts, "shard").select("shard", "passage", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     both = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt"))
     return both.applyInArrow(run, "t1 long, t2 long, starts array<int>, ends array<int>")
@@ -286,14 +342,13 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3
     """Per row: `key`, n_words, n_removed, kept_sha256, and `spans` (first word, word after the last) of what goes."""
     rows = stored(signatures(df, key, text, window))
     classes = stored(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors")))
-    anchors = classes.select("t1", "t2", F.explode("anchors").alias("a"))
-    often = anchors.groupBy("a").count().where("count > 1").select("a")
-    met = stored(anchors.join(stored(often), "a", "left_semi").distinct())
-    texts = stored(texts_of(df, text, met.groupBy("t1", "t2").agg(F.collect_list("a").alias("met"))))
+    met = stored(met_anchors(classes))
+    texts = stored(texts_of(df, text, met.groupBy("t1").agg(F.collect_list("a").alias("met"))))
     windows = stored(recurring(texts, window))
-    n = max(1, -(-windows.count() // SHARD))
-    shards = stored(passages(texts, windows, window).withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(n)).cast("int")))
-    alone = met.join(classes.where("copies = 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
+    found = stored(passages(texts, windows, window))
+    n = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // SHARD))
+    shards = found.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(n)).cast("int"))
+    alone = met.join(classes.where("copies = 1").select("t1", "t2"), "t1")
     places = stored(located(texts, alone, shards, window))
     found = classes.select("t1", "t2", "copies").join(collapsed(texts, places), ["t1", "t2"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)

@@ -29,6 +29,7 @@ def result(df):
 
 def test_random_texts(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD", 300)
+    monkeypatch.setattr(substring_dedup, "LONG", 9)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)] + ["é", "\U0001f600", "a\x00b", " "]
     make = lambda n: list(rng.choice(vocabulary, n))
@@ -63,9 +64,24 @@ def test_split_passages_and_shards(spark, monkeypatch):
     assert result(substring_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 35)
 
 
-def test_long_passages_are_cut_with_overlap():
-    made, letters = substring_dedup.automaton([b"a b c d", b"c d e"], 3)
-    assert substring_dedup.spans(made, letters, b"x a b c d e c d e a b", 3) == ([1], [9])
+def test_occurrences_of_parts_of_passages():
+    for window in (3, 4, 5, 12):
+        rng = np.random.default_rng(window)
+        for letters in (1, 2, 5, 40):
+            passages = [[f"{x}" for x in rng.integers(0, letters, int(n))] for n in rng.integers(window, 3 * window, 4)]
+            text = []
+            for _ in range(8):
+                p = passages[int(rng.integers(0, 4))]
+                a = int(rng.integers(0, len(p)))
+                text += p[a : int(rng.integers(a, len(p) + 1))] + [f"{x}" for x in rng.integers(0, letters, 2)]
+            known = {tuple(p[i : i + window]) for p in passages for i in range(len(p) - window + 1)}
+            covered = set()
+            for i in range(len(text) - window + 1):
+                if tuple(text[i : i + window]) in known:
+                    covered.update(range(i, i + window))
+            made = substring_dedup.Passages([" ".join(p).encode() for p in passages], window)
+            starts, ends = made.spans(" ".join(text).encode())
+            assert {i for a, b in zip(starts, ends) for i in range(a, b)} == covered
 
 
 def test_nothing(spark):
