@@ -9,7 +9,7 @@ A window is `window` consecutive words. It recurs if the same words start at ano
    and its windows there, joined where they touch, are the recurring passages.
 3. Compile. Passages are dealt to shards of about `SHARD` words, which grow in number with the text and not in size; those of one text
    stay together. Each passage is cut into blocks of half a window (and a word), and any window inside it holds a whole block. A
-   shard's blocks become an Aho-Corasick automaton in which each word is a letter.
+   shard's blocks become an Aho-Corasick automaton in which each word is a few letters.
 4. Locate. Every text is streamed through the automata of the shards that hold one of its anchors (no other shard can match). Where a
    block is met, text and passage are compared to both sides, and what is equal for a window or more is an occurrence; the places
    of all are put together. A shard that many texts go to is split: the texts are dealt over several tasks, and the shard's
@@ -40,7 +40,9 @@ from pixelwarrant.llm.words import SEED, Words, chunks, words
 SHARD = 200_000  # words of one automaton's passages, about
 LONG = 20_000  # windows of one text that stay together; more are cut, with overlap
 TASK_BYTES = 16_000_000  # of text that goes through one automaton in one task
-FIRST_LETTER = 0xE000  # letters of an automaton, after the surrogates
+SPELL, DIGITS = 3, 100  # letters of a word and their number: 1,000,000 words in one automaton
+FIRST, SECOND = 33, 150  # where the letters that begin a word start, and the others
+UNKNOWN = "\0" * SPELL
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = sha256(b"").hexdigest()
 
@@ -232,6 +234,12 @@ def passages(texts: DataFrame, windows: DataFrame, window: int) -> DataFrame:
 # ---- automata
 
 
+def spelling(number: int) -> str:
+    """`SPELL` letters for a word's number."""
+    last = "".join([chr(SECOND + number // DIGITS**i % DIGITS) for i in range(SPELL - 1)])
+    return chr(FIRST + number // DIGITS ** (SPELL - 1)) + last
+
+
 def shared_length(a: str, i: int, b: str, j: int) -> int:
     """How many letters of `a` from i and of `b` from j are equal."""
     n, done, step = min(len(a) - i, len(b) - j), 0, 32
@@ -245,7 +253,11 @@ def shared_length(a: str, i: int, b: str, j: int) -> int:
 
 
 class Passages:
-    """The automaton of the blocks of some passages, and what it takes to tell whole occurrences."""
+    """The automaton of the blocks of some passages, and what it takes to tell whole occurrences.
+
+    A word is spelled in `SPELL` letters: the first of `DIGITS` of their own, the others of `DIGITS` more, so that a match can't start inside
+    a word. An automaton looks for a letter among a node's branches one by one, which is fast only in a small alphabet.
+    """
 
     def __init__(self, passages: list[bytes], window: int):
         from ahocorasick import STORE_ANY, Automaton
@@ -254,29 +266,31 @@ class Passages:
         if 2 * self.block - 1 > window:
             self.block -= 1
         self.letters: dict[bytes, str] = {}
-        self.spelled = ["".join([self.letters.setdefault(w, chr(FIRST_LETTER + len(self.letters))) for w in p.split(b" ")]) for p in passages]
+        self.spelled = ["".join([self.letters.get(w) or self.letters.setdefault(w, spelling(len(self.letters))) for w in p.split(b" ")]) for p in passages]
         self.backward = [s[::-1] for s in self.spelled]
         self.automaton = Automaton(STORE_ANY)
+        blocks: dict[str, list[tuple[int, int]]] = {}
         for k, s in enumerate(self.spelled):
-            for at in range(0, len(s) - self.block + 1, self.block):
-                block = s[at : at + self.block]
-                self.automaton.get(block, None) or self.automaton.add_word(block, [])
-                self.automaton.get(block).append((k, at))
+            for at in range(0, len(s) // SPELL - self.block + 1, self.block):
+                blocks.setdefault(s[at * SPELL : (at + self.block) * SPELL], []).append((k, at))
+        for block, places in blocks.items():
+            self.automaton.add_word(block, places)
         self.automaton.make_automaton()
 
     def spans(self, plain: bytes) -> tuple[list[int], list[int]]:
         """First words, and words after the last, of the stretches of a text that occurrences cover."""
-        text = "".join([self.letters.get(w, " ") for w in plain.split(b" ")])
-        back, n = text[::-1], len(text)
+        text = "".join([self.letters.get(w, UNKNOWN) for w in plain.split(b" ")])
+        back, n = text[::-1], len(text) // SPELL
         reached: dict[tuple[int, int], int] = {}  # for a passage laid at a place: the last word compared
         found = []
-        for last, places in self.automaton.iter(text):
+        for end, places in self.automaton.iter(text) if self.spelled else ():
+            last = (end + 1) // SPELL - 1
             start = last + 1 - self.block
             for k, at in places:
                 if reached.get((k, start - at), -1) >= last:
                     continue
-                right = shared_length(text, last + 1, self.spelled[k], at + self.block)
-                left = shared_length(back, n - start, self.backward[k], len(self.spelled[k]) - at)
+                right = shared_length(text, (last + 1) * SPELL, self.spelled[k], (at + self.block) * SPELL) // SPELL
+                left = shared_length(back, (n - start) * SPELL, self.backward[k], len(self.spelled[k]) - at * SPELL) // SPELL
                 reached[k, start - at] = last + right
                 if left + self.block + right >= self.window:
                     found.append((start - left, last + 1 + right))
