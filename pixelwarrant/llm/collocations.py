@@ -1,13 +1,13 @@
 """Collocations: phrases of two to four words whose words keep together, by set-oriented (SETM) mining.
 
-1. The occurrence relation: a row for every word of a piece of text, sorted by (piece, position). It is written once, in blocks of
-   some megabytes of text: a block is one row that holds its part of the relation column by column, in order. Adjacent
-   positions of a piece follow each other at a step of 1; a new piece starts with a larger step.
+1. The occurrence relation: an entry for every word of a piece of text, sorted by (piece, position). It is written once, in blocks of
+   some megabytes of text: a block is one row that holds its part of the relation column by column, in order: the word, and
+   whether it stands at the position after the entry before it, in the same piece.
 2. Group and count: words per language. The frequent ones are F1.
 3. For each length k: the relation of length k-1, semi-joined with F(k-1), is merge-joined with itself at adjacent positions of a
    piece, which is a comparison of neighbours as both sides are sorted alike. The phrases are grouped and counted in each block,
    then over all blocks: Fk. The relation is semi-joined with Fk and written, in the same order, for the next length.
-4. The semi-join is by a Bloom filter of Fk, of `FILTER_BITS` bits at most, the only thing that is broadcast. What it lets
+4. The semi-join is by a Bloom filter of Fk (`bloom`), of bounded size and the only thing that is broadcast. What it lets
    through by chance costs time and no more: Fk+1 is what is counted often enough, and a phrase that is not frequent has no frequent extension.
    Whole counts so stay exact whatever the filter does.
 5. Frequent phrases, few against the text, are scored, thinned and ranked with joins of the F tables.
@@ -27,17 +27,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelwarrant.llm import bloom
 from pixelwarrant.llm.shared import stored
 from pixelwarrant.llm.words import chunks, kinds, words
 
 #: Words are split at spaces and tabs, pieces at these.
 CUTS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 LONGEST = 4
-FILTER_BITS = 1 << 27  # 16 MB
 UNKNOWN = "und"
 
-RELATION = "step array<int>, word array<int>, mark array<boolean>, codes array<long>"
-BLOCKS = "step array<int>, word array<int>, codes array<long>, langs array<string>, words array<string>, counts array<long>"
+#: A block of the relation: of each entry a byte of flags and the place of its word (32 bits) in `codes` (64 bits each).
+RELATION = "flags binary, word binary, codes binary"
+MARKED, FOLLOWS = 1, 2  # a phrase of the present length starts here; this is the position after the entry before
+#: A block, or a word of one.
+BLOCKS = RELATION + ", code long, lang string, token string, n long"
 
 
 def code(lang: bytes, word: bytes, seed: int) -> bytes:
@@ -47,107 +50,59 @@ def code(lang: bytes, word: bytes, seed: int) -> bytes:
 
 
 def occurrences(docs: DataFrame, lang: str, text: str, seed: int) -> DataFrame:
-    """The relation in blocks, each with its own list of words: code, language, word and count."""
+    """The relation in blocks, and after each block a row for each of its words: code, language, word and count."""
 
-    def block(part: pa.RecordBatch) -> dict:
+    def block(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = words(part.column(1), CUTS, lower=True)
+        if not len(found.codes):
+            return
         tongues = pc.fill_null(part.column(0).cast(pa.string()), UNKNOWN).dictionary_encode()
-        # Local words: by language and word, the most frequent first, so that places are small numbers.
-        both = tongues.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc] * max(1, len(found.distinct)) + found.codes
+        # Local words, by language and word.
+        both = tongues.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc] * len(found.distinct) + found.codes
         own, place, counts = np.unique(both, return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        own, counts = own[order], counts[order]
         names = [x.encode() for x in tongues.dictionary.to_pylist()]
-        spoken = [names[i] for i in (own // max(1, len(found.distinct))).tolist()]
-        written = found.distinct.take(pa.array(own % max(1, len(found.distinct)))).to_pylist()
-        digests = np.frombuffer(b"".join([code(x, w, seed) for x, w in zip(spoken, written)]), ">i8").astype(np.int64)
-        # A step of 1 inside a piece and of 2 or more to the next one.
-        step = 1 + np.diff(found.piece, prepend=0).clip(0, 1)
-        return {"step": step.astype(np.int32), "word": rank[place].astype(np.int32), "codes": digests, "langs": spoken, "words": written, "counts": counts}
+        spoken = own // len(found.distinct)
+        written = found.distinct.take(pa.array(own % len(found.distinct)))
+        raw = b"".join([code(names[i], w, seed) for i, w in zip(spoken.tolist(), written.to_pylist())])
+        flags = np.full(len(place), MARKED, np.uint8)
+        flags[1:][found.piece[1:] == found.piece[:-1]] |= FOLLOWS
+        rows = _block(flags, place, np.frombuffer(raw, np.int64))
+        lists = [pa.array(np.frombuffer(raw, np.int64)), tongues.dictionary.take(pa.array(spoken)), written.cast(pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
+        none = [pa.nulls(1, x.type) for x in lists]
+        yield pa.RecordBatch.from_arrays([*rows, *none], NAMES)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(own), pa.binary())] * 3, *lists], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
-                yield _row(block(part), langs=pa.string(), words=pa.string())
+                yield from block(part)
 
     return docs.select(lang, text).mapInArrow(run, BLOCKS)
 
 
-def _row(columns: dict, **kinds: pa.DataType) -> pa.RecordBatch:
-    """One row of lists."""
-    made = {}
-    for name, values in columns.items():
-        flat = pa.array(values, pa.binary()).cast(kinds[name]) if name in kinds else pa.array(values)
-        made[name] = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-    return pa.RecordBatch.from_pydict(made)
-
-
-def _list(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False)
-
-
-# ---- the filter of a frequent set
-
-
-def mixed(codes: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit number of a phrase's codes."""
-    out = np.full(len(codes[0]), len(codes), np.uint64)
-    for c in codes:
-        out = (out ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out
-
-
-def bits_of(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two of `size` bits for each number; `size` is a power of two."""
-    low = np.uint64(size - 1)
-    return numbers & low, (numbers >> np.uint64(29)) & low
-
-
-def frequent_filter(frequent: DataFrame, names: list[str]) -> np.ndarray:
-    """The bits of a Bloom filter of `frequent`: 16 bits a phrase, FILTER_BITS at most. Its words are or-ed in a grouped job."""
-    size = 1 << 20
-    count = frequent.count()
-    while size < min(16 * count, FILTER_BITS):
-        size *= 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate(bits_of(mixed([c.to_numpy(zero_copy_only=False) for c in batch.columns]), size))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64))], ["place", "bits"])
-
-    rows = frequent.select(*names).mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size >> 6, np.int64)
-    out[rows["place"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
+NAMES = ["flags", "word", "codes", "code", "lang", "token", "n"]
 
 
-def passes(filter: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    one, two = bits_of(numbers, len(filter) << 6)
-    held = lambda at: (filter[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-    return (held(one) & held(two)).astype(bool)
+def _block(flags: np.ndarray, word: np.ndarray, codes: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in (flags, word.astype(np.int32), codes)]
 
 
 # ---- one length after the other
 
 
-def adjacent(step: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """The merge-join: rows of the relation that are followed, at the next position of the piece, by another one."""
-    first = np.flatnonzero(mark[:-1] & mark[1:] & (step[1:] == 1))
-    return first
+def adjacent(flags: np.ndarray) -> np.ndarray:
+    """The merge-join: entries of the relation that are followed, at the next position of the piece, by another one."""
+    return np.flatnonzero((flags[:-1] & MARKED) & (flags[1:] & MARKED) & (flags[1:] // FOLLOWS))
 
 
-def _each(relation: DataFrame, schema: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+def _each(relation: DataFrame, schema: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                step, word, mark, codes = (_list(batch.column(i), row) for i in range(4))
-                if len(step):
-                    yield from work(step, word, mark.astype(bool), codes)
+                flags, word, codes = (np.frombuffer(batch.column(i)[row].as_buffer(), kind) for i, kind in enumerate((np.uint8, np.int32, np.int64)))
+                yield from work(flags, word, codes)
 
-    return relation.select("step", "word", "mark", "codes").mapInArrow(run, schema)
+    return relation.select("flags", "word", "codes").mapInArrow(run, schema)
 
 
 def names_of(length: int) -> list[str]:
@@ -158,8 +113,8 @@ def counted(relation: DataFrame, length: int) -> DataFrame:
     """c1, ..., and how often (`n`) the relation's rows, joined with their neighbours, give that phrase; one row for each block that has it."""
     names = names_of(length)
 
-    def work(step: np.ndarray, word: np.ndarray, mark: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = adjacent(step, mark)
+    def work(flags: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = adjacent(flags)
         if not len(first):
             return
         # Phrases are told apart by the places of their words in the block, two names becoming one at a time.
@@ -173,24 +128,23 @@ def counted(relation: DataFrame, length: int) -> DataFrame:
 
 
 def narrowed(relation: DataFrame, length: int, filter) -> DataFrame:
-    """The relation of phrases of `length` words: the joined rows that pass the filter of frequent ones, marked at their first word."""
-
-    def work(step: np.ndarray, word: np.ndarray, mark: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = adjacent(step, mark) if length > 1 else np.arange(len(step))
-        known = mixed([codes[word[first + i]] for i in range(length)])
-        first = first[passes(filter.value, known)]
-        marked = np.zeros(len(step), bool)
-        marked[first] = True
-        held = marked.copy()
+    """The relation of phrases of `length` words: the joined entries that pass the filter of frequent ones, marked at their first word."""
+
+    def work(flags: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = adjacent(flags) if length > 1 else np.arange(len(flags))
+        first = first[bloom.passes(filter.value, [codes[word[first + i]] for i in range(length)])]
+        marked = np.zeros(len(flags), np.uint8)
+        marked[first] = MARKED
+        held = marked.astype(bool)
         for i in range(1, length):
             held[first + i] = True
-        # Words of no row go; the step to the next word that stays is at least 2 then, and longer steps mean the same.
         kept = np.flatnonzero(held)
         if not len(kept):
             return
-        here = np.cumsum(step.astype(np.int64))[kept]
+        # Words of no phrase go; what stood after one of them follows no entry any more.
+        near = np.diff(kept, prepend=-2) == 1
         used, place = np.unique(word[kept], return_inverse=True)
-        yield _row({"step": np.minimum(np.diff(here, prepend=here[0] - 2), 2).astype(np.int32), "word": place.astype(np.int32), "mark": marked[kept], "codes": codes[used]})
+        yield pa.RecordBatch.from_arrays(_block(marked[kept] | (flags[kept] & FOLLOWS & np.where(near, FOLLOWS, 0).astype(np.uint8)), place, codes[used]), NAMES[:3])
 
     return _each(relation, RELATION, work)
 
@@ -198,10 +152,10 @@ def narrowed(relation: DataFrame, length: int, filter) -> DataFrame:
 def frequent_phrases(blocks: DataFrame, frequent_words: DataFrame, least: int, longest: int) -> list[DataFrame]:
     """For each length from 2: c1, c2, ... and a, of the phrases that occur `least` times or more."""
     context = blocks.sparkSession.sparkContext
-    relation = blocks.select("step", "word", F.transform("word", lambda _: F.lit(True)).alias("mark"), "codes")
+    relation = blocks.where("flags is not null")
     frequent, out = frequent_words.select(F.col("code").alias("c1")), []
     for length in range(1, longest):
-        filter = context.broadcast(frequent_filter(frequent, names_of(length)))
+        filter = context.broadcast(bloom.build(frequent, names_of(length)))
         relation = narrowed(relation, length, filter)
         if length > 1:
             relation = stored(relation)
@@ -223,8 +177,8 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 3
     """
     for seed in range(100):
         blocks = stored(occurrences(docs, lang, text, seed))
-        lists = blocks.select(F.explode(F.arrays_zip("codes", "langs", "words", "counts")).alias("w"))
-        vocabulary = stored(lists.groupBy(F.col("w.codes").alias("code"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")))
+        lists = blocks.where("code is not null")
+        vocabulary = stored(lists.groupBy("code", "lang", F.col("token").alias("word")).agg(F.sum("n").alias("f")))
         if vocabulary.groupBy("code").count().where("count > 1").isEmpty():
             break
     else:

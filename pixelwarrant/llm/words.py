@@ -78,11 +78,12 @@ def words(texts: pa.Array, kind: np.ndarray = PLAIN, lower: bool = False) -> Wor
     if lower:
         held = held + (((held >= 65) & (held <= 90)) * np.uint8(32))
     places = np.empty(len(starts) + 1, np.int64)
-    places[:-1] = np.cumsum(inside)[starts] - 1
+    size = np.int32 if len(raw) < 1 << 31 else np.int64
+    places[:-1] = np.cumsum(inside, dtype=size)[starts] - 1
     places[-1] = len(held)
     kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(held))])
     coded = kept.dictionary_encode()
     doc = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(of == 2)[starts] + doc if (of == 2).any() else doc
+    piece = np.cumsum(of == 2, dtype=size)[starts] + doc if (of == 2).any() else doc
     counts = np.bincount(doc, minlength=len(texts)).astype(np.int64)
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, doc, piece, counts)
