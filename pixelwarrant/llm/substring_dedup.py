@@ -10,8 +10,8 @@ A window is `window` consecutive words. It recurs if the same words start at ano
 3. Compile. Passages are dealt to shards of about `SHARD` words, which grow in number with the text and not in size; those of one text
    stay together. Each passage is cut into blocks of half a window (and a word), and any window inside it holds a whole block. A
    shard's blocks become an Aho-Corasick automaton in which each word is a few letters.
-4. Locate. Every text is streamed through the automata of the shards that hold one of its anchors (no other shard can match). Where a
-   block is met, text and passage are compared to both sides, and what is equal for a window or more is an occurrence; the places
+4. Locate. Every text is streamed through the automata of the shards that hold one of its anchors (no other shard can match), each
+   taking the stretches around those anchors. Where a block is met, text and passage are compared to both sides, and what is equal for a window or more is an occurrence; the places
    of all are put together. A shard that many texts go to is split: the texts are dealt over several tasks, and the shard's
    passages go to each.
 
@@ -39,7 +39,7 @@ from pixelwarrant.llm.words import SEED, Words, chunks, words
 
 SHARD = 200_000  # words of one automaton's passages, about
 LONG = 20_000  # windows of one text that stay together; more are cut, with overlap
-TASK_BYTES = 16_000_000  # of text that goes through one automaton in one task
+TASK_BYTES = 8_000_000  # of text that goes through one automaton in one task
 SPELL, DIGITS = 3, 100  # letters of a word and their number: 1,000,000 words in one automaton
 FIRST, SECOND = 33, 150  # where the letters that begin a word start, and the others
 UNKNOWN = "\0" * SPELL
@@ -304,27 +304,69 @@ class Passages:
         return starts, ends
 
 
-def located(texts: DataFrame, met: DataFrame, shards: DataFrame, window: int) -> DataFrame:
-    """t1, t2, starts and ends of the covered stretches, for each text and shard. `met`: t1, t2 and a."""
+def anchor_places(texts: DataFrame, window: int) -> DataFrame:
+    """t1, t2, a and the first word (`at`) of every place of a text's anchors that are met elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 2):
+                w = Windows(words(part.column(2)), window)
+                at = w.places()
+                at = at[np.isin(w.hashes[at], part.column(3).flatten().to_numpy().view(np.uint64))]
+                row = pa.array(w.found.doc[at])
+                inside = at - w.found.starts()[w.found.doc[at]]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(w.hashes[at].view(np.int64)), pa.array(inside.astype(np.int32))], ["t1", "t2", "a", "at"])
+
+    return texts.select("t1", "t2", "plain", "met").mapInArrow(run, "t1 long, t2 long, a long, at int")
+
+
+def segments(texts: DataFrame, routes: DataFrame, window: int) -> DataFrame:
+    """The stretches of a text that a shard can match: shard, t1, t2, first word, words. `routes` has `places` (shard, at) of each text."""
+    gram = window // 3 + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                found = batch.column(2)[row].as_py().split(b" ")
+                places = batch.column(3)[row].values
+                shard, at = places.field(0).to_numpy(), places.field(1).to_numpy()
+                order = np.lexsort((at, shard))
+                shard, at = shard[order], at[order]
+                # All windows with a gram as their anchor lie around it; stretches that touch are one.
+                turns = np.flatnonzero((np.diff(shard) > 0) | (np.diff(at) > 2 * window - gram)) + 1
+                for piece in np.split(np.arange(len(at)), turns):
+                    first, end = max(0, int(at[piece[0]]) - window + gram), int(at[piece[-1]]) + window
+                    out.append((int(shard[piece[0]]), row, first, b" ".join(found[first:end])))
+            row = pa.array([o[1] for o in out], pa.int64())
+            arrays = [pa.array([o[0] for o in out], pa.int32()), batch.column(0).take(row), batch.column(1).take(row), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["shard", "t1", "t2", "first", "words"])
+
+    joined = texts.select("t1", "t2", "plain").join(routes, ["t1", "t2"])
+    return joined.mapInArrow(run, "shard int, t1 long, t2 long, first int, words binary")
+
+
+def located(texts: DataFrame, shards: DataFrame, window: int) -> DataFrame:
+    """t1, t2, starts and ends of the covered stretches, for each text and shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"t1": [], "t2": [], "starts": [], "ends": []}
         if left.num_rows and right.num_rows:
             made = Passages(right["passage"].to_pylist(), window)
-            for t1, t2, plain in zip(left["t1"].to_pylist(), left["t2"].to_pylist(), left["plain"].to_pylist()):
+            for t1, t2, first, plain in zip(*(left[c].to_pylist() for c in ("t1", "t2", "first", "words"))):
                 starts, ends = made.spans(plain)
                 if starts:
-                    for name, value in zip(out, (t1, t2, starts, ends)):
+                    for name, value in zip(out, (t1, t2, [first + s for s in starts], [first + e for e in ends])):
                         out[name].append(value)
         return pa.table(out, pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
 
     holders = shards.select("shard", F.explode("anchors").alias("a")).distinct()
-    routes = met.join(holders, "a").select("t1", "t2", "shard").distinct()
-    routes = stored(routes.join(texts.select("t1", "t2", F.length("plain").alias("size")), ["t1", "t2"]))
+    routes = anchor_places(texts, window).join(holders, "a").groupBy("t1", "t2").agg(F.collect_list(F.struct("shard", "at")).alias("places"))
+    sent = stored(segments(texts, routes, window))
     # How many tasks share a shard's texts: a row for each shard.
-    salts = stored(routes.groupBy("shard").agg(F.ceil(F.sum("size") / TASK_BYTES).cast("int").alias("salts")))
-    salt = F.pmod(F.xxhash64("t2"), F.col("salts")).cast("int").alias("salt")
-    left = routes.join(salts, "shard").select("t1", "t2", "shard", salt).join(texts.select("t1", "t2", "plain"), ["t1", "t2"])
+    salts = stored(sent.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / TASK_BYTES).cast("int").alias("salts")))
+    salt = F.pmod(F.xxhash64("t2", "first"), F.col("salts")).cast("int").alias("salt")
+    left = sent.join(salts, "shard").select("t1", "t2", "shard", "first", "words", salt)
     right = shards.select("shard", "passage").join(salts, "shard").select("shard", "passage", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     both = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt"))
     return both.applyInArrow(run, "t1 long, t2 long, starts array<int>, ends array<int>")
@@ -362,8 +404,8 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3
     found = stored(passages(texts, windows, window))
     n = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // SHARD))
     shards = found.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(n)).cast("int"))
-    alone = met.join(classes.where("copies = 1").select("t1", "t2"), "t1")
-    places = stored(located(texts, alone, shards, window))
+    alone = texts.join(classes.where("copies = 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
+    places = stored(located(alone, shards, window))
     found = classes.select("t1", "t2", "copies").join(collapsed(texts, places), ["t1", "t2"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
