@@ -203,26 +203,27 @@ def passages(texts: DataFrame, windows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
+            for part in chunks(batch, 1):
                 w = Windows(words(part.column(1)), window)
-                own = set(zip(part.column(2)[0].values.to_pylist(), part.column(3)[0].values.to_pylist()))
                 d1, d2 = w.digests()
-                at = []
-                for i in np.flatnonzero(np.isin(d1, part.column(2)[0].values.to_numpy())).tolist():
-                    pair = (int(d1[i]), int(d2[i]))
-                    if pair in own:
-                        own.remove(pair)  # its first place alone
-                        at.append(i)
-                if not at:
-                    continue
-                at = np.array(at)
-                plain = part.column(1)[0].as_py().split(b" ")
-                out, turns = [], (np.diff(at) > 1) | (np.diff(np.arange(len(at)) // LONG) > 0)
-                for piece in np.split(np.arange(len(at)), np.flatnonzero(turns) + 1):
-                    first, last = int(at[piece[0]]), int(at[piece[-1]])
-                    anchors = np.unique(w.anchors[first : last + 1]).view(np.int64)
-                    out.append((b" ".join(plain[first : last + window]), last - first + window, anchors, f"{part.column(0)[0]} {piece[0] // LONG}"))
+                own = [set(zip(x, y)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                doc, starts, places = w.found.doc, w.found.starts(), [[] for _ in own]
+                for i in np.flatnonzero(w.inside & np.isin(d1, part.column(2).flatten().to_numpy())).tolist():
+                    row, pair = doc[i], (int(d1[i]), int(d2[i]))
+                    if pair in own[row]:
+                        own[row].remove(pair)  # its first place alone
+                        places[row].append(i)
+                out = []
+                for row, at in enumerate(places):
+                    if not at:
+                        continue
+                    at, begin = np.array(at), int(starts[row])
+                    plain, t1 = part.column(1)[row].as_py().split(b" "), part.column(0)[row].as_py()
+                    turns = (np.diff(at) > 1) | (np.diff(np.arange(len(at)) // LONG) > 0)
+                    for piece in np.split(np.arange(len(at)), np.flatnonzero(turns) + 1):
+                        first, last = int(at[piece[0]]), int(at[piece[-1]])
+                        anchors = np.unique(w.anchors[first : last + 1]).view(np.int64)
+                        out.append((b" ".join(plain[first - begin : last - begin + window]), last - first + window, anchors, f"{t1} {piece[0] // LONG}"))
                 kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["passage", "n", "anchors", "part"])
 
@@ -240,15 +241,15 @@ def spelling(number: int) -> str:
     return chr(FIRST + number // DIGITS ** (SPELL - 1)) + last
 
 
-def shared_length(a: str, i: int, b: str, j: int) -> int:
-    """How many letters of `a` from i and of `b` from j are equal."""
-    n, done, step = min(len(a) - i, len(b) - j), 0, 32
-    while done < n and step:
+def shared_length(a: bytes, i: int, b: bytes, j: int) -> int:
+    """How many bytes of `a` from i and of `b` from j are equal: the first difference is the highest bit in which two numbers differ."""
+    n, done, step = min(len(a) - i, len(b) - j), 0, 128
+    while done < n:
         k = min(step, n - done)
-        if a[i + done : i + done + k] == b[j + done : j + done + k]:
-            done, step = done + k, 2 * k
-        else:
-            step = k // 2
+        x, y = a[i + done : i + done + k], b[j + done : j + done + k]
+        if x != y:
+            return done + (8 * k - (int.from_bytes(x) ^ int.from_bytes(y)).bit_length()) // 8
+        done, step = done + k, min(4 * step, 1 << 16)
     return done
 
 
@@ -267,7 +268,8 @@ class Passages:
             self.block -= 1
         self.letters: dict[bytes, str] = {}
         self.spelled = ["".join([self.letters.get(w) or self.letters.setdefault(w, spelling(len(self.letters))) for w in p.split(b" ")]) for p in passages]
-        self.backward = [s[::-1] for s in self.spelled]
+        self.forward = [s.encode("latin-1") for s in self.spelled]
+        self.backward = [s[::-1] for s in self.forward]
         self.automaton = Automaton(STORE_ANY)
         blocks: dict[str, list[tuple[int, int]]] = {}
         for k, s in enumerate(self.spelled):
@@ -280,7 +282,8 @@ class Passages:
     def spans(self, plain: bytes) -> tuple[list[int], list[int]]:
         """First words, and words after the last, of the stretches of a text that occurrences cover."""
         text = "".join([self.letters.get(w, UNKNOWN) for w in plain.split(b" ")])
-        back, n = text[::-1], len(text) // SPELL
+        raw, n = text.encode("latin-1"), len(text) // SPELL
+        back = raw[::-1]
         reached: dict[tuple[int, int], int] = {}  # for a passage laid at a place: the last word compared
         found = []
         for end, places in self.automaton.iter(text) if self.spelled else ():
@@ -289,8 +292,8 @@ class Passages:
             for k, at in places:
                 if reached.get((k, start - at), -1) >= last:
                     continue
-                right = shared_length(text, (last + 1) * SPELL, self.spelled[k], (at + self.block) * SPELL) // SPELL
-                left = shared_length(back, (n - start) * SPELL, self.backward[k], len(self.spelled[k]) - at * SPELL) // SPELL
+                right = shared_length(raw, (last + 1) * SPELL, self.forward[k], (at + self.block) * SPELL) // SPELL
+                left = shared_length(back, (n - start) * SPELL, self.backward[k], len(self.forward[k]) - at * SPELL) // SPELL
                 reached[k, start - at] = last + right
                 if left + self.block + right >= self.window:
                     found.append((start - left, last + 1 + right))
