@@ -1,101 +1,121 @@
 """Paired, stratified bootstrap of the AUC difference between two scores of the same rows.
 
 Rows are first reduced to one row per (class, score pair), so ties collapse. A replicate
-gives each such row a Poisson(count) weight drawn from a hash of its key; both arms share
-it. For each arm the rows are range-partitioned by score and swept once: a task carries a
-vector of running negatives (one entry per replicate) and hands on only per-replicate
-totals of at most three score segments, which are then chained. No row is ever copied per
-replicate, and equal scores that fall into different tasks are joined exactly.
+gives each such row a Poisson(count) weight: a number from counters (row key, replicate,
+seed) sent through the inverse distribution, so a draw depends on nothing else and both
+arms share it. For each arm the rows are range-partitioned by score and swept once, a chunk
+of rows against all replicates at a time; a task hands on only per-replicate totals of at
+most three score segments, which are then chained. No row is ever copied per replicate,
+and equal scores that fall into different tasks are joined exactly.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 2048
-
-
-def _weights(keys: np.ndarray, counts: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """(rows, replicates) Poisson weights; a row's draw depends on its key and the seed only."""
-    out = np.empty((len(keys), replicates))
-    for i, (key, n) in enumerate(zip(keys, counts)):
-        rng = np.random.Generator(np.random.Philox(key=[int(key) & 0xFFFFFFFFFFFFFFFF, seed]))
-        out[i] = rng.poisson(n, replicates)
+CHUNK = 256
+PRIME = 2147483647  # of the draws; products stay below 2**63
+
+
+def uniforms(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """(rows, replicates) numbers in (0, 1): fifth powers, which are a permutation modulo PRIME, of sums of the counters."""
+    k, r = keys.astype(np.int64)[:, None] % PRIME, np.arange(replicates, dtype=np.int64)[None, :]
+    x = (k * 48271 + r * 69621 + seed * 16807 + 1) % PRIME
+    for a, b in ((40692, 39373), (45991, 30323)):
+        square = x * x % PRIME
+        x = (square * square % PRIME * x + k * a + r * b) % PRIME
+    return (x + 0.5) / PRIME
+
+
+def poisson(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Poisson(count) numbers of each row's uniforms, by the inverse distribution."""
+    out = np.empty_like(u)
+    for n in np.unique(counts):
+        top = int(n + 12 * np.sqrt(n) + 20)
+        k = np.arange(top)
+        cdf = np.cumsum(np.exp(-n + k * np.log(n) - np.array([lgamma(i + 1.0) for i in k])))
+        at = counts == n
+        out[at] = np.searchsorted(cdf, u[at].ravel(), "right").reshape(u[at].shape)
     return out
 
 
-def _sweep(replicates: int, seed: int):
-    """Totals per (first score, scores in between, last score) of one sorted partition."""
+class _Arm:
+    """Totals of one arm in one sorted partition: its first score, the scores in between, and its last, whose ties may go on elsewhere."""
+
+    def __init__(self, name: str, replicates: int):
+        self.name, self.low, self.first, self.held = name, None, None, None
+        self.pos, self.neg = np.zeros(replicates), np.zeros(replicates)
+        self.inner = [np.zeros(replicates) for _ in range(3)]  # pos, neg, wins
+
+    def add(self, scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Rows in order of score, with their weights as positives and as negatives."""
+        starts = np.flatnonzero(np.concatenate([[True], scores[1:] != scores[:-1]]))
+        own, p, n = scores[starts], np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
+        if self.held is not None and self.held == own[0]:
+            p[0] += self.pos
+            n[0] += self.neg
+        elif self.held is not None:
+            own, p, n = np.append(self.held, own), np.vstack([self.pos, p]), np.vstack([self.neg, n])
+        self.held, self.pos, self.neg = own[-1], p[-1].copy(), n[-1].copy()
+        own, p, n = own[:-1], p[:-1], n[:-1]
+        if len(own) and self.first is None:
+            self.first = own[0]
+            yield self.segment(own[0], 0, p[0], n[0], p[0] * n[0] / 2)
+            own, p, n = own[1:], p[1:], n[1:]
+        if len(own):
+            self.low = own[0] if self.low is None else self.low
+            below = self.inner[1] + np.cumsum(n, axis=0) - n / 2
+            self.inner = [self.inner[0] + p.sum(0), self.inner[1] + n.sum(0), self.inner[2] + (p * below).sum(0)]
+
+    def segment(self, score: float, inner: int, pos: np.ndarray, neg: np.ndarray, wins: np.ndarray) -> pd.DataFrame:
+        place = np.arange(len(pos), dtype=np.int32)
+        return pd.DataFrame({"arm": self.name, "score": score, "inner": inner, "replicate": place, "pos": pos, "neg": neg, "wins": wins})
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.low is not None:
+            yield self.segment(self.low, 1, *self.inner)
+        if self.held is not None:
+            yield self.segment(self.held, 0, self.pos, self.neg, self.pos * self.neg / 2)
 
-    def segment(arm: str, score: float, kind: int, pos: np.ndarray, neg: np.ndarray, wins: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"arm": arm, "score": score, "inner": kind, "replicate": np.arange(replicates, dtype=np.int32), "pos": pos, "neg": neg, "wins": wins}
-        )
 
+def _sweep(replicates: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zero = np.zeros(replicates)
-        arm, held, first = None, None, None  # held: the score being summed
-        pos, neg = zero.copy(), zero.copy()
-        in_pos, in_neg, in_wins = zero.copy(), zero.copy(), zero.copy()
-        low = None
-
-        def close_score():
-            """Move the finished score into the inner segment, or emit it when it is the first."""
-            nonlocal pos, neg, in_pos, in_neg, in_wins, first, low
-            done = None
-            if first is None:
-                first, done = held, segment(arm, held, 0, pos, neg, pos * neg / 2)
-            else:
-                low = held if low is None else low
-                in_wins += pos * (in_neg + neg / 2)
-                in_pos += pos
-                in_neg += neg
-            pos, neg = zero.copy(), zero.copy()
-            return done
-
-        def close_arm():
-            """The last score stays apart, as its ties may continue in the next partition."""
-            parts = []
-            if low is not None:
-                parts.append(segment(arm, low, 1, in_pos, in_neg, in_wins))
-            parts.append(segment(arm, held, 0, pos, neg, pos * neg / 2))
-            return parts
-
+        arm = None
         for batch in batches:
             for start in range(0, len(batch), CHUNK):
                 part = batch.iloc[start : start + CHUNK]
-                w = _weights(part["key"].to_numpy(), part["n"].to_numpy(), replicates, seed)
-                for row_arm, score, y, weight in zip(part["arm"], part["score"], part["y"], w):
-                    if arm is not None and row_arm != arm:
-                        yield from close_arm()
-                        held = first = low = None
-                        pos, neg = zero.copy(), zero.copy()
-                        in_pos, in_neg, in_wins = zero.copy(), zero.copy(), zero.copy()
-                    elif held is not None and score != held:
-                        done = close_score()
-                        if done is not None:
-                            yield done
-                    arm, held = row_arm, score
-                    if y == 1:
-                        pos += weight
-                    else:
-                        neg += weight
+                weight = poisson(uniforms(part["key"].to_numpy(), replicates, seed), part["n"].to_numpy())
+                is_pos = (part["y"].to_numpy() == 1)[:, None]
+                names, scores = part["arm"].to_numpy(), part["score"].to_numpy()
+                for name in dict.fromkeys(names):
+                    if arm is None or arm.name != name:
+                        if arm is not None:
+                            yield from arm.rest()
+                        arm = _Arm(name, replicates)
+                    own = names == name
+                    yield from arm.add(scores[own], weight[own] * is_pos[own], weight[own] * ~is_pos[own])
         if arm is not None:
-            yield from close_arm()
+            yield from arm.rest()
 
     return run
 
 
-def replicate_aucs(rows: DataFrame, with_score: str, without_score: str, label: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """`(replicate, auc_with, auc_without, delta)`; replicates that lost a class are dropped."""
+def replicate_aucs(
+    rows: DataFrame, with_score: str, without_score: str, label: str, replicates: int = 2000, seed: int = 0, key: Column | None = None
+) -> DataFrame:
+    """`(replicate, auc_with, auc_without, delta)`; replicates that lost a class are dropped.
+
+    The draws of a class and score pair go by the least `key` (a whole number) of its rows; without one, by a hash of the pair.
+    """
     counts = rows.groupBy(
         F.col(label).alias("y"), F.col(with_score).cast("double").alias("a"), F.col(without_score).cast("double").alias("b")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    keyed = counts.withColumn("key", F.xxhash64("y", "a", "b"))
+    ).agg(F.count(F.lit(1)).alias("n"), *([] if key is None else [F.min(key.cast("long")).alias("key")]))
+    keyed = counts if key is not None else counts.withColumn("key", F.pmod(F.xxhash64("y", "a", "b"), F.lit(PRIME)))
     long = keyed.select(
         "key",
         "n",
@@ -120,7 +140,9 @@ def replicate_aucs(rows: DataFrame, with_score: str, without_score: str, label:
     )
 
 
-def paired_auc_delta(rows: DataFrame, with_score: str, without_score: str, label: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
+def paired_auc_delta(
+    rows: DataFrame, with_score: str, without_score: str, label: str, replicates: int = 2000, seed: int = 0, key: Column | None = None
+) -> DataFrame:
     """Observed AUCs, their difference, its 95% interval and whether that excludes zero."""
     from pixelwarrant.operators import metrics, ranks
 
@@ -129,7 +151,7 @@ def paired_auc_delta(rows: DataFrame, with_score: str, without_score: str, label
     point = observed.agg(
         one("auc", "with").alias("auc_with"), one("auc", "without").alias("auc_without"), one("pos", "with").alias("n_positive"), one("neg", "with").alias("n_negative")
     )
-    ends = replicate_aucs(rows, with_score, without_score, label, replicates, seed).agg(
+    ends = replicate_aucs(rows, with_score, without_score, label, replicates, seed, key).agg(
         F.percentile("delta", [0.025, 0.975]).alias("ci")
     )
     return point.withColumn("ci", ends.scalar()).select(

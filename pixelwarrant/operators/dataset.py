@@ -167,7 +167,7 @@ def split_by_group(df: DataFrame, group: str, fraction: float, key: Column | Non
 
 def random_subset(df: DataFrame, n: int, key: Column, tie: str) -> DataFrame:
     """`n` rows in random order; never a contiguous slice."""
-    return df.withColumn("_k", key).orderBy("_k", tie).limit(n).drop("_k")
+    return ranks.first_n(df.withColumn("_k", key), [], ["_k", tie], n, "_at").drop("_k", "_at")
 
 
 def per_class_cap(df: DataFrame, cls: str, order: Sequence[str], n: int) -> DataFrame:
@@ -177,7 +177,7 @@ def per_class_cap(df: DataFrame, cls: str, order: Sequence[str], n: int) -> Data
 def interleave(df: DataFrame, cls: str, order: Sequence[str], target: int) -> DataFrame:
     """Round-robin over classes, up to `target` rows in all."""
     capped = ranks.first_n(df, [cls], order, target, "turn")
-    return capped.orderBy("turn", cls).limit(target)
+    return ranks.first_n(capped, [], ["turn", cls], target, "_at").drop("_at")
 
 
 def scale_sample(windows: DataFrame, per_image: int, key: Column, image: str = "image_id", scale: str = "scale", tie: str = "patch_no") -> DataFrame:
@@ -283,7 +283,7 @@ def accumulate_manifest(existing: DataFrame, new: DataFrame, key: str = "stem")
 def top_up(candidates: DataFrame, existing: DataFrame, key: str, target: int) -> DataFrame:
     """Fill up to `target` rows, counting what is already written."""
     missing = max(0, target - existing.select(key).distinct().count())
-    return not_recorded(candidates, existing, key).orderBy(key).limit(missing)
+    return ranks.first_n(not_recorded(candidates, existing, key), [], [key], missing, "_at").drop("_at")
 
 
 def fold_totals(df: DataFrame, family: str, label: str) -> DataFrame:

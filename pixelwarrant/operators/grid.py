@@ -128,6 +128,28 @@ def convolve(
     return _along(rows, keys, "x", "y", one_axis({out: out for out in outputs}))
 
 
+def convolve_by(df: DataFrame, columns: Sequence[str], kernel: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Separable convolution of `columns` in place, mirrored at the edges, with a kernel (array of k, w) that the keys decide."""
+
+    def make(line: Column) -> Column:
+        n = F.size(line)
+        total = lambda c, i: F.aggregate("_kernel", F.lit(0.0), lambda acc, t: acc + t["w"] * F.get(line, reflected(i + t["k"], n, False))[c])
+
+        def cell(s: Column, i: Column) -> Column:
+            for c in columns:
+                s = s.withField(c, total(c, i))
+            return s
+
+        return F.transform(line, cell)
+
+    def axis(rows: DataFrame, line: str, pos: str) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*keys, line, pos)]
+        packed = rows.groupBy(*keys, line).agg(F.sort_array(F.collect_list(F.struct(pos, *rest))).alias("_line")).withColumn("_kernel", kernel)
+        return packed.select(*keys, line, F.explode(make(F.col("_line"))).alias("_cell")).select(*keys, line, "_cell.*")
+
+    return axis(axis(df, "y", "x"), "x", "y")
+
+
 def gaussian_blur(df: DataFrame, columns: dict[str, str], sigma: float, keys: Sequence[str] = KEYS, **how) -> DataFrame:
     """Gaussian blur: radius 3 sigma and mirrored edges by default.
 

@@ -17,9 +17,9 @@ def blend_windows(scored: DataFrame, image: str = "image_id") -> DataFrame:
 
     The kernel is separable, so windows are expanded along y and summed first, and only the
     column sums are expanded along x. Both sums are grouped by the image, so a table that is
-    hash-partitioned on the image is not shuffled again.
+    hash-partitioned on the image is not shuffled again. A window without a score covers nothing.
     """
-    tall = scored.select(
+    tall = scored.where(F.col("score").isNotNull()).select(
         image, "scale", "x0", "x1", "y0", "y1", "score", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")
     )
     wy = hann(F.col("y") - F.col("y0"), F.col("y1") - F.col("y0"))

@@ -1,10 +1,10 @@
 """Exact rank statistics that never sort one whole table in one task.
 
 Rows are first reduced to one row per (keys, score), so ties, however heavy, collapse on
-the map side. The distinct scores are then cut into buckets at approximate quantiles of
-the whole table, several for every shuffle partition, so a window inside a bucket stays
-small, and only the bucket totals (one row per key and bucket) are scanned in order. Keys
-and ordering columns may be null: null is a key like any other, and comes first in order.
+the map side. The rows are then cut into buckets by keys and order columns together, several
+for every shuffle partition, so a window inside a bucket stays small, and only the bucket
+totals (one row per bucket, and per key in it) are scanned in order. Keys and ordering
+columns may be null: null is a key like any other, and comes first in order.
 """
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _B = "_bucket"
+MOST_BUCKETS = 8192
+PER_BUCKET = 8  # rows of the sample that places the cuts
 
 
 def score_counts(
@@ -36,47 +37,37 @@ def score_counts(
     )
 
 
-def order_number(df: DataFrame, value: str) -> Column:
-    """A number that never falls as `value` rises, for any type that can be ordered.
+def bucket_count(df: DataFrame) -> int:
+    """Four buckets per shuffle partition, so that they shrink as a cluster's parallelism is raised."""
+    return min(MOST_BUCKETS, max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-    Numbers, booleans, dates and times count as they are. Of a string it is the first seven bytes after those that all
-    values share; strings alike that far share a bucket and are ordered inside it.
-    """
-    kind = df.schema[value].dataType
-    column = F.col(value)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(column.cast("timestamp")).cast("double")
-    if not isinstance(kind, (T.StringType, T.BinaryType)):
-        return column.cast("double")
-    raw = F.hex(column.cast("binary"))
-    ends = df.agg(F.min(raw).alias("low"), F.max(raw).alias("high"))
-    places = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
-    apart = F.get(F.filter(places, lambda i: F.left(F.col("low"), i) != F.left(F.col("high"), i)), 0)
-    shared = ends.select(F.coalesce(apart - 1, F.length("low"), F.lit(0)).alias("n")).scalar()
-    return F.conv(F.rpad(F.substring(raw, shared + 1, F.lit(14)), 14, "0"), 16, 10).cast("double")
 
+def cut_points(df: DataFrame, columns: Sequence[str], buckets: int) -> Column:
+    """`buckets - 1` rows of `columns` that cut the table into about equal ranges, as a scalar subquery.
 
-def bucket_count(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, so that they shrink as a cluster's parallelism is raised."""
-    return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    They are quantiles of the `PER_BUCKET * buckets` rows of least hash: a bounded sample that does not depend on partitioning.
+    Which rows serve as cuts decides how even the buckets are, and no result.
+    """
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    sample = df.select(row.alias("_row"), F.xxhash64(*hashed).alias("_h")).orderBy("_h", "_row").limit(PER_BUCKET * buckets)
+    ordered = sample.agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    at = lambda i: F.get("_rows", F.floor(i * F.size("_rows") / buckets).cast("int"))
+    return ordered.select(F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), at).alias("cuts")).scalar()
 
 
-def with_bucket(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """Add a bucket number that rises with `value` (0: null); the cuts are quantiles of the table itself.
+def with_bucket(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Add a bucket number that never falls as the row of `columns` rises (nulls first); any type that can be ordered will do.
 
-    The cuts are a scalar subquery (an array of `buckets - 1` numbers), and the bucket is
-    the place `value` would take among them.
+    The bucket is the number of cuts not above the row, found by halving: a logarithmic number of comparisons a row. With
+    every key and order column among `columns`, a key, value or common prefix that many rows share is cut like any other.
     """
     buckets = buckets or bucket_count(df)
-    numbered = df.withColumn("_number", order_number(df, value))
-    number = F.col("_number")
-    cuts = numbered.agg(
-        F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts")
-    ).scalar()
-    place = F.array_position(F.sort_array(F.array_append(F.coalesce(cuts, F.array().cast("array<double>")), number)), number)
-    return numbered.withColumn(_B, F.when(number.isNull(), F.lit(0)).otherwise(place).cast("long")).drop("_number")
+    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((buckets - 1).bit_length()))])
+    step = lambda at, n: F.when(F.get("_cuts", at + n - 1) <= F.col("_here"), at + n).otherwise(at)
+    staged = df.withColumn("_cuts", cut_points(df, columns, buckets)).withColumn("_here", row)
+    return staged.withColumn(_B, F.aggregate(steps, F.lit(0), step).cast("long")).drop("_cuts", "_here")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -97,7 +88,7 @@ def _whole(keys: Sequence[str]):
 def prefix_totals(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """For each (keys, value) row add `<s>_below` (strictly smaller values) and `<s>_all`."""
     keys = list(keys)
-    cut = with_bucket(counts, value)
+    cut = with_bucket(counts, [*keys, value])
     inside = cut
     for s in sums:
         inside = inside.withColumn(
@@ -130,7 +121,7 @@ def rank_summary(
         "fp", F.when(hit, F.col("neg")).otherwise(0.0)
     )
     group = keys if bounded else [*keys, _B]
-    cut = marked if bounded else with_bucket(marked, "score")
+    cut = marked if bounded else with_bucket(marked, [*keys, "score"])
     local = cut.withColumn("_nb", F.coalesce(F.sum("neg").over(_before(group, "score")), F.lit(0.0)))
     part = local.groupBy(*group).agg(
         F.sum(F.col("pos") * (F.col("_nb") + F.col("neg") / 2)).alias("wins"),
@@ -251,7 +242,7 @@ def running(
     """
     keys = list(keys)
     agg = {"sum": F.sum, "max": F.max}
-    staged = with_bucket(df, order[0], buckets).withColumns({f"_x_{n}": e for n, (_, e) in totals.items()})
+    staged = with_bucket(df, [*keys, *order], buckets).withColumns({f"_x_{n}": e for n, (_, e) in totals.items()})
     upto = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = staged.withColumns({n: agg[how](f"_x_{n}").over(upto) for n, (how, _) in totals.items()})
     sizes = staged.groupBy(*keys, _B).agg(*[agg[how](f"_x_{n}").alias(f"_x_{n}") for n, (how, _) in totals.items()])

@@ -260,3 +260,27 @@ def region_evidence(cells: DataFrame, high: float, min_area_frac: float, heat: s
         means.join(whole, "image_id").where(F.col("_a") / F.col("_n") >= min_area_frac).groupBy("image_id").agg(F.max("_m").alias("score"))
     )
     return whole.select("image_id").join(best, "image_id", "left").fillna(0.0, ["score"])
+
+
+def region_reductions(
+    cells: DataFrame,
+    heat: str = "heat",
+    highs: Sequence[float] = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9),
+    areas: Sequence[float] = (0.002, 0.01, 0.04),
+) -> DataFrame:
+    """One score per map, threshold and least area, in long form: the strongest mean of the components that are large enough, else 0.
+
+    All thresholds are labelled in one pass, a map and threshold being one mask.
+    """
+    levels = F.explode(F.array(*[F.lit(h) for h in highs])).alias("high")
+    tall = cells.select(F.col("image_id").alias("_image"), "y", "x", F.col(heat).alias("_h"), levels)
+    tall = tall.withColumn("image_id", F.struct("_image", "high"))
+    hot = tall.withColumn("_on", F.coalesce(F.col("_h") >= F.col("high"), F.lit(False)))
+    parts = label_components(hot, "_on").join(tall.select("image_id", "y", "x", "_h"), ["image_id", "y", "x"])
+    means = parts.groupBy("image_id", "component").agg(F.count(F.lit(1)).alias("_a"), F.avg("_h").alias("_m"))
+    whole = tall.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    best = means.join(whole, "image_id").groupBy("image_id").agg(*[F.max(F.when(F.col("_a") / F.col("_n") >= a, F.col("_m"))).alias(f"a{i}") for i, a in enumerate(areas)])
+    scored = whole.join(best, "image_id", "left")
+    name = lambda a: F.concat(F.lit("region_hi"), F.col("image_id.high").cast("string"), F.lit(f"_area{a}"))
+    each = F.explode(F.array(*[F.struct(name(a).alias("reduction"), F.coalesce(F.col(f"a{i}"), F.lit(0.0)).alias("score")) for i, a in enumerate(areas)])).alias("_r")
+    return scored.select(F.col("image_id._image").alias("image_id"), each).select("image_id", "_r.reduction", "_r.score")

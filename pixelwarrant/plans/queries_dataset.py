@@ -8,7 +8,7 @@ from pixelwarrant.operators import dataset as ds
 from pixelwarrant.operators import ranks, severities, training_log
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
-from pixelwarrant.sources import images, tables
+from pixelwarrant.sources import files, images, tables
 
 # --- paths: one file name per labelled item, with mixed-case folders and foreign suffixes ---
 
@@ -42,9 +42,23 @@ def paths(spark, sf):
 IMG = "regexp_matches(lower(path),'[.](jpg|jpeg|png|webp|bmp)$')"
 
 
-@query("src01_image_listing", ("paths",), f"select path from paths where {IMG} order by path")
+def written_paths(spark, sf, name):
+    """A folder that holds a file at every one of `paths`."""
+    root = tables.scratch_dir(spark, name)
+    files.write_files(paths(spark, sf).select("path", F.encode(F.col("id").cast("string"), "utf-8").alias("content")), root)
+    return root
+
+
+def below(root):
+    """The part of a listed path below the folder it was listed from."""
+    return F.regexp_extract("path", "/" + root.rstrip("/").rsplit("/", 1)[-1] + "(/.*)$", 1)
+
+
+@query("src01_image_listing", ("paths",), f"select path, strlen(id::varchar)::bigint as length from paths where {IMG}")
 def image_listing(spark, sf):
-    return paths(spark, sf).where(images.is_image(F.col("path"))).select("path").orderBy("path")
+    """Files of a written lake, found by listing it."""
+    root = written_paths(spark, sf, "lake")
+    return images.list_images(spark, root).select(below(root).alias("path"), "length")
 
 
 @query(
@@ -63,7 +77,8 @@ def labelled_roots(spark, sf):
     f"select split_part(path,'/',3) as folder, count(*) as n from paths where {IMG} group by 1",
 )
 def unlabelled_folder(spark, sf):
-    listed = paths(spark, sf).where(images.is_image(F.col("path"), tiff=True))
+    root = written_paths(spark, sf, "scored")
+    listed = images.unlabelled_folder(spark, root).select(below(root).alias("path"))
     return listed.groupBy(F.element_at(F.split("path", "/"), 3).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -102,10 +117,16 @@ def image_rows(spark, sf):
   case when image_id%10<>0 then round(sum((greatest(0,least(255,floor((v+5e-1)*255))))),6) end as total_r from tiles group by image_id""",
 )
 def decode(spark, sf):
-    rows = image_rows(spark, sf)
-    cells = images.image_cells(rows.where(images.complete(rows)))
+    """Pictures written as PNG files and read back by the image source; a cut-off one is a file that doesn't decode."""
+    root = tables.scratch_dir(spark, "pictures")
+    named = image_rows(spark, sf).withColumn("path", F.concat(F.col("image_id").cast("string"), F.lit(".png")))
+    files.write_images(named, root)
+    number = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("image_id")
+    listed, decoded = images.list_images(spark, root), images.read_images(spark, root)
+    broken = images.decode_errors(listed, decoded).select(number).withColumn("decoded", F.lit(False))
+    cells = images.image_cells(decoded.select(number, "height", "width", "nChannels", "data"))
     sums = cells.groupBy("image_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("r"), 6).alias("total_r"))
-    return rows.select("image_id", images.complete(rows).alias("decoded")).join(sums, "image_id", "left")
+    return sums.select("image_id", F.lit(True).alias("decoded"), "cells", "total_r").unionByName(broken, allowMissingColumns=True)
 
 
 @query("src05_payload_scan", (), "select md5(text) as digest, strlen(text)::int as n_bytes from documents")
@@ -150,19 +171,6 @@ def three_class_scan(spark, sf):
     )
 
 
-def _zip_chunk(frame):
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w") as archive:
-        for name, payload in zip(frame["name"], frame["payload"]):
-            archive.writestr(name, payload)
-    return pd.DataFrame({"path": [str(frame["chunk"].iloc[0])], "content": [body.getvalue()]})
-
-
 @query(
     "src08_archive_scan",
     (),
@@ -170,17 +178,18 @@ def _zip_chunk(frame):
   from documents where doc_id%7<>0""",
 )
 def archive_scan(spark, sf):
-    """Fifty documents to an archive; every seventh one sits in a folder of neither class."""
-    side = F.when(F.col("doc_id") % 7 == 0, "notes").when(F.col("n_chars") % 2 == 0, "1_fake").otherwise("0_real")
+    """Fifty documents to an archive, every seventh one in a folder of neither class; each archive is read in several byte ranges."""
+    side = F.when(F.col("doc_id") % 7 == 0, "notes").when(F.col("n_chars") % 2 == 0, images.ARCHIVE_FAKE).otherwise(images.ARCHIVE_REAL)
     docs = fx.table(spark, sf, "documents").select(
-        F.expr("doc_id div 50").alias("chunk"),
-        F.concat_ws("/", "lang", side, F.concat(F.col("doc_id").cast("string"), F.lit(".PNG"))).alias("name"),
-        F.md5("text").alias("payload"),
+        F.expr("doc_id div 50").alias("archive"),
+        F.concat_ws("/", "lang", side, F.concat(F.col("doc_id").cast("string"), F.lit(".PNG"))).alias("member"),
+        F.col("text").alias("content"),
     )
-    archives = docs.groupBy("chunk").applyInPandas(_zip_chunk, "path string, content binary")
-    members = images.unpack_archives(archives)
+    root = tables.scratch_dir(spark, "archives")
+    files.write_archives(docs, root)
+    members = images.archive_members(spark, root, range_bytes=str(16 << 10))
     return members.select(
-        F.col("archive").cast("long").alias("archive"), "category", "member", "label", F.col("content").cast("string").alias("payload")
+        F.regexp_extract("archive", r"/(\d+)\.zip$", 1).cast("long").alias("archive"), "category", "member", "label", F.md5("content").alias("payload")
     )
 
 
@@ -253,8 +262,12 @@ def feature_cache_read(spark, sf):
     "select path as image_path, round(p_with,6) as pred, (p_with>=5e-1)::int as label from paths join (select id, p_with from arms) using (id)",
 )
 def predictions(spark, sf):
+    """The predictions file, written and read back."""
     scored = paths(spark, sf).join(fx.arms(spark, sf).select("id", "p_with"), "id")
-    return rounded(tables.predictions(scored, F.col("path"), F.col("p_with"), F.lit(0.5)))
+    rows = tables.predictions(scored, F.col("path"), F.col("p_with"), F.lit(0.5))
+    out = tables.scratch_dir(spark, "predictions")
+    tables.write_json(rows, out)
+    return rounded(spark.read.schema("image_path string, pred double, label int").json(out))
 
 
 @query(
@@ -268,7 +281,7 @@ def provenance_manifest(spark, sf):
     docs = sized_documents(spark, sf)
     kept = ds.native_crop(docs, 256, "orig_width", "orig_height")
     repo = F.concat(F.lit("hub/"), "source")
-    return kept.select(
+    rows = kept.select(
         F.concat("side", F.lit("/"), ds.traceable_stem(repo, F.col("lang"), F.col("doc_id")), F.lit(".jpg")).alias("dest"),
         F.col("side").alias("label"),
         repo.alias("source_repo"),
@@ -281,6 +294,12 @@ def provenance_manifest(spark, sf):
         F.lit("JPEG").alias("stored_format"),
         F.lit(95).alias("jpeg_quality"),
     ).select(*ds.MANIFEST_COLUMNS)
+    # Two runs share a part of their rows, and the second one is repeated as after a lost commit: each row is there once.
+    out = tables.scratch_dir(spark, "manifest")
+    tables.append_once(rows.where(F.col("row_index") % 3 < 2), out, "first", "dest")
+    for _ in range(2):
+        tables.append_once(rows.where(F.col("row_index") % 3 > 0), out, "second", "dest")
+    return tables.read_manifest(spark, out).select(*ds.MANIFEST_COLUMNS)
 
 
 def sized_documents(spark, sf):
@@ -309,7 +328,11 @@ def manifest_accumulation(spark, sf):
     )
     first = docs.where(F.col("doc_id") % 4 < 3).withColumn("shard", F.lit(0))
     second = docs.where(F.col("doc_id") % 4 >= 2).withColumn("shard", F.lit(1))
-    merged = ds.accumulate_manifest(first, second)
+    out = tables.scratch_dir(spark, "shards")
+    for run, shard in (("0", first), ("1", second), ("1", second)):
+        tables.append_once(shard.drop("doc_id"), out, run)
+    read = tables.read_manifest(spark, out)
+    merged = ds.accumulate_manifest(read.where("shard = 0"), read.where("shard = 1"))
     return merged.groupBy("class").agg(
         F.count(F.lit(1)).alias("n"),
         F.sort_array(F.collect_set("shard")).alias("shards"),
@@ -349,7 +372,13 @@ def epochs(spark, sf):
 
 @query("src18_epoch_log", ("epochs",), "select run, epoch, round(val,6) as val, round(auc,6) as auc from epochs")
 def epoch_log(spark, sf):
-    return rounded(ranks.positions(epochs(spark, sf), ["run"], ["event_id"], "epoch").select("run", "epoch", "val", "auc"))
+    """The log as lines of JSON, written and read back."""
+    numbered = ranks.positions(epochs(spark, sf), ["run"], ["event_id"], "epoch")
+    lines = numbered.select(F.col("run").cast("string").alias("run"), F.col("epoch").cast("int").alias("epoch"), F.col("val").alias("val_pred_std"), F.col("auc").alias("val_auc"))
+    out = tables.scratch_dir(spark, "log")
+    tables.write_json(lines, out)
+    log = tables.read_log(spark, out)
+    return rounded(log.select(F.col("run").cast("long").alias("run"), F.col("epoch").cast("long").alias("epoch"), F.col("val_pred_std").alias("val"), F.col("val_auc").alias("auc")))
 
 
 @query(

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from pixelwarrant import fixtures as fx
 from pixelwarrant.functions import scalar
 from pixelwarrant.operators import dataset as ds
-from pixelwarrant.operators import evidence, forensics, fusion, grid, routing, severities, spectral
+from pixelwarrant.operators import components, degrade, evidence, forensics, fusion, grid, routing, severities, spectral
 from pixelwarrant.plans import analyze
 from pixelwarrant.plans import queries_regions as qr
 from pixelwarrant.plans.queries_dataset import REQUESTS, paths
 from pixelwarrant.plans.queries_grid import gauss_sql, tiles_by_image
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
+from pixelwarrant.session import durable
+from pixelwarrant.sources import tables
 
 # --- region facts: one made-up region per scored window, so that rules see every branch ---
 
@@ -359,6 +361,9 @@ def region_report_sink(spark, sf):
 
     found = findings(spark, sf)
     report = nested_report(fusion.fuse_images(image_view(spark, sf), found), found)
+    out = tables.scratch_dir(spark, "report")
+    tables.write_json(report, out)
+    report = spark.read.schema(report.schema).json(out)
     return rounded(report.select("image_id", "verdict", "score", F.size("regions").alias("n_regions"), F.col("regions.label").alias("labels")), 10)
 
 
@@ -546,6 +551,54 @@ def error_level(spark, sf):
     return rounded(spectral.error_level(fx.tiles(spark, sf), "v", 0.02).select("image_id", "y", "x", "ela"))
 
 
+cte(
+    "frames",
+    "select image_id//3 as image_id, y, x, v from (select image_id, y, (image_id%3*8+x)::int as x, v from tiles) where x<21 and y<7",
+    ("tiles",),
+)
+cte(
+    "frame_blocks",
+    """select f.image_id, f.by, f.bx, f.i, f.j, t.v from (select s.image_id, unnest(range(0,(h+7)//8)) as by, bx, i, j, w, h from (select image_id, w, h, unnest(range(0,(w+7)//8)) as bx from (select image_id, max(x)+1 as w, max(y)+1 as h from frames group by 1)) s,
+   (select unnest(range(0,8)) as i), (select unnest(range(0,8)) as j)) f join frames t on t.image_id=f.image_id and t.y=least(f.by*8+f.i, f.h-1) and t.x=least(f.bx*8+f.j, f.w-1)""",
+    ("frames",),
+)
+cte("frame_coef", "select t.image_id, t.by, t.bx, p.u, q.u as v, sum(t.v*p.b*q.b) as c from frame_blocks t join dct_basis p on p.x=t.i join dct_basis q on q.x=t.j group by all", ("frame_blocks", "dct_basis"))
+
+
+def frames(spark, sf):
+    """Strips of three tiles, 21 cells wide and 7 high: the blocks at two of their edges are cut off."""
+    cells = fx.tiles(spark, sf).select(F.expr("image_id div 3").alias("image_id"), "y", (F.col("image_id") % 3 * 8 + F.col("x")).cast("int").alias("x"), "v")
+    return cells.where("x < 21 and y < 7")
+
+
+@query(
+    "grid20_error_level_frames",
+    ("frames", "frame_coef", "dct_basis"),
+    """select t.image_id, t.y, t.x, round(abs(t.v-sum(round_even(c.c/2e-2,0)*2e-2*p.b*q.b)),6) as ela from frames t join frame_coef c on c.image_id=t.image_id and c.by=t.y//8 and c.bx=t.x//8
+  join dct_basis p on p.u=c.u and p.x=t.y%8 join dct_basis q on q.u=c.v and q.x=t.x%8 group by t.image_id, t.y, t.x, t.v""",
+)
+def error_level_frames(spark, sf):
+    return rounded(spectral.error_level(frames(spark, sf), "v", 0.02).select("image_id", "y", "x", "ela"))
+
+
+cte(
+    "components_frames",
+    """select image_id, y, x, y*64+x as root from frames where v>=2e-2 union
+  select m.image_id, m.y, m.x, r.root from components_frames r join (select * from frames where v>=2e-2) m on m.image_id=r.image_id and abs(m.y-r.y)<=1 and abs(m.x-r.x)<=1""",
+    ("frames",),
+)
+
+
+@query(
+    "grid09_components_over_tiles",
+    ("components_frames",),
+    "select image_id, y, x, dense_rank() over (partition by image_id order by root)::int as component from (select image_id, y, x, min(root) as root from components_frames group by 1,2,3)",
+)
+def components_over_tiles(spark, sf):
+    """Components that cross the seams of tiles of five cells, on frames of 21 by 7."""
+    return components.label_tiled(frames(spark, sf).withColumn("on", F.col("v") >= 0.02), "on", 5)
+
+
 @query(
     "grid21_block_dct_profile",
     ("tile_coef",),
@@ -639,15 +692,150 @@ def spectral_peaks(spark, sf):
     return rounded(spectral.spectral_peaks(tile_spectrum(spark, sf)).select("image_id", "peak_half", "hf_ratio"), 4)
 
 
-@query("grid26_degraded_tiles")
+# --- degradations: the same steps in SQL, on long rows (image_id, c, y, x, v, w, h) --------------
+
+_MIX = "((image_id*7919+y*104729+x*1299709+({salt})*15485863)%1000003+5e-1)/1000003"
+_MIX_IMAGE = "((image_id*7919+({salt})*15485863)%1000003+5e-1)/1000003"
+_CLIP = "greatest(0e0,least(1e0,{v}))"
+_GREY = "(case c when 0 then 299e-3 when 1 then 587e-3 else 114e-3 end)"
+
+
+def _noise_sql(src: str, p: float) -> str:
+    normal = f"sqrt(-2*ln({_MIX.format(salt='2*c')}))*cos(2*pi()*{_MIX.format(salt='2*c+1')})"
+    return f"(select * replace ({_CLIP.format(v=f'v+{p!r}::double*{normal}')} as v) from {src})"
+
+
+def _jitter_sql(src: str, p: float) -> str:
+    factor = lambda salt: f"(1+(2*{_MIX_IMAGE.format(salt=salt)}-1)*{p!r}::double)"
+    lit = f"(select * replace ({_CLIP.format(v=f'v*{factor(0)}')} as v) from {src})"
+    mean = f"(sum({_GREY}*v) over (partition by image_id)/(w*h))"
+    return f"(select * replace ({_CLIP.format(v=f'{mean}+(v-{mean})*{factor(1)}')} as v) from {lit})"
+
+
+def _saturate_sql(src: str, p: float) -> str:
+    grey = f"(sum({_GREY}*v) over (partition by image_id,y,x))"
+    return f"(select * replace ({_CLIP.format(v=f'{grey}+(v-{grey})*{p!r}::double')} as v) from {src})"
+
+
+def _blur_sql(src: str, p: float) -> str:
+    taps = ",".join(f"({k},{w!r}::double)" for k, w in grid.gaussian_taps(p))
+    for at, n in (("x", "w"), ("y", "h")):
+        turn = f"greatest(1,2*(t.{n}-1))"
+        place = f"(((t.{at}+k.k)%{turn}+{turn})%{turn})"
+        other = "y" if at == "x" else "x"
+        src = f"""(select t.image_id, t.c, t.y, t.x, sum(k.wt*s.v) as v, t.w, t.h from {src} t, (values {taps}) k(k,wt), {src} s where s.image_id=t.image_id and s.c=t.c and s.{other}=t.{other}
+          and s.{at}=least({place}, {turn}-{place}) group by all)"""
+    return src
+
+
+def _jpeg_sql(src: str, p: float) -> str:
+    step = f"{max(0.004 * (100.0 - p) / 10.0, 1e-4)!r}::double"
+    spots = f"""(select image_id, c, w, h, bx, unnest(range(0,(h+7)//8)) as by from (select image_id, c, w, h, unnest(range(0,(w+7)//8)) as bx from (select distinct image_id, c, w, h from {src})))"""
+    blocks = f"""(select f.image_id, f.c, f.w, f.h, f.by, f.bx, i.i, j.i as j, t.v from {spots} f, (select unnest(range(0,8)) as i) i, (select unnest(range(0,8)) as i) j, {src} t
+      where t.image_id=f.image_id and t.c=f.c and t.y=least(f.by*8+i.i,f.h-1) and t.x=least(f.bx*8+j.i,f.w-1))"""
+    coef = f"(select image_id, c, w, h, by, bx, p.u, q.u as q, sum(t.v*p.b*q.b) as k from {blocks} t join dct_basis p on p.x=t.i join dct_basis q on q.x=t.j group by all)"
+    back = f"select k.image_id, k.c, k.by*8+p.x as y, k.bx*8+q.x as x, {_CLIP.format(v=f'sum(round_even(k.k/{step},0)*{step}*p.b*q.b)')} as v, k.w, k.h from {coef} k join dct_basis p on p.u=k.u join dct_basis q on q.u=k.q group by all"
+    return f"(select * from ({back}) where y<h and x<w)"
+
+
+def _scaled_sql(src: str, axis: str, size: str, to: str) -> str:
+    """Bilinear along one axis, from the side `size` to the side that the expression `to` gives."""
+    other = "y" if axis == "x" else "x"
+    step = f"({size}/({to})::double)"
+    spread = f"greatest({step},1e0)"
+    centre = f"((o.i+5e-1)*{step})"
+    weight = f"greatest(0e0,1-abs((s.{axis}+5e-1-{centre})/{spread}))"
+    keep = f"s.{axis}>=greatest(0,floor({centre}-{spread}+5e-1)) and s.{axis}<least({size},floor({centre}+{spread}+5e-1))"
+    return f"""(select image_id, c, {other}, i as {axis}, sum(wt*v)/sum(wt) as v, w, h, ow, oh from (select s.image_id, s.c, s.{other}, o.i, s.v, {weight} as wt, s.w, s.h, s.ow, s.oh from {src} s,
+      (select distinct image_id as oid, unnest(range(0,({to})::int)) as i from {src}) o where o.oid=s.image_id and {keep}) group by image_id, c, {other}, i, w, h, ow, oh)"""
+
+
+def _resized_sql(src: str, to_w: str, to_h: str) -> str:
+    rows = _scaled_sql(_scaled_sql(src, "x", "w", to_w), "y", "h", to_h)
+    return f"(select image_id, c, y, x, v, ({to_w})::int as w, ({to_h})::int as h, ow, oh from {rows})"
+
+
+def _resize_sql(src: str, p: float) -> str:
+    start = f"(select *, w as ow, h as oh from {src})"
+    small = _resized_sql(start, f"greatest(1,floor(ow*{p!r}::double))", f"greatest(1,floor(oh*{p!r}::double))")
+    return f"(select image_id, c, y, x, v, w, h from {_resized_sql(small, 'ow', 'oh')})"
+
+
+def _center_crop_sql(src: str, p: float) -> str:
+    length = lambda n: f"floor({n}*{p!r}::double)::int"
+    start = lambda n: f"floor(({n}-{length(n)})/2e0)::int"
+    cut = f"""(select image_id, c, y-{start('h')} as y, x-{start('w')} as x, v, {length('w')} as w, {length('h')} as h, w as ow, h as oh from {src}
+      where x>={start('w')} and x<{start('w')}+{length('w')} and y>={start('h')} and y<{start('h')}+{length('h')})"""
+    return f"(select image_id, c, y, x, v, w, h from {_resized_sql(cut, 'ow', 'oh')})"
+
+
+def _crop_sql(src: str, p: float) -> str:
+    margin = lambda n: f"floor({n}*(1e0-{p!r}::double)/2)::int"
+    return f"""(select image_id, c, y-{margin('h')} as y, x-{margin('w')} as x, v, w-2*{margin('w')} as w, h-2*{margin('h')} as h from {src}
+      where x>={margin('w')} and x<w-{margin('w')} and y>={margin('h')} and y<h-{margin('h')})"""
+
+
+STEP_SQL = {
+    "noise": _noise_sql, "color_jitter": _jitter_sql, "saturate": _saturate_sql, "blur": _blur_sql, "jpeg": _jpeg_sql,
+    "resize": _resize_sql, "downscale": _resize_sql, "center_crop": _center_crop_sql, "crop": _crop_sql,
+}
+cte("colour_frames", "select image_id, y, x, greatest(0e0,least(1e0,5e-1+v)) as r, greatest(0e0,least(1e0,5e-1+2*v*v)) as g, greatest(0e0,least(1e0,7e-1-v)) as b from frames", ("frames",))
+cte(
+    "long_frames",
+    """select image_id, c, y, x, case c when 0 then r when 1 then g else b end as v, (max(x) over (partition by image_id)+1)::int as w, (max(y) over (partition by image_id)+1)::int as h
+  from colour_frames, (select unnest(range(0,3)) as c)""",
+    ("colour_frames",),
+)
+
+
+def degraded_sql(levels: dict) -> str:
+    parts = []
+    for name, steps in levels.items():
+        src = "long_frames"
+        for op, p in steps:
+            src = STEP_SQL[op](src, float(p))
+        parts.append(f"select '{name}' as severity, image_id, c, y, x, v from {src}")
+    return " union all ".join(parts)
+
+
+cte("degraded_copies", degraded_sql(severities.SEVERITIES), ("long_frames", "dct_basis"))
+cte("degraded_conditions", degraded_sql(severities.CONDITIONS), ("long_frames", "dct_basis"))
+
+
+def change_sql(table: str) -> str:
+    per = lambda c, n: f"round(avg(d.v) filter (d.c={c}),6) as mean_{n}, round(avg((d.v-o.v)*(d.v-o.v)) filter (d.c={c}),6) as mse_{n}"
+    return f"""select severity, count(*) filter (d.c=0) as n, {per(0, 'r')}, {per(1, 'g')}, {per(2, 'b')}
+  from {table} d join long_frames o on o.image_id=d.image_id and o.c=d.c and o.y=d.y and o.x=d.x group by 1"""
+
+
+def colour_frames(spark, sf):
+    v = F.col("v")
+    return frames(spark, sf).select("image_id", "y", "x", scalar.clip(0.5 + v).alias("r"), scalar.clip(0.5 + 2 * v * v).alias("g"), scalar.clip(0.7 - v).alias("b"))
+
+
+def _draws():
+    mixed = lambda salt, at: (F.pmod(F.col("image_id") * 7919 + at + F.lit(salt * 15485863), F.lit(1000003)) + 0.5) / 1000003.0
+    return degrade.Draws(lambda salt: mixed(salt, F.col("y") * 104729 + F.col("x") * 1299709), lambda salt: mixed(salt, F.lit(0)))
+
+
+def _change(spark, sf, levels):
+    cells = colour_frames(spark, sf)
+    changed = degrade.degrade(cells, ("r", "g", "b"), levels, _draws())
+    joined = changed.join(cells.withColumnsRenamed({c: f"old_{c}" for c in "rgb"}), ["image_id", "y", "x"])
+    per = [e for c in "rgb" for e in (F.avg(c).alias(f"mean_{c}"), F.avg((F.col(c) - F.col(f"old_{c}")) ** 2).alias(f"mse_{c}"))]
+    return rounded(joined.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), *per))
+
+
+@query("grid26_degraded_tiles", ("degraded_copies", "long_frames"), change_sql("degraded_copies"))
 def degraded_tiles(spark, sf):
-    """Mean squared change of each tile under every severity."""
-    from pixelwarrant.operators import degrade
+    """Mean and squared change of each channel under every severity, on frames with cut-off blocks."""
+    return _change(spark, sf, severities.SEVERITIES)
 
-    cells = fx.tiles(spark, sf).select("image_id", "y", "x", F.col("heat").alias("v"))
-    changed = degrade.degrade(cells, "v", severities.SEVERITIES)
-    joined = changed.join(cells.withColumnRenamed("v", "clean"), ["image_id", "y", "x"])
-    return rounded(joined.groupBy("severity").agg(F.avg((F.col("v") - F.col("clean")) ** 2).alias("mse"), F.count(F.lit(1)).alias("n")))
+
+@query("grid26_degraded_conditions", ("degraded_conditions", "long_frames"), change_sql("degraded_conditions"))
+def degraded_conditions(spark, sf):
+    """The same for the conditions that an analysed image is put under; crops are compared where the smaller frame lies."""
+    return _change(spark, sf, severities.CONDITIONS)
 
 
 # --- scalar functions ---------------------------------------------------------------------
@@ -783,7 +971,7 @@ TILE_SETTINGS = analyze.Settings(
     high=0.55,
     smoothing="guided",
     smooth_radius=1,
-    region=dict(min_area_frac=0.03, grow=1, close_radius=1, halo=2, ring=2, max_regions=3),
+    region=dict(min_area_frac=0.03, grow=1, close_radius=1, halo=2, ring=2),
     report=SMALL_REPORT,
     crop_pad=1,
 )
@@ -818,3 +1006,45 @@ def registered_scorer(spark, sf):
     named = region_facts(spark, sf).withColumn("scorers", F.array(F.lit("border")))
     out = evidence.run_scorers(named, scorers={**evidence.SCORERS, "border": _border_scorer})
     return rounded(out.select("image_id", "region_id", "specialist", "result.probability", "result.confidence"))
+
+
+# --- degrade, analyse, compare --------------------------------------------------------------
+
+
+def luma_scorer(cells):
+    from pixelwarrant.operators import windows
+
+    return lambda boxes: windows.window_means(boxes, cells, {"score": F.col("luma")})
+
+
+cte(
+    "conditioned_frames",
+    """select * from (select *, floor(w*(1e0-k)/2)::int as mx, floor(h*(1e0-k)/2)::int as my from (values ('clean',1e0),('jpeg_q30',1e0),('noise_s0.05',1e0),('crop_0.8',0.8::double),('saturate_1.5',1e0)) t(severity,k),
+   (select *, (max(x) over (partition by image_id)+1)::int as w, (max(y) over (partition by image_id)+1)::int as h from frames)) where x>=mx and x<w-mx and y>=my and y<h-my""",
+    ("frames",),
+)
+
+
+@query(
+    "agg34_robustness_under_degradation",
+    ("conditioned_frames",),
+    """select severity as condition, count(distinct image_id) as n, count(*) filter (v>=1e-1 and image_id%3=2) as truth_cells, case when severity='clean' then 1e0 end as clean_stability, true as measured from conditioned_frames group by severity""",
+)
+def robustness_under_degradation(spark, sf):
+    """Five conditions through the whole analysis. What SQL can tell: the images of each condition, the true cells in its frame, and that clean agrees with itself."""
+    from pixelwarrant.plans import robustness
+
+    levels = {n: severities.CONDITIONS[n] for n in ("clean", "jpeg_q30", "noise_s0.05", "crop_0.8", "saturate_1.5")}
+    cells, kind = colour_frames(spark, sf), F.col("image_id") % 3
+    classes = cells.select("image_id").distinct().withColumn("class", F.when(kind == 0, "real").when(kind == 1, "synthetic").otherwise("tampered"))
+    truth = frames(spark, sf).where((F.col("v") >= 0.1) & (kind == 2)).select("image_id", "y", "x")
+    rows = robustness.analysed(cells, luma_scorer, TILE_SETTINGS, levels, classes, truth, _draws())
+    rows = durable(rows)
+    table = robustness.by_condition(rows)
+    counts = rows.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.sum("truth_cells").alias("truth_cells"))
+    inside = [F.col(c).between(0.0, 1.0) for c in ("auc_all_ai", "auc_tampered", "mean_confidence", "verdict_stability", "mean_recall", "mean_iou")]
+    measured = inside[0]
+    for c in inside[1:]:
+        measured = measured & c
+    stable = F.when(F.col("condition") == "clean", F.col("verdict_stability"))
+    return table.join(counts, "condition").select("condition", "n", "truth_cells", stable.alias("clean_stability"), F.coalesce(measured, F.lit(False)).alias("measured"))

@@ -25,11 +25,14 @@ def tile_windows(spark, sf):
     return windows.plan_windows(tile_images(spark, sf), SCALES, 0.5, floor=1)
 
 
+ABSTAIN = 0.49
+
+
 def tile_scores(spark, sf):
-    """Mean heat of every window; some coarse windows are left out, so cells stay uncovered."""
-    kept = tile_windows(spark, sf).where(~((F.col("scale") == 4) & ((F.col("image_id") + F.col("x0") + F.col("y0")) % 5 == 0)))
-    scored = windows.window_means(kept, fx.tiles(spark, sf), {"score": F.col("heat")})
-    return scored.withColumn("score", F.round("score", 12))
+    """Mean heat of every window, from a scorer that gives no score to a coarse window below `ABSTAIN`: cells stay uncovered there."""
+    scored = windows.window_means(tile_windows(spark, sf), fx.tiles(spark, sf), {"score": F.col("heat")})
+    score = F.round("score", 12)
+    return scored.withColumn("score", F.when((F.col("scale") == 2) | (score >= ABSTAIN), score))
 
 
 def tile_blend(spark, sf):
@@ -48,15 +51,15 @@ cte(
 )
 cte(
     "tile_scores",
-    """select w.image_id, w.scale, w.x0, w.y0, w.x1, w.y1, round(avg(t.heat),12) as score from tile_windows w join tiles t on t.image_id=w.image_id and t.x>=w.x0 and t.x<w.x1 and t.y>=w.y0 and t.y<w.y1
-  where not (w.scale=4 and (w.image_id+w.x0+w.y0)%5=0) group by 1,2,3,4,5,6""",
+    """select * replace (case when scale=2 or score>=49e-2 then score end as score) from (select w.image_id, w.scale, w.x0, w.y0, w.x1, w.y1, round(avg(t.heat),12) as score
+  from tile_windows w join tiles t on t.image_id=w.image_id and t.x>=w.x0 and t.x<w.x1 and t.y>=w.y0 and t.y<w.y1 group by 1,2,3,4,5,6)""",
     ("tile_windows", "tiles"),
 )
 HANN = "(5e-1-5e-1*cos(2*pi()*(t.{a}-w.{a}0+1)/(w.scale+1))+1e-3)"
 cte(
     "tile_blend",
     f"""select *, weight/max(weight) over (partition by image_id, scale) as support from (select t.image_id, w.scale, t.y, t.x, sum({HANN.format(a='y')}*{HANN.format(a='x')}*score)/greatest(sum({HANN.format(a='y')}*{HANN.format(a='x')}),1e-6) as heat,
-  sum({HANN.format(a='y')}*{HANN.format(a='x')}) as weight from tile_scores w join tiles t on t.image_id=w.image_id and t.x>=w.x0 and t.x<w.x1 and t.y>=w.y0 and t.y<w.y1 group by 1,2,3,4)""",
+  sum({HANN.format(a='y')}*{HANN.format(a='x')}) as weight from tile_scores w join tiles t on t.image_id=w.image_id and t.x>=w.x0 and t.x<w.x1 and t.y>=w.y0 and t.y<w.y1 where w.score is not null group by 1,2,3,4)""",
     ("tile_scores", "tiles"),
 )
 cte(

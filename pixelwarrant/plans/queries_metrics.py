@@ -321,37 +321,6 @@ def robustness_by_condition(spark, sf):
     return rounded(evaluation.robustness_by_condition(conditioned(spark, sf)))
 
 
-cte(
-    "reduced",
-    """select image_id, class, y, 'max' as reduction, max(score) as score from scale_y group by 1,2,3
-  union all select image_id, class, y, 'p90', quantile_cont(score,9e-1) from scale_y group by 1,2,3
-  union all select image_id, class, y, 'mean', avg(score) from scale_y group by 1,2,3
-  union all select image_id, class, y, 'frac_above_0.5', avg((score>=5e-1)::int) from scale_y group by 1,2,3""",
-    ("scale_y",),
-)
-
-
-@query(
-    "agg37_decision_sweep",
-    ("reduced",),
-    f"""select a.reduction, round(a.auc,6) as auc_real_vs_ai, round(s.auc,6) as auc_real_vs_fully_ai, round(t.auc,6) as auc_real_vs_partially_ai,
-  round(m.false_positive_rate,6) as fpr_at_80_recall from {auc_sql('(select reduction, round(score,9) as score, y from reduced)', 'reduction')} a
-  join {auc_sql("(select reduction, round(score,9) as score, y from reduced where class<>'tampered')", 'reduction')} s on s.reduction=a.reduction
-  join {auc_sql("(select reduction, round(score,9) as score, y from reduced where class<>'synthetic')", 'reduction')} t on t.reduction=a.reduction
-  join {matched_sql('(select reduction, round(score,9) as score, y from reduced)', 'reduction')} m on m.reduction=a.reduction""",
-)
-def decision_sweep(spark, sf):
-    keep = ("max", "p90", "mean", "frac_above_0.5")
-    p = fx.patches(spark, sf)
-    reduced = (
-        evaluation.map_reductions(p, ["image_id", "class"], "score", (0.5,))
-        .where(F.col("reduction").isin(*keep))
-        .withColumn("score", F.round("score", 9))
-        .withColumn("label", (F.col("class") != "real").cast("int"))
-    )
-    return rounded(evaluation.decision_sweep(reduced))
-
-
 @query(
     "agg42_prediction_diagnostics",
     ("arms",),

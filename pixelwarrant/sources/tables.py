@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(f"{path}/rows")
     except Exception as exc:
-        raise FileNotFoundError(f"no feature table at {path}; extract features first") from exc
+        raise FileNotFoundError(f"{path} holds no feature rows; write them with write_features") from exc
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +80,7 @@ def require_same_signature(*blocks: DataFrame) -> None:
     """Refuse to mix feature tables built with different extractors."""
     seen = {tuple(sorted(map(tuple, b.collect()))) for b in blocks}  # a few layout rows per table
     if len(seen) > 1:
-        raise ValueError("feature tables were built with different feature configurations")
+        raise ValueError(f"{len(seen)} different block layouts or signatures; feature tables are stacked only if those are alike")
 
 
 # --- reports and predictions --------------------------------------------------------------
@@ -106,5 +107,28 @@ def append_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_once(rows: DataFrame, path: str, run: str, key: str = "stem") -> None:
+    """Append the rows of one run to a manifest so that doing it again adds nothing.
+
+    A run is a folder that Spark's committer fills whole or not at all; a repeated run takes the place of what it wrote before. Rows whose
+    `key` another run has already are left out, and of rows with one key in the same run one stays, the least of all columns.
+    """
+    spark = rows.sparkSession
+    first = rows.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in rows.columns])).alias("_row")).select("_row.*")
+    try:
+        known = read_manifest(spark, path).where(F.col("run") != run).select(key)
+        first = first.join(known, key, "left_anti").select(*rows.columns)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    first.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a manifest, with the run as a column."""
+    df = spark.read.option("basePath", path).parquet(path)
+    return df.withColumn("run", F.col("run").cast("string"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(path)

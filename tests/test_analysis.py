@@ -164,3 +164,24 @@ def test_face_must_cover_enough(spark):
     got = regions.match_faces(found, cells, faces).first()
     assert got["face_overlap"] == 0.75 and got["face"]["x1"] == 3
     assert regions.match_faces(found, cells, faces.where("x1 = 1")).count() == 0
+
+
+def test_large_images_are_brought_to_their_working_size(spark):
+    from pixelwarrant.operators import grid
+    from pixelwarrant.plans import analyze
+
+    rng = np.random.default_rng(0)
+    shapes = {1: (12, 20), 2: (6, 8)}
+    rows = [(i, y, x, *map(float, rng.random(4))) for i, (h, w) in shapes.items() for y in range(h) for x in range(w)]
+    cells = spark.createDataFrame(rows, "image_id long, y int, x int, luma double, r double, g double, b double")
+    images = spark.createDataFrame([(i, w, h) for i, (h, w) in shapes.items()], "image_id long, w int, h int")
+    faces = spark.createDataFrame([(1, 4, 2, 16, 12), (2, 1, 1, 4, 4)], "image_id long, x0 int, y0 int, x1 int, y1 int")
+    sizes, made, boxes = analyze.bounded(images, cells, faces, 10)
+    assert {tuple(r) for r in sizes.collect()} == {(1, 10, 6), (2, 8, 6)}
+    assert {tuple(r) for r in boxes.select("image_id", "x0", "y0", "x1", "y1").collect()} == {(1, 2, 1, 8, 6), (2, 1, 1, 4, 4)}
+    wanted = grid.resample_bilinear(cells.where("image_id = 1"), ["luma", "b"], F.lit(10), F.lit(6))
+    one = lambda df: {(r["y"], r["x"]): (round(r["luma"], 9), round(r["b"], 9)) for r in df.collect()}
+    assert one(made.where("image_id = 1")) == one(wanted)
+    assert one(made.where("image_id = 2")) == one(cells.where("image_id = 2"))
+    same = analyze.bounded(images, cells, faces, 20)
+    assert same[1] is cells

@@ -150,3 +150,62 @@ def test_images_are_scored_once_as_they_arrive(spark, lake, tmp_path):
     assert spark.read.parquet(out).count() == 4
     jobs.score_arriving_images(spark, str(lake), scorer, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 4
+
+
+def test_one_archive_is_many_tasks(spark, tmp_path):
+    from pixelwarrant.sources import files
+
+    rng = np.random.default_rng(0)
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for i in range(60):
+            z.writestr(f"cat/{i % 2}_{'fake' if i % 2 else 'real'}/{i}.png", rng.bytes(3000))
+        z.writestr("cat/0_real/", b"")
+    members = files.archive_members(spark, str(tmp_path), range_bytes="20000")
+    assert members.rdd.getNumPartitions() >= 9
+    with zipfile.ZipFile(tmp_path / "big.zip") as z:
+        wanted = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
+    assert {r["member"]: bytes(r["content"]) for r in members.collect()} == wanted
+    names = files.archive_members(spark, str(tmp_path / "big.zip"), content="false", suffixes="png, jpg")
+    assert names.where("content is null and length = 3000").count() == 60
+    labelled = images.archive_members(spark, str(tmp_path))
+    assert labelled.groupBy("label").count().where("count = 30").count() == 2
+    images.require_both_sides(labelled)
+    with pytest.raises(ValueError, match="without both"):
+        images.require_both_sides(labelled.where("label = 1"))
+
+
+def test_archives_and_files_are_written_whole(spark, tmp_path):
+    from pixelwarrant.sources import files
+
+    rows = [(i % 3, f"a/0_real/{i}.png", bytes([i]) * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "archive int, member string, content binary").repartition(5)
+    assert files.write_archives(df, f"{tmp_path}/zips") == 3
+    back = files.archive_members(spark, f"{tmp_path}/zips").collect()
+    assert sorted((int(r["archive"].split("/")[-1][:-4]), r["member"], bytes(r["content"])) for r in back) == sorted((a, m, bytes(c)) for a, m, c in rows)
+    assert files.write_files(df.select(F.col("member").alias("path"), "content"), f"{tmp_path}/files") == 40
+    assert (tmp_path / "files" / "a" / "0_real" / "7.png").read_bytes() == bytes([7]) * 7
+    assert not [p for p in tmp_path.rglob("*.part")]
+    assert files.write_archives(df.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_pictures_keep_their_channels(spark, tmp_path):
+    from pixelwarrant.sources import files
+
+    rng = np.random.default_rng(1)
+    px = {"grey.png": rng.integers(0, 255, (3, 5, 1)), "colour.png": rng.integers(0, 255, (4, 2, 3))}
+    rows = [(n, *a.shape, a.astype(np.uint8).tobytes()) for n, a in px.items()] + [("cut.png", 4, 4, 3, b"123")]
+    assert files.write_images(spark.createDataFrame(rows, "path string, height int, width int, nChannels int, data binary"), str(tmp_path)) == 3
+    back = {r["path"].split("/")[-1]: np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], -1) for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert set(back) == set(px)
+    assert all((back[n] == a).all() for n, a in px.items())
+
+
+def test_appending_a_run_again_adds_nothing(spark, tmp_path):
+    path = f"{tmp_path}/manifest"
+    make = lambda *pairs: spark.createDataFrame(list(pairs), "stem string, n int")
+    tables.append_once(make(("a", 1), ("b", 2), ("b", 3)), path, "one")
+    for _ in range(2):
+        tables.append_once(make(("b", 9), ("c", 4)), path, "2")
+    assert sorted(tuple(r) for r in tables.read_manifest(spark, path).select("run", "stem", "n").collect()) == [("2", "c", 4), ("one", "a", 1), ("one", "b", 2)]
+    tables.append_once(make(("c", 5)), path, "2")
+    assert tables.read_manifest(spark, path).where("stem = 'c'").first()["n"] == 5
