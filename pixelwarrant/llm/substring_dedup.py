@@ -307,50 +307,39 @@ class Passages:
         return starts, ends
 
 
-def anchor_places(texts: DataFrame, window: int) -> DataFrame:
-    """t1, t2, a and the first word (`at`) of every place of a text's anchors that are met elsewhere."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, 2):
-                w = Windows(words(part.column(2)), window)
-                at = w.places()
-                at = at[np.isin(w.hashes[at], part.column(3).flatten().to_numpy().view(np.uint64))]
-                row = pa.array(w.found.doc[at])
-                inside = at - w.found.starts()[w.found.doc[at]]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(w.hashes[at].view(np.int64)), pa.array(inside.astype(np.int32))], ["t1", "t2", "a", "at"])
-
-    return texts.select("t1", "t2", "plain", "met").mapInArrow(run, "t1 long, t2 long, a long, at int")
-
-
 def segments(texts: DataFrame, routes: DataFrame, window: int) -> DataFrame:
-    """The stretches of a text that a shard can match: shard, t1, t2, first word, words. `routes` has `places` (shard, at) of each text."""
+    """The stretches of a text that a shard can match: shard, t1, t2, first word, words. `routes` has `keys` (shard, a) of each t1."""
     gram = window // 3 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                found = batch.column(2)[row].as_py().split(b" ")
-                places = batch.column(3)[row].values
-                shard, at = places.field(0).to_numpy(), places.field(1).to_numpy()
-                order = np.lexsort((at, shard))
-                shard, at = shard[order], at[order]
-                # All windows with a gram as their anchor lie around it; stretches that touch are one.
-                turns = np.flatnonzero((np.diff(shard) > 0) | (np.diff(at) > 2 * window - gram)) + 1
-                for piece in np.split(np.arange(len(at)), turns):
-                    first, end = max(0, int(at[piece[0]]) - window + gram), int(at[piece[-1]]) + window
-                    out.append((int(shard[piece[0]]), row, first, b" ".join(found[first:end])))
-            row = pa.array([o[1] for o in out], pa.int64())
-            arrays = [pa.array([o[0] for o in out], pa.int32()), batch.column(0).take(row), batch.column(1).take(row), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["shard", "t1", "t2", "first", "words"])
-
-    joined = texts.select("t1", "t2", "plain").join(routes, ["t1", "t2"])
+            for part in chunks(batch, 2):
+                w = Windows(words(part.column(2)), window)
+                places, starts, out = w.places(), w.found.starts(), []
+                ends = np.searchsorted(places, starts)
+                for row in range(part.num_rows):
+                    own = places[ends[row] : ends[row + 1]]
+                    hashes, inside = w.hashes[own].view(np.int64), own - starts[row]
+                    found, keys = part.column(2)[row].as_py().split(b" "), part.column(3)[row].values
+                    shards, anchors = keys.field(0).to_numpy(), keys.field(1).to_numpy()
+                    for shard in np.unique(shards):
+                        at = inside[np.isin(hashes, anchors[shards == shard])]
+                        if not len(at):
+                            continue
+                        # All windows with a gram as their anchor lie around it; stretches that touch are one.
+                        for piece in np.split(at, np.flatnonzero(np.diff(at) > 2 * window - gram) + 1):
+                            first, end = max(0, int(piece[0]) - window + gram), int(piece[-1]) + window
+                            out.append((int(shard), row, first, b" ".join(found[first:end])))
+                row = pa.array([o[1] for o in out], pa.int64())
+                arrays = [pa.array([o[0] for o in out], pa.int32()), part.column(0).take(row), part.column(1).take(row), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "t1", "t2", "first", "words"])
+
+    joined = texts.select("t1", "t2", "plain").join(routes, "t1").select("t1", "t2", "plain", "keys")
     return joined.mapInArrow(run, "shard int, t1 long, t2 long, first int, words binary")
 
 
-def located(texts: DataFrame, shards: DataFrame, window: int) -> DataFrame:
-    """t1, t2, starts and ends of the covered stretches, for each text and shard."""
+def located(texts: DataFrame, met: DataFrame, shards: DataFrame, window: int) -> DataFrame:
+    """t1, t2, starts and ends of the covered stretches, for each text and shard. `met`: the different anchors (a) of each t1."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"t1": [], "t2": [], "starts": [], "ends": []}
@@ -364,7 +353,7 @@ def located(texts: DataFrame, shards: DataFrame, window: int) -> DataFrame:
         return pa.table(out, pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
 
     holders = shards.select("shard", F.explode("anchors").alias("a")).distinct()
-    routes = anchor_places(texts, window).join(holders, "a").groupBy("t1", "t2").agg(F.collect_list(F.struct("shard", "at")).alias("places"))
+    routes = met.join(holders, "a").groupBy("t1").agg(F.collect_list(F.struct("shard", "a")).alias("keys"))
     sent = stored(segments(texts, routes, window))
     # How many tasks share a shard's texts: a row for each shard.
     salts = stored(sent.groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / TASK_BYTES).cast("int").alias("salts")))
@@ -408,7 +397,8 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3
     n = max(1, -(-(found.agg(F.sum("n")).first()[0] or 0) // SHARD))
     shards = found.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(n)).cast("int"))
     alone = texts.join(classes.where("copies = 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
-    places = stored(located(alone, shards, window))
+    of_alone = met.join(alone.select("t1").distinct(), "t1", "left_semi")
+    places = stored(located(alone, of_alone, shards, window))
     found = classes.select("t1", "t2", "copies").join(collapsed(texts, places), ["t1", "t2"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
