@@ -733,7 +733,7 @@ def _jpeg_sql(src: str, p: float) -> str:
     spots = f"""(select image_id, c, w, h, bx, unnest(range(0,(h+7)//8)) as by from (select image_id, c, w, h, unnest(range(0,(w+7)//8)) as bx from (select distinct image_id, c, w, h from {src})))"""
     blocks = f"""(select f.image_id, f.c, f.w, f.h, f.by, f.bx, i.i, j.i as j, t.v from {spots} f, (select unnest(range(0,8)) as i) i, (select unnest(range(0,8)) as i) j, {src} t
       where t.image_id=f.image_id and t.c=f.c and t.y=least(f.by*8+i.i,f.h-1) and t.x=least(f.bx*8+j.i,f.w-1))"""
-    coef = f"(select image_id, c, w, h, by, bx, p.u, q.u as q, sum(t.v*p.b*q.b) as k from {blocks} t join dct_basis p on p.x=t.i join dct_basis q on q.x=t.j group by all)"
+    coef = f"(select t.image_id, t.c, t.w, t.h, t.by, t.bx, p.u, q.u as q, sum(t.v*p.b*q.b) as k from {blocks} t join dct_basis p on p.x=t.i join dct_basis q on q.x=t.j group by all)"
     back = f"select k.image_id, k.c, k.by*8+p.x as y, k.bx*8+q.x as x, {_CLIP.format(v=f'sum(round_even(k.k/{step},0)*{step}*p.b*q.b)')} as v, k.w, k.h from {coef} k join dct_basis p on p.u=k.u join dct_basis q on q.u=k.q group by all"
     return f"(select * from ({back}) where y<h and x<w)"
 
