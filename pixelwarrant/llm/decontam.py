@@ -10,8 +10,8 @@ Item and text are compared as their words (letters, digits and underscores), low
 The items are the stated set: they are read in blocks of at most `BLOCK_CHARS` characters, one pass over the documents for each
 block, so what a task holds is bounded however many items there are. Documents are never shuffled.
 
-Defined cases: a null or empty item matches nothing; an item shorter than `min_chars` says little inside a text and matches only
-a text that is it; a null text has no leaks; repeated rows are scanned each; an empty table on either side gives no leaks; other
+Defined cases: a null or empty item matches nothing; an item shorter than `min_chars` has no budget and matches where a text holds it
+unchanged between word edges, or, being one word of less than `WORD_CHARS`, only a text that is it; a null text has no leaks; repeated rows are scanned each; an empty table on either side gives no leaks; other
 columns pass through, and one named like the output is replaced.
 """
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_CHARS = 4_000_000
+WORD_CHARS = 8
 WORD = re.compile(r"\w+")
 LEAKS = T.ArrayType(
     T.StructType(
@@ -85,14 +86,14 @@ class Items:
         import ahocorasick
 
         self.long: list[tuple[int, str, int]] = []
-        self.short: dict[str, list[int]] = defaultdict(list)
+        self.short: set[int] = set()  # of `long`
         pieces: dict[str, list[tuple[int, int, list]]] = defaultdict(list)
         for item_id, text in items:
             m = len(text)
-            if m < min_chars:
-                self.short[text].append(item_id)
-                continue
             k = int(m * rate)
+            if m < min_chars:
+                self.short.add(len(self.long))
+                k = 0
             for a, b, above in halves(0, m, k):
                 pieces[text[a:b]].append((len(self.long), a, above))
             self.long.append((item_id, text, k))
@@ -104,7 +105,7 @@ class Items:
 
     def leaks(self, text: str) -> list[dict]:
         """The best occurrence of every item of this block that the normal form `text` holds, by item."""
-        out = [{"item_id": i, "distance": 0, "start": 0, "end": len(text)} for i in self.short.get(text, ()) if text]
+        out = []
         if not self.long or not text:
             return out
         best: dict[int, tuple[int, int]] = {}
@@ -115,6 +116,10 @@ class Items:
                 place = last + 1 - size - offset
                 if item in seen and abs(place - seen[item]) <= k:
                     continue
+                if item in self.short:
+                    edges = ("",) if " " not in pattern and len(pattern) < WORD_CHARS else ("", " ")
+                    if text[max(0, place - 1) : place] not in edges or text[last + 1 : last + 2] not in edges:
+                        continue
                 for a, b, budget in above:
                     start = max(0, place + a - budget)
                     distance, end = search(pattern[a:b], text[start : max(0, place + b + budget)])

@@ -252,7 +252,6 @@ def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
     if own.get_vocab_size() > 1 << 16:
         raise ValueError("ids of more than 16 bits")
     memo: dict[str, bytes] = {}

@@ -84,3 +84,11 @@ def test_query_against_all_pairs(spark, sf):
     short = [(d, text) for d, text in docs if len(text) < 900][:25] + [(d, text) for d, text in docs if len(text) < 2000 and any(d == x for x, _ in got)][:5]
     for d, text in short:
         assert {i for i, item in items if nearest(item, text) <= int(len(item) * 0.1)} == {i for x, i in got if x == d}
+
+
+def test_short_items_match_unchanged_between_word_edges(spark):
+    items = spark.createDataFrame([(1, "What is 2 plus 2?"), (2, "\u6771\u4eac\u306e\u4eba\u53e3\u306f\u3044\u304f\u3064\u304b"), (3, "ten")], "item_id long, text string")
+    docs = [(1, "so, what is 2 plus 2 then"), (2, "what is 2 plus 22"), (3, "x \u6771\u4eac\u306e\u4eba\u53e3\u306f\u3044\u304f\u3064\u304b?"), (4, "often tenth"), (5, "ten"), (6, "what is 2 minus 2")]
+    found = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    got = {r.doc_id: [(x.item_id, x.distance) for x in r.leaks] for r in found.collect()}
+    assert got == {1: [(1, 0)], 2: [], 3: [(2, 0)], 4: [], 5: [(3, 0)], 6: []}

@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
