@@ -126,39 +126,55 @@ def read_log_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 ALARM_SCHEMA = "run string, alarm_epoch long, streak int"
 BLOCK_SCHEMA = "run string, block long, n long, whole boolean, lead array<long>, tail long, inner_epoch long"
-BLOCK_STATE = "epochs binary, bad binary"
+BLOCK_STATE = "names array<string>, own binary, epochs binary, bad binary"
 
 
-def collapse_blocks(log: DataFrame, patience: int, grace: int, std_below: float, auc_below: float, block: int) -> DataFrame:
+def collapse_blocks(log: DataFrame, patience: int, grace: int, std_below: float, auc_below: float, block: int, shards: int = 64) -> DataFrame:
     """Summaries of blocks of epochs of a run, for the blocks that a micro-batch touches; epochs may come in any order.
 
     A summary has what a merge with its neighbours needs: the number of epochs, whether all are bad, the bad ones it begins with
-    (`lead`), how many it ends with (`tail`), and the first epoch that is an alarm by this block alone. The state of a block is
-    its epochs in order, `block` epoch numbers at most. An epoch that comes again replaces what was known of it.
+    (`lead`), how many it ends with (`tail`), and the first epoch that is an alarm by this block alone. The runs of a shard share
+    the state of a block, so that runs with few epochs in it don't each cost a call: their epochs in order, run by run, `block`
+    epoch numbers of a run at most. An epoch that comes again replaces what was known of it.
     """
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        epochs, bad = state.get if state.exists else (b"", b"")
+        names, own, epochs, bad = state.get if state.exists else ([], b"", b"", b"")
+        names, own = list(names), np.frombuffer(own, np.int64)
         epochs, bad = np.frombuffer(epochs, np.int64), np.frombuffer(bad, np.bool_)
-        for frame in frames:
-            own = frame.drop_duplicates("epoch", keep="last").sort_values("epoch")
-            fresh, flags = own["epoch"].to_numpy(np.int64), own["bad"].to_numpy(np.bool_)
-            old = ~np.isin(epochs, fresh)
-            at = np.searchsorted(epochs[old], fresh)
-            epochs, bad = np.insert(epochs[old], at, fresh), np.insert(bad[old], at, flags)
-        state.update((epochs.tobytes(), bad.tobytes()))
+        fresh = pd.concat(frames)
+        number = {n: i for i, n in enumerate(names)}
+        for name in pd.unique(fresh["run"]):
+            number.setdefault(name, len(number))
+        runs = fresh["run"].map(number).to_numpy(np.int64)
+        touched = np.unique(runs)
+        # What is known first, so that of equal epochs the last one is the newest.
+        own, epochs = np.concatenate([own, runs]), np.concatenate([epochs, fresh["epoch"].to_numpy(np.int64)])
+        bad = np.concatenate([bad, fresh["bad"].to_numpy(np.bool_)])
+        order = np.lexsort((epochs, own))
+        own, epochs, bad = own[order], epochs[order], bad[order]
+        last = np.append((own[1:] != own[:-1]) | (epochs[1:] != epochs[:-1]), True)
+        own, epochs, bad = own[last], epochs[last], bad[last]
+        names = list(number)
+        state.update((names, own.tobytes(), epochs.tobytes(), bad.tobytes()))
+        rows = []
+        for run, start, stop in zip(touched, np.searchsorted(own, touched), np.searchsorted(own, touched, "right")):
+            rows.append((names[run], key[1], *summary(epochs[start:stop], bad[start:stop])))
+        yield pd.DataFrame(rows, columns=["run", "block", "n", "whole", "lead", "tail", "inner_epoch"]).astype({"inner_epoch": "Int64"})
+
+    def summary(epochs: np.ndarray, bad: np.ndarray) -> tuple:
         place = np.arange(len(bad))
         good = np.maximum.accumulate(np.where(bad, -1, place))  # the last good epoch so far
         alone = (good >= 0) & (place - good >= patience) & (epochs >= grace)
         first_good = int(np.argmin(bad)) if not bad.all() else len(bad)
         inner = int(epochs[np.argmax(alone)]) if alone.any() else None
-        tail = len(bad) - 1 - int(good[-1])
-        row = (key[0], key[1], len(bad), bool(bad.all()), epochs[:first_good].tolist(), tail, inner)
-        yield pd.DataFrame([row], columns=["run", "block", "n", "whole", "lead", "tail", "inner_epoch"]).astype({"inner_epoch": "Int64"})
+        return len(bad), bool(bad.all()), epochs[:first_good].tolist(), len(bad) - 1 - int(good[-1]), inner
 
     bad = (F.col("val_pred_std") < std_below) & (F.col("val_auc") < auc_below)
-    rows = log.where("run is not null and epoch is not null").select("run", F.floor(F.col("epoch") / block).alias("block"), "epoch", F.coalesce(bad, F.lit(False)).alias("bad"))
-    return rows.groupBy("run", "block").applyInPandasWithState(watch, BLOCK_SCHEMA, BLOCK_STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = log.where("run is not null and epoch is not null").select(
+        F.pmod(F.crc32("run"), F.lit(shards)).alias("shard"), F.floor(F.col("epoch") / block).alias("block"), "run", "epoch", F.coalesce(bad, F.lit(False)).alias("bad")
+    )
+    return rows.groupBy("shard", "block").applyInPandasWithState(watch, BLOCK_SCHEMA, BLOCK_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def alarms_of(blocks: DataFrame, patience: int, grace: int) -> DataFrame:
@@ -176,7 +192,7 @@ def alarms_of(blocks: DataFrame, patience: int, grace: int) -> DataFrame:
 
 
 def collapse_alarms(
-    log: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, patience: int = 2, grace: int = 2, std_below: float = 0.02, auc_below: float = 0.55, block: int = 4096
+    log: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, patience: int = 2, grace: int = 2, std_below: float = 0.02, auc_below: float = 0.55, block: int = 4096, shards: int = 64
 ):
     """After every micro-batch hand `show` the alarms so far: the first epoch of each run that ends `patience` collapsed epochs in a row, after the grace period.
 
@@ -189,7 +205,7 @@ def collapse_alarms(
         show(alarms_of(blocks, patience, grace).withColumn("streak", F.lit(patience)), batch)
 
     return (
-        collapse_blocks(log, patience, grace, std_below, auc_below, block)
+        collapse_blocks(log, patience, grace, std_below, auc_below, block, shards)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(hand_on)
