@@ -483,8 +483,8 @@ def paired_bootstrap(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream. The path is a pattern, as a stream takes one for a file and for a folder of part files alike."""
+    return spark.readStream.schema(fx.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("str01_score_on_arrival", ("feat",), "select sample_id, round(list_avg(list_transform(features, lambda v: v::double))+5e-1,4) as score from feat")
@@ -536,7 +536,7 @@ def collapse_alarm(spark, sf):
     out = tables.scratch_dir(spark, "alarms")
 
     def show(alarms, batch):
-        alarms.coalesce(1).write.mode("overwrite").parquet(f"{out}/alarms")
+        alarms.write.mode("overwrite").parquet(f"{out}/alarms")
 
     jobs.collapse_alarms(log, show, f"{out}/checkpoint", 2, 2, std_below=0.2).awaitTermination()
     return spark.read.schema(jobs.ALARM_SCHEMA).parquet(f"{out}/alarms")
