@@ -95,7 +95,8 @@ def predictions(df: DataFrame, path: Column, pred: Column, threshold: Column | N
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Reports say the same words for every image, so they are written packed; readers unpack them by their names."""
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def write_csv_matrix(df: DataFrame, path: str) -> None:

@@ -185,3 +185,16 @@ def test_large_images_are_brought_to_their_working_size(spark):
     assert one(made.where("image_id = 2")) == one(cells.where("image_id = 2"))
     same = analyze.bounded(images, cells, faces, 20)
     assert same[1] is cells
+
+
+def test_windows_of_an_image_share_a_partition_and_partitions_grow_in_number(spark, sf):
+    """Regions are grouped again where they are; a partition's size does not grow with the table."""
+    from pixelwarrant.plans import queries_evidence as qe
+    from pixelwarrant.session import spread
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 100)
+    parts = spread(rows, "k", 1000, per_task=20)
+    assert parts.rdd.getNumPartitions() == 50
+    assert parts.select("k", F.spark_partition_id().alias("p")).distinct().count() == 100
+    plan = qe.findings(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
