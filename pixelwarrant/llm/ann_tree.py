@@ -9,7 +9,8 @@ collected. How many is calibrated: on sampled queries, whose exact neighbours ar
 number of leaves is widened until the recall goal is met.
 
 Queries and leaves meet in a join on the leaf: blocks of queries against blocks of entries, so that a leaf with very many
-entries is many rows and many tasks. Only the best k of every pair of blocks move on, and are merged per query.
+entries is many rows and many tasks. A task holds the best of each query over all its blocks, and hands on k of them: what moves
+grows with the queries and tasks, not with the pairs of blocks. Tasks with more queries than `HELD_BYTES` allows hand on in parts.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do rows whose id is null;
 vectors of another length than the most common one are an error; the query's own id is no candidate, other rows with an equal
@@ -21,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ BRANCH = 8
 LEAF = 100  # sampled vectors that are not split further
 BLOCK = 1024  # entries, and queries, that are compared at once
 SALTS = 8
+HELD_BYTES = 64 << 20  # of vectors that a task holds for its queries before it hands on what it has found
 GOAL = 0.97
 TRIALS = 200  # sampled queries of the calibration
 
@@ -171,17 +174,57 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, key: str = "
     met = probes.toDF("leaf", "qv", "qids").join(indexed.toDF("leaf", "ev", "eids"), "leaf")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Held] = {}
+        room = max(1, HELD_BYTES // (8 * (k + 1) * (sample.shape[1] + 1)))
+
+        def flush() -> pa.RecordBatch:
+            out = [row for q_id, own in held.items() for row in _best(q_id, own.query, own.vectors, own.ids, own.scores, k)]
+            return pa.RecordBatch.from_pydict({n: pa.array([r[j] for r in out], t) for j, (n, t) in enumerate(FOUND.items())})
+
         for batch in batches:
             for i in range(batch.num_rows):
                 q_ids, e_ids = batch.column("qids")[i].as_py(), batch.column("eids")[i].as_py()
                 q = np.asarray(batch.column("qv")[i].values).reshape(len(q_ids), -1)
                 e = np.asarray(batch.column("ev")[i].values).reshape(len(e_ids), -1)
-                out = [row for q_id, v, s in zip(q_ids, q, q @ e.T) for row in _best(q_id, v, e, e_ids, s, k)]
-                yield pa.RecordBatch.from_pydict({n: pa.array([r[j] for r in out], t) for j, (n, t) in enumerate(FOUND.items())})
+                if held and len(held) + len(q_ids) > room and any(x not in held for x in q_ids):
+                    yield flush()
+                    held = {}
+                s = q @ e.T
+                floors = np.array([held[x].floor if x in held else -np.inf for x in q_ids])
+                for j in np.flatnonzero((s >= floors[:, None]).any(1)):
+                    held[q_ids[j]] = _merged(held.get(q_ids[j]), q[j], e, e_ids, s[j], k)
+        if held:
+            yield flush()
 
     return ranked(met.mapInArrow(compare, "query_id long, vec_id long, score double"), k)
 
 
+@dataclass
+class _Held:
+    """What a task has found for a query: the entries that can be among its k best, and the product below which none is."""
+
+    query: np.ndarray
+    floor: float
+    scores: np.ndarray
+    vectors: np.ndarray
+    ids: list[list[int]]
+
+
+def _merged(held: _Held | None, q: np.ndarray, e: np.ndarray, e_ids: list[list[int]], s: np.ndarray, k: int) -> _Held:
+    """`held` with a block's entries: k + 1 of them stay, as one may be the query's own only, and those that rounding could tie."""
+    at = np.flatnonzero(s >= (held.floor if held else -np.inf))
+    scores, floor = (np.concatenate([held.scores, s[at]]) if held else s[at]), -np.inf
+    if len(scores) > k:
+        cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+        floor = cut - 1e-9 * (1 + abs(cut))
+    old = len(scores) - len(at)
+    stay = np.flatnonzero(scores >= floor)
+    ids = [held.ids[x] if x < old else e_ids[at[x - old]] for x in stay]
+    new = e[at[stay[stay >= old] - old]]
+    vectors = np.concatenate([held.vectors[stay[stay < old]], new]) if held else new
+    return _Held(q.copy(), floor, scores[stay], vectors, ids)
+
+
 def _best(q_id: int, q: np.ndarray, e: np.ndarray, e_ids: list[list[int]], s: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k best (query, id, score) of a block. `s` picks the vectors; their scores are summed exactly, in any order the same."""
     near = np.arange(len(s))

@@ -63,3 +63,24 @@ def test_edges_and_ties(spark):
     assert by_query(ann_tree.nearest(same, same.where("vec_id = 3"), 4).collect()) == {3: [(i, 5.0) for i in (0, 1, 2, 4)]}
     with pytest.raises(ValueError):
         ann_tree.nearest(df.union(spark.createDataFrame([(77, [1.0], "")], df.schema)), df)
+
+
+def test_tasks_hand_on_k_rows_a_query(spark, monkeypatch):
+    """What moves on grows with queries and tasks, not with the pairs of blocks; a task that holds too much hands on in parts."""
+    rng = np.random.default_rng(4)
+    vectors = {i: v.tolist() for i, v in enumerate(rng.normal(0, 1, (3000, 8)))}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    handed, ranked = [], ann_tree.ranked
+
+    def counted(found, k):
+        handed.append((found.count(), found.rdd.getNumPartitions()))
+        return ranked(found, k)
+
+    monkeypatch.setattr(ann_tree, "ranked", counted)
+    queries = [i for i in vectors if i % 50 == 0]
+    want = brute(vectors, queries, 5)
+    for bytes_ in (ann_tree.HELD_BYTES, 5000):
+        monkeypatch.setattr(ann_tree, "HELD_BYTES", bytes_)
+        got = by_query(ann_tree.nearest(df, df.where("vec_id % 50 = 0"), 5).collect())
+        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    assert handed[0][0] <= len(queries) * 5 * handed[0][1]
