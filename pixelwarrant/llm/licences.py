@@ -3,7 +3,8 @@
 A text is brought to a canonical form: lower case; equivalent spellings and words made one; copyright lines left out; everything
 but letters and digits is a single space. Two texts with equal forms are the same licence text. The units of a document are its
 whole text, its paragraphs (between blank lines) and its lines; every unit's digest is looked up among those of the known licence
-texts by a hash join. Units longer than the longest known text can't match and aren't hashed.
+texts by a hash join. Units with more letters and digits, copyright lines apart, than any known text can have can't match and aren't
+hashed.
 
 The known texts are a parameter: (licence, text) pairs, whole licences or the short grants that refer to them. They are a stated
 set of at most `KNOWN_ROWS` rows, broadcast once.
@@ -78,7 +79,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
 #: A line that only names holders and years.
 COPYRIGHT = r"(?m)^[\s*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
-REACH = 4  # how many times the longest known text a unit may be, for copyright lines and punctuation
+REACH = 4  # times the longest known text; its letters and digits, in whatever spelling, are fewer
 
 
 def forms(text: Column, of_lines: bool = False) -> Column:
@@ -99,13 +100,19 @@ def known_digests(spark, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFram
     return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
+def short(unit: Column, most: int) -> Column:
+    """Whether a unit has at most `most` letters and digits outside copyright lines; only long ones are read for it."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(unit), COPYRIGHT, ""), OTHER, "")
+    return (F.length(unit) <= most) | (F.length(bare) <= most)
+
+
 def units(docs: DataFrame, text: str, most: int) -> DataFrame:
     """Every other column, `unit`, and `whole` (the unit is the document's text). A unit equal to the whole text is only it."""
     whole = F.array(F.struct(F.col(text).alias("unit"), F.lit(True).alias("whole")))
     paragraphs, lines = F.split(text, r"\n\s*\n"), F.split(text, "\n")
     inner = F.when(F.size(paragraphs) > 1, F.concat(paragraphs, lines)).when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>"))
-    parts = F.transform(F.filter(inner, lambda u: (F.length(u) <= most) & (F.length(u) > 0)), lambda u: F.struct(u.alias("unit"), F.lit(False).alias("whole")))
-    all_units = F.concat(F.filter(whole, lambda u: F.length(u["unit"]) <= most), parts)
+    parts = F.transform(F.filter(inner, lambda u: short(u, most) & (F.length(u) > 0)), lambda u: F.struct(u.alias("unit"), F.lit(False).alias("whole")))
+    all_units = F.concat(F.filter(whole, lambda u: short(u["unit"], most)), parts)
     return docs.where(F.col(text).isNotNull()).withColumn("_u", F.explode(all_units)).drop(text, "unit", "whole").select("*", "_u.unit", "_u.whole").drop("_u")
 
 

@@ -30,3 +30,11 @@ def test_canonical_forms_and_edges(spark):
 def test_plan_has_no_python(spark, sf):
     plan = op2_licences(spark, sf)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_units_of_holders_and_punctuation(spark):
+    """A licence stays one however many copyright lines, rules and blanks are around it."""
+    holders = "".join(f"Copyright (c) {1900 + i % 100} Holder number {i} of many\n" for i in range(400))
+    texts = {1: holders + "\n" + licences.MIT, 2: "=" * 9000 + " Released under the MIT License. " + "-" * 9000, 3: "word " * 5000 + licences.MIT}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.licence) for r in licences.scan(docs).where("whole").collect()} == {(1, "MIT"), (2, "MIT")}
