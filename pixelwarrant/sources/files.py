@@ -118,18 +118,46 @@ def write_archives(rows: DataFrame, folder: str) -> int:
     return ordered.repartition("archive").sortWithinPartitions("archive", "member").mapInArrow(run, "archive string").count()
 
 
-class Range(InputPartition):
-    """Members of an archive whose place lies in a range of its bytes."""
+class Ranges(InputPartition):
+    """Members of archives whose places lie in ranges of their bytes: (archive, start, stop)."""
 
-    def __init__(self, archive: str, start: int, stop: int):
-        self.archive, self.start, self.stop = archive, start, stop
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+TASKS = 200
+TASK_BYTES = 16 << 20
+
+
+def packed(zips: list[tuple[str, int]], range_bytes: int) -> list[list[tuple[str, int, int]]]:
+    """Ranges of `range_bytes` of the archives (path, size), those of a task together; what is next to each other is one range.
+
+    A task has one range while there are no more than `TASKS`. With more it has a share of all bytes, `TASK_BYTES` at most, so that
+    small ranges don't cost a task each.
+    """
+    most = max(range_bytes, min(TASK_BYTES, sum(size for _, size in zips) // TASKS))
+    tasks, held = [[]], 0
+    for path, size in zips:
+        for start in range(0, max(1, size), range_bytes):
+            own = min(range_bytes, max(1, size - start))
+            if tasks[-1] and held + own > most:
+                tasks.append([])
+                held = 0
+            held += own
+            last = tasks[-1][-1] if tasks[-1] else None
+            if last and last[0] == path:
+                tasks[-1][-1] = (path, last[1], start + range_bytes)
+            else:
+                tasks[-1].append((path, start, start + range_bytes))
+    return [t for t in tasks if t]
 
 
 class ZipMembers(DataSource):
     """`spark.read.format("zip_members").load(folder)`: the members of all zip archives below a folder, or of one.
 
     An archive is split by byte ranges, so a large one is many tasks: each reads the archive's directory, which is at its end, and then
-    only the members that start in its own range. The driver lists files and sizes, and opens none. Options: `range_bytes`
+    only the members that start in its own range. Small ranges are packed to tasks, and a task opens an archive once for what it has
+    of it. The driver lists files and sizes, and opens none. Options: `range_bytes`
     (16 MB), `suffixes` (comma-separated; other members are not read), `content` (false: names and sizes only).
     """
 
@@ -151,7 +179,7 @@ class ZipReader(DataSourceReader):
         self.suffixes = tuple("." + s.strip().lower() for s in options.get("suffixes", "").split(",") if s.strip())
         self.content = options.get("content", "true").lower() != "false"
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
         files, root = file_system(self.path)
@@ -159,18 +187,19 @@ class ZipReader(DataSourceReader):
             found = [files.get_file_info(root)]
         else:
             found = files.get_file_info(fs.FileSelector(root, recursive=True))
-        zips = [f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".zip")]
-        return [Range(f.path, start, start + self.range_bytes) for f in zips for start in range(0, max(1, f.size), self.range_bytes)]
+        zips = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".zip"))
+        return [Ranges(own) for own in packed(zips, self.range_bytes)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Ranges) -> Iterator[tuple]:
         files, _ = file_system(self.path)
-        with files.open_input_file(part.archive) as source, zipfile.ZipFile(source) as archive:
-            for info in archive.infolist():
-                if info.is_dir() or not part.start <= info.header_offset < part.stop:
-                    continue
-                if self.suffixes and not info.filename.lower().endswith(self.suffixes):
-                    continue
-                yield part.archive, info.filename, info.file_size, archive.read(info) if self.content else None
+        for path, start, stop in part.ranges:
+            with files.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
+                for info in archive.infolist():
+                    if info.is_dir() or not start <= info.header_offset < stop:
+                        continue
+                    if self.suffixes and not info.filename.lower().endswith(self.suffixes):
+                        continue
+                    yield path, info.filename, info.file_size, archive.read(info) if self.content else None
 
 
 def archive_members(spark: SparkSession, folder: str, **options: str) -> DataFrame:

@@ -174,6 +174,19 @@ def test_one_archive_is_many_tasks(spark, tmp_path):
         images.require_both_sides(labelled.where("label = 1"))
 
 
+def test_small_ranges_share_tasks():
+    from pixelwarrant.sources import files
+
+    zips = [(f"{i}.zip", 1000 * i) for i in range(3000)]
+    tasks = files.packed(zips, 1 << 14)
+    assert len(tasks) <= 1.2 * (sum(n for _, n in zips) // files.TASK_BYTES + 1) + files.TASKS
+    for path, size in zips[::97]:  # every byte of an archive once, and one range of it in a task
+        own = [r for t in tasks for r in t if r[0] == path]
+        assert own[0][1] == 0 and own[-1][2] >= size and all(a[2] == b[1] for a, b in zip(own, own[1:]))
+        assert all(sum(r[0] == path for r in t) <= 1 for t in tasks)
+    assert files.packed([], 5) == [] and files.packed([("a", 11)], 5) == [[("a", 0, 5)], [("a", 5, 10)], [("a", 10, 15)]]
+
+
 def test_archives_and_files_are_written_whole(spark, tmp_path):
     from pixelwarrant.sources import files
 
