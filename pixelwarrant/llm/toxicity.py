@@ -14,8 +14,11 @@ A word's log-likelihood ratio is the sum over its characters. A text is describe
 likelihoods (see `described`), and a logistic curve, fitted on labelled rows scored without their own counts, makes the score.
 
 Counts are gathered from every labelled training row, in two passes: contexts of toxic documents first, then everything seen in
-those contexts. The model is bounded by `CAPACITY` contexts: with more, those of the most toxic documents are kept. The curve is
-fitted on about `SAMPLE` labelled rows, picked by a hash of their id.
+those contexts. The curve is fitted on about `SAMPLE` labelled rows, picked by a hash of their id.
+
+No context is left out. Tasks hold the `CAPACITY` contexts of the most toxic documents, at most. With more, the others stay in tables:
+every different word is scored once, by what tasks hold and by a join with the others for what they don't; a document's frequent
+words are then looked up in its task (`FREQUENT` of them), and its other words are joined.
 
 Defined cases: a null text is empty; a text without words, or a corpus without labelled rows of both classes, scores `EMPTY` or
 the curve's value for no evidence; labels that are null don't count; an id that is labelled twice counts for each of its labels;
@@ -40,7 +43,8 @@ ORDER = 8  # characters of a context and the one it predicts
 DISCOUNT = 0.9  # of a class's counts
 SHARED_DISCOUNT = 0.75
 CLEAR = 1.5  # a word's ratio counts as evidence above this
-CAPACITY = 1_000_000  # contexts
+CAPACITY = 1_000_000  # contexts that a task holds
+FREQUENT = 500_000  # words that a task looks up
 SAMPLE = 8_000  # labelled rows
 BROADCAST_ROWS = 1_000_000  # labels, 16 bytes each
 MEMO = 200_000  # words a task remembers
@@ -97,10 +101,11 @@ class Model:
     weights: np.ndarray | None = None
     middle: np.ndarray | None = None
     spread: np.ndarray | None = None
+    rest: tuple[DataFrame, DataFrame] | None = None  # (context, other) and (pair, ratio) of the contexts that aren't held
 
     def plain(self) -> dict:
         """What tasks get: arrays only, so that they can be read where this package isn't installed."""
-        return dict(vars(self))
+        return {name: own for name, own in vars(self).items() if name != "rest"}
 
     def ratios(self, context: np.ndarray, pair: np.ndarray, own: int | None = None) -> np.ndarray:
         """Log of P_1 / P_0 for every character; `own`: as if one document of that class had not been counted."""
@@ -228,6 +233,145 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     return docs.select(key, text).join(own, F.col(key) == F.col("_key")).drop("_key")
 
 
+def _model(contexts: np.ndarray, pairs: pa.Table, letters: pa.Table | None = None) -> Model:
+    """Of sorted contexts, everything that was counted in them, and how many pairs each letter has in all (without it: in `pairs`)."""
+    context, pair, letter = (pairs.column(i).to_numpy() for i in range(3))
+    counts = np.stack([pairs.column(i).to_numpy() for i in (3, 4)], 1).reshape(-1, 2)
+    order = np.argsort(pair)
+    pair, context, letter, counts = pair[order], context[order], letter[order], counts[order]
+    at = np.searchsorted(contexts, context)
+    totals, types = (np.stack([np.bincount(at, v[:, k], len(contexts)) for k in (0, 1)], 1) for v in (counts, counts > 0))
+    if letters is None:
+        _, group, seen = np.unique(letter, return_inverse=True, return_counts=True)
+        after = (seen / max(1, len(letter)))[group] if len(letter) else np.zeros(0)
+    else:
+        kind, seen = (c.to_numpy() for c in letters.sort_by("letter").columns)
+        after = (seen / max(1, seen.sum()))[np.searchsorted(kind, letter)]
+    small = (x.astype(np.int32) for x in (totals, types, np.bincount(at, minlength=len(contexts)), counts, at))
+    totals, types, kinds, counts, parents = small
+    return Model(contexts, totals, types, kinds, pair, counts, after.astype(np.float32), parents)
+
+
+def _rest_ratios(every: DataFrame, letters: pa.Table) -> tuple[DataFrame, DataFrame]:
+    """`Scorer`'s ratios of the contexts that aren't held: (context, other) and (pair, ratio)."""
+    pairs = every.where("not held")
+    each = [F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")]
+    sums = stored(pairs.groupBy("context").agg(*each, F.count("*").alias("kinds")))
+
+    def ratio(n0: Column, n1: Column, base: Column) -> Column:
+        shared = (F.greatest(n0 + n1 - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * base) / F.greatest(F.lit(1), F.col("t0") + F.col("t1"))
+        p = lambda n, t, k: F.greatest(F.when(F.col(t) > 0, (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(k) * shared) / F.col(t)).otherwise(shared), F.lit(1e-12))
+        return F.when(F.col("t1") > 0, F.log(p(n1, "t1", "k1") / p(n0, "t0", "k0"))).otherwise(0.0).cast("float")
+
+    other = sums.select("context", ratio(F.lit(0.0), F.lit(0.0), F.lit(1e-6)).alias("other"))
+    all_pairs = max(1, sum(letters.column("seen").to_pylist()))
+    share = every.sparkSession.createDataFrame(letters.to_pandas(), "letter int, seen long").select("letter", (F.col("seen") / all_pairs).cast("float").cast("double").alias("base"))
+    of = pairs.join(F.broadcast(share), "letter").join(sums, "context").select("pair", ratio(F.col("n0"), F.col("n1"), F.col("base")).alias("ratio"))
+    return stored(other), stored(of)
+
+
+def _contexts_of(docs: DataFrame, text: str) -> DataFrame:
+    """The different contexts in the words of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(set().union(*[words(value.as_py()) for value in batch.column(0)]))
+            yield pa.RecordBatch.from_pydict({"context": np.unique(spelled(found)[0]) if found else pa.array([], pa.int64())})
+
+    return docs.select(text).mapInArrow(run, "context long").distinct()
+
+
+def _digests(word: Column) -> list[Column]:
+    return [F.xxhash64(word).alias("w1"), F.xxhash64(F.lit(1), word).alias("w2")]
+
+
+def _word_ratios(docs: DataFrame, model: Model, scorer: Broadcast, text: str) -> DataFrame:
+    """word, w1 and w2 (its digests), n (its occurrences) and ratio, of all different words of `docs`."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        flush = lambda: pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+        for batch in batches:
+            for value in batch.column(0):
+                for w in words(value.as_py()):
+                    seen[w] = seen.get(w, 0) + 1
+                if len(seen) > MEMO:
+                    yield flush()
+                    seen = {}
+        yield flush()
+
+    every = docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    every = stored(every.select("word", "n", *_digests(F.col("word"))))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each word what the held contexts give, without a context; and the places in other contexts."""
+        held = Scorer(**scorer.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                found = part.column(0).to_pylist()
+                context, pair, starts = spelled(found)
+                of = np.repeat(np.arange(len(found)), np.diff(np.append(starts, len(pair))))
+                at = np.flatnonzero(~_find(held.contexts, context)[1])
+                w1, w2 = (part.column(i).to_numpy() for i in (1, 2))
+                sums = held.of_words(found)
+                arrays = [np.append(w1, w1[of[at]]), np.append(w2, w2[of[at]])]
+                blank = pa.nulls(len(found), pa.int64())
+                keys = [pa.concat_arrays([blank, pa.array(v[at], pa.int64())]) for v in (context, pair)]
+                held_part = pa.concat_arrays([pa.array(sums, pa.float64()), pa.nulls(len(at), pa.float64())])
+                yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), *keys, held_part], ["w1", "w2", "context", "pair", "held"])
+
+    other, of = model.rest
+    split = stored(every.select("word", "w1", "w2").mapInArrow(parts, "w1 long, w2 long, context long, pair long, held double"))
+    joined = split.where("context is not null").drop("held").join(other, "context").join(of, "pair", "left")
+    added = joined.select("w1", "w2", F.coalesce("ratio", "other").cast("double").alias("part"))
+    sums = split.where("context is null").select("w1", "w2", F.col("held").alias("part")).unionByName(added).groupBy("w1", "w2").agg(F.sum("part").alias("ratio"))
+    return stored(every.join(sums, ["w1", "w2"]))
+
+
+def _score_by_words(docs: DataFrame, model: Model, text: str, out: str, drop_text: bool) -> DataFrame:
+    """`score` by a table of word ratios. Documents of the same text (by two digests) are one."""
+    spark_ = docs.sparkSession.sparkContext
+    scorer = model.scorer()
+    ratios = _word_ratios(docs, model, spark_.broadcast(dict(vars(scorer))), text)
+    frequent = ratios.orderBy(F.desc("n"), "w1", "w2").limit(FREQUENT).select("word", "ratio").toArrow()
+    shared = spark_.broadcast(frequent)
+    own = [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), F.col(text)).alias("_k2")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text what its frequent words give, without a word; and its other words with their numbers."""
+        known = dict(zip(*(c.to_pylist() for c in shared.value.columns)))
+        for batch in batches:
+            for k1, k2, value in zip(*(c.to_pylist() for c in batch.columns)):
+                found = words(value)
+                here = np.array([known[w] for w in found if w in known])
+                rest: dict[str, int] = {}
+                for w in found:
+                    if w not in known:
+                        rest[w] = rest.get(w, 0) + 1
+                n = 1 + len(rest)
+                names = {"_k1": pa.array([k1] * n, pa.int64()), "_k2": pa.array([k2] * n, pa.int64()), "word": pa.array([None, *rest], pa.string()), "n": pa.array([len(here), *rest.values()], pa.int64())}
+                sums = [[float(v.sum()), *[None] * len(rest)] for v in (np.maximum(here - CLEAR, 0), np.clip(here, -3, 3))]
+                yield pa.RecordBatch.from_pydict(names | {"clear": pa.array(sums[0], pa.float64()), "held": pa.array(sums[1], pa.float64())})
+
+    split = stored(docs.select(*own, text).mapInArrow(run, "_k1 long, _k2 long, word string, n long, clear double, held double"))
+    rest = split.where("word is not null").select("_k1", "_k2", "n", *_digests(F.col("word"))).join(ratios.select("w1", "w2", "ratio"), ["w1", "w2"])
+    rest = rest.select("_k1", "_k2", "n", (F.col("n") * F.greatest(F.col("ratio") - CLEAR, F.lit(0.0))).alias("clear"), (F.col("n") * F.greatest(F.least("ratio", F.lit(3.0)), F.lit(-3.0))).alias("held"))
+    every = split.where("word is null").select("*", F.lit(1).alias("texts")).drop("word").unionByName(rest.withColumn("texts", F.lit(0)))
+    # A text that stands in several rows has been summed as often.
+    sums = every.groupBy("_k1", "_k2").agg(*[(F.sum(c) / F.sum("texts")).alias(c) for c in ("n", "clear", "held")])
+    # As `described` and `Scorer.score` have it.
+    mean = F.coalesce(F.try_divide("clear", "n"), F.lit(0.0))
+    features = [mean, F.sqrt(mean), F.coalesce(F.try_divide("held", "n"), F.lit(0.0)), F.log1p("clear")]
+    z = F.lit(float(scorer.weights[-1]))
+    for f, middle, spread, w in zip(features, scorer.middle, scorer.spread, scorer.weights):
+        z = z + (f - float(middle)) / float(spread) * float(w)
+    scored = sums.select("_k1", "_k2", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))).alias("_score"))
+    kept = [f.name for f in docs.schema.fields if f.name != out and not (drop_text and f.name == text)]
+    keyed = docs.select(*own, *[F.col(f"`{n}`") for n in kept])
+    return keyed.join(scored, ["_k1", "_k2"]).select(*[F.col(f"`{n}`") for n in kept], F.col("_score").alias(out))
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the rows of `labels`; rows to be held out have to be left out of it."""
     own = labelled(docs, labels, key, text, label)
@@ -243,26 +387,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kept = sizes.where(F.col("n") >= least).select("context").toArrow()
     contexts = np.sort(kept.column(0).to_numpy())
     spark_ = docs.sparkSession.sparkContext
-    shared = spark_.broadcast(contexts)
-    pairs = _counted(own, text, shared).toArrow()
-    shared.destroy()
-    context, pair, letter = (pairs.column(i).to_numpy() for i in range(3))
-    counts = np.stack([pairs.column(i).to_numpy() for i in (3, 4)], 1).reshape(-1, 2)
-    order = np.argsort(pair)
-    pair, context, letter, counts = pair[order], context[order], letter[order], counts[order]
-    at = np.searchsorted(contexts, context)
-    totals, types = (np.stack([np.bincount(at, v[:, k], len(contexts)) for k in (0, 1)], 1) for v in (counts, counts > 0))
-    _, group, seen = np.unique(letter, return_inverse=True, return_counts=True)
-    after = (seen / max(1, len(letter)))[group] if len(letter) else np.zeros(0)
-    small = (x.astype(np.int32) for x in (totals, types, np.bincount(at, minlength=len(contexts)), counts, at))
-    totals, types, kinds, counts, parents = small
-    model = Model(contexts, totals, types, kinds, pair, counts, after.astype(np.float32), parents)
+    every = None
+    if room >= 0:
+        shared = spark_.broadcast(contexts)
+        model = _model(contexts, _counted(own, text, shared).toArrow())
+        shared.destroy()
+    else:
+        every = stored(_counted(own, text, None).join(sizes, "context").select("context", "pair", "letter", "n0", "n1", (F.col("n") >= least).alias("held")))
+        letters = every.groupBy("letter").agg(F.count("*").alias("seen")).toArrow()  # a row for each character
+        model = _model(contexts, every.where("held").drop("held").toArrow(), letters)
+        model.rest = _rest_ratios(every, letters)
     total = own.groupBy("_label").count().collect()
     if len(total) < 2:
         return model
     share = min(1.0, SAMPLE / sum(r["count"] for r in total))
     picked = own.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    shared = spark_.broadcast(model.plain())
+    fitted = model
+    if every is not None:  # all that was counted in the contexts of the picked rows
+        wanted = stored(_contexts_of(picked, text))
+        fitted = _model(np.sort(every.join(wanted, "context", "left_semi").select("context").distinct().toArrow().column(0).to_numpy()), every.join(wanted, "context", "left_semi").drop("held").toArrow(), letters)
+    shared = spark_.broadcast(fitted.plain())
     rows = described_rows(picked, shared, text).toArrow()
     shared.destroy()
     x, y = np.array(rows.column("_features").to_pylist(), float).reshape(-1, 4), np.array(rows.column("_label").to_pylist(), float)
@@ -290,6 +434,8 @@ def described_rows(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", drop_text: bool = False) -> DataFrame:
     """Add the toxicity score, 0 to 1, to every row."""
+    if model.rest is not None and model.weights is not None:
+        return _score_by_words(docs, model, text, out, drop_text)
     shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model.scorer())))
     kept = [f for f in docs.schema.fields if f.name != out and not (drop_text and f.name == text)]
 

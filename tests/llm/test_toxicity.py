@@ -78,3 +78,17 @@ def test_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.train(docs.limit(0), labels).weights is None
     assert docs.select(toxicity.held_out(F.col("doc_id"), 4, 2).alias("h")).where("h is null").count() == 0
+
+
+def test_contexts_beyond_those_held_count_too(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 50_000 + " vile"), (-2, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    run = lambda: sorted((r.doc_id, r.score) for r in toxicity.score(docs, toxicity.train(docs, labels), drop_text=True).collect())
+    whole = run()
+    monkeypatch.setattr(toxicity, "CAPACITY", 300)
+    monkeypatch.setattr(toxicity, "FREQUENT", 50)
+    assert toxicity.train(docs, labels).rest[0].count() > 300
+    held = run()
+    assert len(whole) == len(held) == docs.count() and len({s for _, s in whole}) > 20
+    assert [d for d, _ in whole] == [d for d, _ in held] and np.allclose([s for _, s in whole], [s for _, s in held], atol=1e-5)
