@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelwarrant.functions.scalar import normalise_label
+from pixelwarrant.session import small
 
 # Normalised class names of either side.
 AI_TOKENS = (
@@ -66,7 +67,7 @@ def resolve_positive(models: DataFrame, model: str, id2label: str, index: str |
 def positive_probability(probs: DataFrame, resolved: DataFrame, model: str, keys: list[str]) -> DataFrame:
     """P(AI): the summed probability of a model's positive classes, from `(model, keys, id, p)` rows.
 
-    There is one resolved row per model, so that side stays small.
+    There is one resolved row per model. A few are broadcast, so that the windows of a model don't meet in one task.
     """
-    joined = probs.join(resolved.where(F.col("error").isNull()).select(model, "positive"), model)
+    joined = probs.join(small(resolved.where(F.col("error").isNull()).select(model, "positive")), model)
     return joined.groupBy(model, *keys).agg(F.sum(F.when(F.array_contains("positive", F.col("id")), F.col("p")).otherwise(0.0)).alias("score"))

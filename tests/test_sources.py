@@ -134,6 +134,15 @@ def test_class_names_are_never_guessed(spark):
     assert got[3] == (None, "no AI class") and got[4] == (None, "unrecognised label") and got[5] == (None, "no real class")
 
 
+def test_windows_of_a_model_are_not_shuffled_by_it(spark):
+    probs = spark.range(2000).selectExpr("cast(id % 2 as int) as m", "id div 4 as k", "cast(id div 2 % 2 as int) as id", "0.25D as p").repartition(4, "k")
+    models = spark.createDataFrame([(0, {0: "fake", 1: "real"}), (1, {0: "fake", 1: "ai", 2: "real"})], "m int, l map<int,string>")
+    out = labels.positive_probability(probs, labels.resolve_positive(models, "m", "l"), "m", ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(m" not in plan.split("BroadcastExchange")[0]
+    assert sorted((r["m"], r["score"]) for r in out.collect()) == [(0, 0.25)] * 500 + [(1, 0.5)] * 500
+
+
 def test_scorer_length_is_checked(spark):
     rows = spark.range(10).toDF("id")
     bad = udfs.score_patches(rows, lambda: (lambda batch: [0.5]), ["id"])
