@@ -122,11 +122,10 @@ def decode(spark, sf):
     named = image_rows(spark, sf).withColumn("path", F.concat(F.col("image_id").cast("string"), F.lit(".png")))
     files.write_images(named, root)
     number = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("image_id")
-    listed, decoded = images.list_images(spark, root), images.read_images(spark, root)
-    broken = images.decode_errors(listed, decoded).select(number).withColumn("decoded", F.lit(False))
-    cells = images.image_cells(decoded.select(number, "height", "width", "nChannels", "data"))
-    sums = cells.groupBy("image_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("r"), 6).alias("total_r"))
-    return sums.select("image_id", F.lit(True).alias("decoded"), "cells", "total_r").unionByName(broken, allowMissingColumns=True)
+    pictures = images.read_images(spark, root, invalid=True).select(number, "height", "width", "nChannels", "data")
+    decoded = F.count("x") > 0
+    each = images.image_cells(pictures).groupBy("image_id").agg(decoded.alias("decoded"), F.count("x").alias("cells"), F.round(F.sum("r"), 6).alias("total_r"))
+    return each.select("image_id", "decoded", F.when(F.col("decoded"), F.col("cells")).alias("cells"), "total_r")
 
 
 @query("src05_payload_scan", (), "select md5(text) as digest, strlen(text)::int as n_bytes from documents")

@@ -13,6 +13,7 @@ from pixelwarrant.sources import files
 # Accepted file suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 TIFF_SUFFIXES = ("tif", "tiff")
+BATCH_CELLS = 100_000  # that a task hands on together
 
 
 def is_image(path: Column, tiff: bool = False) -> Column:
@@ -65,10 +66,10 @@ def unlabelled_folder(spark: SparkSession, folder: str) -> DataFrame:
     return require_images(list_images(spark, folder, tiff=True), folder)
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images with the undecodable files left out."""
+def read_images(spark: SparkSession, folder: str, invalid: bool = False) -> DataFrame:
+    """Decoded images with the undecodable files left out; with `invalid` those are rows of a height below 1."""
     images = (
-        spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder)
+        spark.read.format("image").option("dropInvalid", str(not invalid).lower()).option("recursiveFileLookup", "true").load(folder)
     )
     return images.select(
         F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data"
@@ -114,13 +115,24 @@ def _block_means(frame: pd.DataFrame, cell_px: int) -> pd.DataFrame:
 def image_cells(images: DataFrame, cell_px: int = 1, id_type: str = "bigint") -> DataFrame:
     """Tall `(image_id, y, x, r, g, b)` on a grid of `cell_px` blocks.
 
-    One row in, one image's cells out; `cell_px = 1` gives the pixels themselves.
+    One row in, one image's cells out; `cell_px = 1` gives the pixels themselves. An image that didn't decode (height below 1)
+    gives one row without a place or colours, so that one reading of the files tells both.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(len(batch)):
-                yield _block_means(batch.iloc[i : i + 1], cell_px)
+            broken = batch.loc[batch["height"] < 1, ["image_id"]]
+            if len(broken):
+                yield broken.assign(y=None, x=None, r=np.nan, g=np.nan, b=np.nan).astype({"y": "Int32", "x": "Int32"}).replace({np.nan: None})
+            whole, held, cells = batch[batch["height"] >= 1], [], 0
+            for i in range(len(whole)):
+                held.append(_block_means(whole.iloc[i : i + 1], cell_px))
+                cells += len(held[-1])
+                if cells > BATCH_CELLS:
+                    yield pd.concat(held)
+                    held, cells = [], 0
+            if held:
+                yield pd.concat(held)
 
     rows = images.select("image_id", "height", "width", "nChannels", "data")
     return rows.mapInPandas(expand, f"image_id {id_type}, y int, x int, r double, g double, b double")

@@ -231,3 +231,15 @@ def test_appending_a_run_again_adds_nothing(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.read_manifest(spark, path).select("run", "stem", "n").collect()) == [("2", "c", 4), ("one", "a", 1), ("one", "b", 2)]
     tables.append_once(make(("c", 5)), path, "2")
     assert tables.read_manifest(spark, path).where("stem = 'c'").first()["n"] == 5
+
+
+def test_one_reading_tells_cells_and_broken_files(spark, tmp_path):
+    from pixelwarrant.sources import files
+
+    rows = [("1.png", 2, 2, 3, bytes(range(12))), ("2.png", 2, 2, 3, b"123"), ("3.png", 1, 2, 3, bytes(6))]
+    files.write_images(spark.createDataFrame(rows, "path string, height int, width int, nChannels int, data binary").coalesce(1), str(tmp_path))
+    number = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("image_id")
+    every = images.read_images(spark, str(tmp_path), invalid=True).select(number, "height", "width", "nChannels", "data").coalesce(1)
+    got = [tuple(r) for r in images.image_cells(every).orderBy("image_id", "y", "x").select("image_id", "y", "x", "r").collect()]
+    assert got == [(1, 0, 0, 2.0), (1, 0, 1, 5.0), (1, 1, 0, 8.0), (1, 1, 1, 11.0), (2, None, None, None), (3, 0, 0, 0.0), (3, 0, 1, 0.0)]
+    assert images.read_images(spark, str(tmp_path)).count() == 2
