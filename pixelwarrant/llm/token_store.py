@@ -19,6 +19,8 @@ their text; a table without rows writes none; a damaged block is an error; other
 """
 from __future__ import annotations
 
+import functools
+import os
 import re
 import uuid
 import zlib
@@ -247,8 +249,11 @@ def cut(text: str) -> list[str] | None:
     return text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}").split(CUT)
 
 
+@functools.lru_cache(maxsize=1)
 def tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids, each as little-endian 16-bit integers."""
+    """A function from texts to their ids, each as little-endian 16-bit integers. The tasks of a process share it and the pieces it
+    remembers; it keeps to the thread of its task, as threads of the library's own would each hold memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)

@@ -55,6 +55,14 @@ def test_cutting_changes_no_ids(plain, text):
     assert np.frombuffer(own([text])[0], "<u2").tolist() == plain(text)
 
 
+def test_tasks_of_a_process_share_a_tokenizer(plain, monkeypatch):
+    own = token_store.tokenizer(PATH)
+    assert token_store.tokenizer(PATH) is own
+    monkeypatch.setattr(token_store, "MEMO", 5)  # what is remembered is given up, ids stay the same
+    texts = ["one two three four five six seven", "eight nine ten", "one nine"] * 2
+    assert [np.frombuffer(b, "<u2").tolist() for b in own(texts)] == [plain(t) for t in texts]
+
+
 def expected(rows, plain):
     out, start = [], 0
     for doc, text in rows:
