@@ -179,3 +179,27 @@ def test_tiled_components_are_those_of_the_whole_frame(spark, connectivity):
     for tile in (7, 64):
         assert key(components.label_tiled(df, "on", tile, connectivity)) == whole
     assert max(c for i, _, _, c in whole if i == 1) == 1
+
+
+def test_whole_frames_degrade_like_cells(spark):
+    """Whole frames go through the steps packed, without windows over cells; frames with a gap, a null or a cell twice give what cells give."""
+    from pixelwarrant.operators import degrade, severities
+
+    rng = np.random.default_rng(4)
+    rows = [(i, y, x, *map(float, rng.random(3))) for i, (h, w) in enumerate([(7, 21), (7, 21), (9, 5), (1, 3), (8, 16), (6, 6)]) for y in range(h) for x in range(w)]
+    rows = [r for r in rows if r[:3] != (1, 3, 4)] + [(5, 5, 5, 0.1, 0.2, 0.3)]
+    rows = [(*r[:3], None, *r[4:]) if r[:3] == (4, 2, 2) else r for r in rows]
+    cells = spark.createDataFrame(rows, "image_id long, y int, x int, r double, g double, b double")
+    names = ("clean", "blur_s1.0", "center_crop_80pct", "compound_moderate")
+    levels = {n: severities.SEVERITIES[n] for n in names} | {n: severities.CONDITIONS[n] for n in ("crop_0.8", "saturate_1.5", "noise_s0.05")}
+
+    def table(df):
+        return sorted(((r.image_id, r.severity, r.y, r.x), (r.r, r.g, r.b)) for r in df.collect() if r.image_id not in (4, 5))
+
+    whole = degrade.degrade(cells.where("image_id in (0, 2, 3)"), ("r", "g", "b"), levels)
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    got, want = table(degrade.degrade(cells, ("r", "g", "b"), levels)), table(degrade._by_cells(cells, ("r", "g", "b"), levels, degrade.HASHED))
+    assert len({k for k, _ in got}) == len(got) and [k for k, _ in got] == [k for k, _ in want]
+    assert np.allclose([v for _, v in got], [v for _, v in want], atol=1e-9)
+    kinds = {r.image_id for r in degrade._packed(cells, ("r", "g", "b"), levels, degrade.HASHED).where("not _whole").collect()}
+    assert kinds == {1, 4, 5}
