@@ -203,3 +203,30 @@ def test_whole_frames_degrade_like_cells(spark):
     assert np.allclose([v for _, v in got], [v for _, v in want], atol=1e-9)
     kinds = {r.image_id for r in degrade._packed(cells, ("r", "g", "b"), levels, degrade.HASHED).where("not _whole").collect()}
     assert kinds == {1, 4, 5}
+
+
+def test_measured_cells_of_whole_and_torn_frames(spark):
+    """Blurs and error levels come from packed frames: nothing is joined, a gap moves the cells of its line together, a null spreads as far as the taps reach."""
+    from pixelwarrant.operators import forensics
+
+    rng = np.random.default_rng(8)
+    rows = [(i, y, x, float(rng.random()), "kept") for i, (h, w) in enumerate([(8, 8), (9, 13), (8, 8), (8, 8)]) for y in range(h) for x in range(w)]
+    rows = [r for r in rows if r[:3] != (2, 0, 3)]
+    rows = [(*r[:3], None, r[4]) if r[:3] == (3, 4, 4) else r for r in rows]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, v double, note string").withColumns({c: F.col("v") for c in "rgb"})
+    out = forensics.measured_cells(df, "v")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.image_id, r.y, r.x): r for r in out.collect()}
+    assert len(got) == len(rows) and {r.note for r in got.values()} == {"kept"}
+    taps = dict(grid.gaussian_taps(1.0))
+    mirror = lambda i, n: (lambda m: m if m < n else 2 * (n - 1) - m)(i % (2 * (n - 1)))
+    v = {r[:3]: r[3] for r in rows}
+    # A torn row is one cell shorter; then each column is blurred over the cells it has.
+    line = {y: [v[2, y, x] for x in range(8) if (2, y, x) in v] for y in range(8)}
+    row = {(y, x): sum(w * line[y][mirror(i + k, len(line[y]))] for k, w in taps.items()) for y in range(8) for i, x in enumerate(x for x in range(8) if (2, y, x) in v)}
+    for y, x in row:
+        column = [row[j, x] for j in range(8) if (j, x) in row]
+        at = [j for j in range(8) if (j, x) in row].index(y)
+        assert abs(v[2, y, x] - got[2, y, x].res - sum(w * column[mirror(at + k, len(column))] for k, w in taps.items())) < 1e-12
+        assert got[2, y, x].ela is None and got[0, y, x].ela is not None
+    assert got[3, 0, 0].res is not None and got[3, 4, 2].res is None and got[3, 1, 1].res is None and got[1, 8, 12].ela is not None
