@@ -171,7 +171,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, key: str = "
     indexed = indexed.mapInArrow(_blocks(pa.list_(pa.list_(pa.int64()))), "leaf long, v array<double>, ids array<array<long>>")
     probes = asked.mapInArrow(probe, "leaf long, v array<double>, ids long").repartition("leaf").sortWithinPartitions("leaf")
     probes = probes.mapInArrow(_blocks(pa.list_(pa.int64())), "leaf long, v array<double>, ids array<long>")
-    met = probes.toDF("leaf", "qv", "qids").join(indexed.toDF("leaf", "ev", "eids"), "leaf")
+    # Spark sizes what Python hands on by its input, visits not counted, and would broadcast queries many times as large.
+    met = probes.toDF("leaf", "qv", "qids").hint("merge").join(indexed.toDF("leaf", "ev", "eids"), "leaf")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Held] = {}

@@ -84,3 +84,15 @@ def test_tasks_hand_on_k_rows_a_query(spark, monkeypatch):
         got = by_query(ann_tree.nearest(df, df.where("vec_id % 50 = 0"), 5).collect())
         assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
     assert handed[0][0] <= len(queries) * 5 * handed[0][1]
+
+
+def test_probes_are_not_broadcast(spark, tmp_path):
+    """The leaves that a query visits multiply it in Python, where Spark doesn't see it: no side may be broadcast by its estimated size."""
+    rng = np.random.default_rng(13)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((600, 4)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/v")
+    df = spark.read.parquet(f"{tmp_path}/v")
+    found = ann_tree.nearest(df, df.where("vec_id % 20 = 0"), k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert len(found.collect()) == 90
