@@ -205,6 +205,16 @@ def test_whole_frames_degrade_like_cells(spark):
     assert kinds == {1, 4, 5}
 
 
+def test_degradations_travel_after_a_column_function_was_used(spark):
+    """A column function that a session has used holds what can't be pickled; what tasks run may not take its module along."""
+    from pixelwarrant.operators import degrade, spectral
+
+    spark.range(1).select(spectral.block_dct(F.array_repeat(F.lit(1.0), 64))).collect()
+    cells = spark.createDataFrame([(0, y, x, 0.01 * (8 * y + x)) for y in range(8) for x in range(8)], "image_id long, y int, x int, v double")
+    levels = {"jpeg": [("jpeg", 30.0)], "blur": [("blur", 1.0)]}
+    assert degrade.degrade(cells, "v", levels).count() == 128
+
+
 def test_measured_cells_of_whole_and_torn_frames(spark):
     """Blurs and error levels come from packed frames: nothing is joined, a gap moves the cells of its line together, a null spreads as far as the taps reach."""
     from pixelwarrant.operators import forensics
